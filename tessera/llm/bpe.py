@@ -22,11 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessera.llm.chunks import ChunkMemo
 from tessera.llm.textbatch import pick
 
 INF = np.int64(1) << 62
 #: Pieces kept by a worker, and documents encoded together.
-MEMO, TOGETHER = 1_000_000, 256
+MEMO, TOGETHER = 1_000_000, 512
 #: The split pattern of the public byte-level vocabularies, which has a faster form for texts below U+0250.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -68,7 +69,7 @@ class Bpe:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = np.fromiter(found.values(), np.int64, len(found))[order]
-        self.memo: dict[str, bytes] = {}
+        self.chunks = ChunkMemo(self.encode_pieced, MEMO) if pattern == USUAL else None
 
     def _keys(self, left: np.ndarray, right: np.ndarray, pos: np.ndarray, m: int) -> np.ndarray:
         """Leaf values of pairs; INF where the pair has no rank."""
@@ -142,17 +143,16 @@ class Bpe:
                     out[i] = ids
         return out
 
+    def encode_pieced(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, its distinct pieces encoded once."""
+        split = list(map(self.split, texts))
+        pieces = list(set().union(*split))
+        get = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]))).__getitem__
+        return [b"".join(map(get, own)) for own in split]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(t) if t else [] for t in texts]
-        seen = set().union(*split)
-        new = list(seen.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(seen)
-        self.memo.update(zip(new, self.encode_pieces([p.encode() for p in new])))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return self.chunks.encode(texts) if self.chunks else self.encode_pieced([t or "" for t in texts])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(self.tokens[np.frombuffer(ids, "<u4")].tolist())

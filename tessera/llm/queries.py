@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.textbatch import table
 
@@ -17,8 +17,29 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_exact_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import mips
+
+    return mips.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_multi_index_ann": op3_multi_index_ann,
+    "op8_exact_mips": op8_exact_mips,
+    "op9_mixing": op9_mixing,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
