@@ -17,12 +17,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity
+
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import ann
 
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import mips
 
@@ -37,7 +49,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_multi_index_ann": op3_multi_index_ann,
+    "op7_quality": op7_quality,
     "op8_exact_mips": op8_exact_mips,
     "op9_mixing": op9_mixing,
 }
