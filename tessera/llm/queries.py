@@ -29,6 +29,15 @@ def op3_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm import sstable
+
+    shards = sstable.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return sstable.read(spark, shards).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
 
@@ -47,13 +56,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_multi_index_ann": op3_multi_index_ann,
+    "op5_sstable": op5_sstable,
     "op7_quality": op7_quality,
     "op8_exact_mips": op8_exact_mips,
     "op9_mixing": op9_mixing,
+    "op10_secrets": op10_secrets,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
