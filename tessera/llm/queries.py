@@ -29,6 +29,12 @@ def op3_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import jaccard
+
+    return jaccard.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_multi_index_ann": op3_multi_index_ann,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_sstable": op5_sstable,
     "op7_quality": op7_quality,
     "op8_exact_mips": op8_exact_mips,
