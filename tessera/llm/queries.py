@@ -44,6 +44,14 @@ def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, shards).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import substring
+
+    cut, whole = substring.deduplicate(table(spark, sf_dir, "documents"))
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    return cut.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).select(columns).unionByName(whole.select(columns))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
 
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_multi_index_ann": op3_multi_index_ann,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_sstable": op5_sstable,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_exact_mips": op8_exact_mips,
     "op9_mixing": op9_mixing,
