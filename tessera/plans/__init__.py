@@ -1,0 +1,4 @@
+"""Composed plans and the registry of queries over them."""
+
+from tessera.plans import browse, reports, search  # noqa: F401  each module registers its queries
+from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
