@@ -27,7 +27,7 @@ from tessera.llm.textbatch import pick
 
 INF = np.int64(1) << 62
 #: Pieces kept by a worker, and documents encoded together.
-MEMO, TOGETHER = 1_000_000, 512
+MEMO, TOGETHER = 800_000, 512
 #: The split pattern of the public byte-level vocabularies, which has a faster form for texts below U+0250.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"

@@ -16,9 +16,11 @@ LONG = 64
 
 
 class ChunkMemo:
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = 800_000):
         self.encode_many, self.size = encode, size
-        self.spaced: dict[str, bytes] = {}
+        # two generations: what a full memo held is kept, and moves on when it is met again
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The encoded bytes of each text; null counts as empty."""
@@ -33,18 +35,27 @@ class ChunkMemo:
                 chunks[i] = t.split(" ")
         heads = [c.pop(0) for c in chunks.values()]
         seen = set().union(*chunks.values())
-        new = list(seen.difference(self.spaced))
-        if len(self.spaced) + len(new) > self.size:
-            self.spaced.clear()
-            new = list(seen)
+        if len(self.memo) > self.size:
+            self.old, self.memo = self.memo, {}
+        get, memo, old = {}, self.memo, self.old
+        new = []
+        for c in seen:
+            x = memo.get(c)
+            if x is None:
+                x = old.get(c)
+                if x is None:
+                    new.append(c)
+                    continue
+                memo[c] = x
+            get[c] = x
         made = self.encode_many([texts[i] for i in whole] + heads + [" " + c for c in new])
         for i, x in zip(whole, made):
             out[i] = x
-        self.spaced.update(zip(new, made[len(whole) + len(heads) :]))
-        get = self.spaced.__getitem__
+        for c, x in zip(new, made[len(whole) + len(heads) :]):
+            get[c] = x
+            if len(c) <= LONG:
+                memo[c] = x
+        find = get.__getitem__  # the batch's own chunks only: a small table that stays in the processor's cache
         for (i, c), head in zip(chunks.items(), made[len(whole) :]):
-            out[i] = head + b"".join(map(get, c))
-        for c in new:
-            if len(c) > LONG:
-                del self.spaced[c]
+            out[i] = head + b"".join(map(find, c))
         return out
