@@ -7,7 +7,7 @@ windows have equal fingerprints, and a document has far fewer distinct fingerpri
   Documents come in batches of ascending ids; a batch is merge-joined with every run, then becomes a run itself, and when
   ``FAN_IN`` runs have gathered they are compacted into one.
 * A fingerprint found twice only makes its windows candidates.  They are verified by a 64-bit hash of all their words:
-  each slice of documents keeps the smallest document of a window hash, and buckets of hashes find the smallest of all.
+  each unit of documents keeps the smallest document of a window hash, and buckets of hashes find the smallest of all.
 * Words covered by a window that starts in a document with a smaller id too are removed.  Whole copies of a document need
   no windows: all their words go.
 
@@ -25,11 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.textbatch import U, Words, checkpointed, mix, pick, row_key, shared_dir, text_slices
 
 WINDOW, GRAM, BATCHES, FAN_IN, BUCKET_WINDOWS, BROADCAST_ROWS = 50, 25, 4, 3, 500_000, 500_000
+#: Documents and windows that a unit of a task holds before its postings leave.
+UNIT_DOCS, UNIT_WINDOWS = 60_000, 1_500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -110,86 +113,93 @@ class Index:
 
 
 def _windows_map(window: int, gram: int, buckets: int):
-    """Candidate windows of slices: postings for buckets, and what a slice settles itself."""
+    """Candidate windows of units, runs of a task's documents: postings for buckets, and what a unit settles itself."""
+
+    def flush(unit: int, ids: np.ndarray, keys: np.ndarray, h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        own = ids[doc]
+        order = np.lexsort((own, h))
+        h, doc, place, own = h[order], doc[order], place[order], own[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        repeat = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
+        # a hash's smallest document of the unit speaks for it
+        rows = [(buckets + unit % buckets, None, doc[repeat].astype("<u2").tobytes(), place[repeat].tobytes(), None, keys.astype("<i8").tobytes())]
+        h, doc, place = h[~repeat], doc[~repeat], place[~repeat]
+        edge = np.searchsorted((h >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1).astype(U))
+        for r in np.flatnonzero(np.diff(edge)):
+            part = slice(edge[r], edge[r + 1])
+            refs, local = np.unique(doc[part], return_inverse=True)
+            rows.append((r, h[part].tobytes(), local.astype("<u2").tobytes(), place[part].tobytes(), refs.astype("<u2").tobytes(), ids[refs].astype("<i8").tobytes()))
+        columns = list(zip(*rows))
+        kinds = [pa.int32(), *[pa.binary()] * 5]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays([arrays[0], pa.array([unit] * len(rows), pa.int64()), *arrays[1:]], names=["bucket", "unit", "hashes", "docs", "places", "refs", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, n_docs, n = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
             fps, keys, ids = batch["fps"], batch["key"].to_numpy(), batch["doc_id"].to_numpy()
             for i, j, data, offs in text_slices(batch["text"]):
+                if held and (n_docs + j - i > UNIT_DOCS or n > UNIT_WINDOWS):
+                    yield flush(unit, *map(np.concatenate, zip(*held)))
+                    unit, held, n_docs, n = unit + 1, [], 0, 0
                 w = Words(data, offs)
                 at, fp = fingerprints(w, window, gram)
                 cut = np.searchsorted(at, w.first)
                 some = [at[a:b][np.isin(fp[a:b].view("<i8"), fps[i + d].values.to_numpy())] for d, (a, b) in enumerate(zip(cut, cut[1:]))]
                 at = np.concatenate([*some, np.zeros(0, np.int64)])
-                if not len(at):
-                    continue
-                doc, h = w.doc[at], w.runs(at, at + window)
-                own = ids[i:j][doc]
-                order = np.lexsort((own, h))
-                h, at, doc, own = h[order], at[order], doc[order], own[order]
-                new = np.r_[True, h[1:] != h[:-1]]
-                least = own[np.flatnonzero(new)][np.cumsum(new) - 1]
-                place = (at - w.first[doc]).astype("<i4")
-                settled = np.flatnonzero(own > least)
-                d = doc[settled]
-                by = np.argsort(d, kind="stable")
-                edge = np.flatnonzero(np.r_[True, np.diff(d[by]) != 0][: len(d)])
-                for a, b in zip(edge, [*edge[1:], len(d)]):
-                    mine = settled[by[a:b]]
-                    k = int(keys[i + doc[mine[0]]])
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([buckets + k % buckets], pa.int32()), "hashes": pa.array([None], pa.binary()), "docs": pa.array([None], pa.binary()), "places": [place[mine].tobytes()], "ids": pa.array([None], pa.binary()), "keys": [np.array([k], "<i8").tobytes()]})
-                open_ = np.flatnonzero(own == least)
-                h, doc, place = h[open_], doc[open_].astype("<u4"), place[open_]
-                edge = np.searchsorted((h >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1).astype(U))
-                rows = np.flatnonzero(np.diff(edge))
-                every = {r: np.unique(doc[edge[r] : edge[r + 1]], return_inverse=True) for r in rows}
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array(rows, pa.int32()),
-                        "hashes": [h[edge[r] : edge[r + 1]].tobytes() for r in rows],
-                        "docs": [every[r][1].astype("<u2").tobytes() for r in rows],
-                        "places": [place[edge[r] : edge[r + 1]].tobytes() for r in rows],
-                        "ids": [ids[i:j][every[r][0]].astype("<i8").tobytes() for r in rows],
-                        "keys": [keys[i:j][every[r][0]].astype("<i8").tobytes() for r in rows],
-                    },
-                    schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "places", "ids", "keys"))]),
-                )
+                doc = w.doc[at]
+                held.append((ids[i:j], keys[i:j], w.runs(at, at + window), (doc + n_docs).astype(np.int32), (at - w.first[doc]).astype("<i4")))
+                n_docs, n = n_docs + j - i, n + len(at)
+        if n:
+            yield flush(unit, *map(np.concatenate, zip(*held)))
 
     return run
 
 
 def _windows_bucket(buckets: int):
-    """(key, places) of the windows of a bucket that start in a smaller document too; settled rows pass."""
+    """(unit, docs, places) of the windows of a bucket that start in a smaller document too; what units settled passes."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] >= buckets:
-            return pd.DataFrame({"key": [int(np.frombuffer(k, "<i8")[0]) for k in rows["keys"]], "places": rows["places"]})
+            return pd.DataFrame({"unit": rows["unit"], "docs": rows["docs"], "places": rows["places"], "keys": rows["ids"]})
         h, place = np.frombuffer(b"".join(rows["hashes"]), "<u8"), np.frombuffer(b"".join(rows["places"]), "<i4")
-        doc = [np.frombuffer(x, "<u2") for x in rows["docs"]]
-        ids = np.concatenate([np.frombuffer(x, "<i8")[d] for x, d in zip(rows["ids"], doc)])
-        keys = np.concatenate([np.frombuffer(x, "<i8")[d] for x, d in zip(rows["keys"], doc)])
+        local = [np.frombuffer(x, "<u2") for x in rows["docs"]]
+        ids = np.concatenate([np.frombuffer(x, "<i8")[d] for x, d in zip(rows["ids"], local)])
+        doc = np.concatenate([np.frombuffer(x, "<u2")[d] for x, d in zip(rows["refs"], local)])
+        part = np.repeat(np.arange(len(rows)), list(map(len, local)))
         order = np.lexsort((ids, h))
-        h, place, ids, keys = h[order], place[order], ids[order], keys[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-        found = np.flatnonzero(ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1])
-        found = found[np.argsort(keys[found], kind="stable")]
-        k = keys[found]
-        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
-        return pd.DataFrame({"key": k[edge], "places": [place[found[a:b]].tobytes() for a, b in zip(edge, [*edge[1:], len(k)])]})
+        s, own = h[order], ids[order]
+        new = np.r_[True, s[1:] != s[:-1]]
+        found = order[own > own[np.flatnonzero(new)][np.cumsum(new) - 1]]
+        found = found[np.argsort(part[found], kind="stable")]
+        edge = np.flatnonzero(np.r_[True, np.diff(part[found]) != 0][: len(found)])
+        cuts = list(zip(edge, [*edge[1:], len(found)]))
+        units = rows["unit"].to_numpy()
+        return pd.DataFrame({"unit": [units[part[found[a]]] for a, _ in cuts], "docs": [doc[found[a:b]].tobytes() for a, b in cuts], "places": [place[found[a:b]].tobytes() for a, b in cuts], "keys": [None] * len(cuts)})
 
     return run
 
 
+def _windows_unit(rows: pd.DataFrame) -> pd.DataFrame:
+    """(key, places) of the removed windows of each document of a unit."""
+    keys = np.frombuffer(next(k for k in rows["keys"] if k is not None), "<i8")
+    doc, place = np.frombuffer(b"".join(rows["docs"]), "<u2"), np.frombuffer(b"".join(rows["places"]), "<i4")
+    order = np.argsort(doc, kind="stable")
+    doc, place = doc[order], place[order]
+    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+    return pd.DataFrame({"key": keys[doc[edge]], "places": [place[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(doc)])]})
+
+
 def _cut(window: int):
     """(doc_id, n_words, n_removed, kept) of texts and the places of their removed windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, places in zip(batch["text"].to_pylist(), batch["places"].to_pylist()):
+            for text, places in zip(batch["text"].to_pylist(), batch["places"].to_pylist()):  # of whole windows
                 words = text.encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.frombuffer(b"".join(places), "<i4"))
+                at = np.unique(np.frombuffer(places, "<i4"))
                 edge[at] += 1
                 edge[at + window] -= 1
                 keep = np.cumsum(edge[:-1]) == 0
@@ -225,8 +235,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
     only = wanted.select("doc_id", "key").distinct()
     texts = src.join(F.broadcast(only) if few else only, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
     buckets = max(16, math.ceil((rows.join(only, ["doc_id", "key"], "left_semi").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]) / BUCKET_WINDOWS))
-    posted = texts.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "fps").mapInArrow(_windows_map(window, gram, buckets), "bucket int, hashes binary, docs binary, places binary, ids binary, keys binary")
-    flagged = checkpointed(posted.groupBy("bucket").applyInPandas(_windows_bucket(buckets), "key long, places binary").groupBy("key").agg(F.collect_list("places").alias("places")))
+    posted = texts.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "fps")
+    # in a fixed order, so that a repeated task makes the same units
+    posted = posted.sortWithinPartitions("doc_id", "key").mapInArrow(_windows_map(window, gram, buckets), "bucket int, unit long, hashes binary, docs binary, places binary, refs binary, ids binary")
+    found = posted.groupBy("bucket").applyInPandas(_windows_bucket(buckets), "unit long, docs binary, places binary, keys binary")
+    flagged = checkpointed(found.groupBy("unit").applyInPandas(_windows_unit, "key long, places binary"))
 
     keys = flagged.select("key")
     again = src.join(F.broadcast(keys) if few else keys, "key", "left_semi").join(flagged, "key").select("doc_id", "key", "text", "places")
