@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -60,7 +58,3 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def empty_batches() -> Iterator[pa.RecordBatch]:
-    return iter(())
