@@ -81,5 +81,5 @@ def stage_rank(stage: Column) -> Column:
 
 def stage_from_trl(text: Column) -> Column:
     """The stage of a technology readiness level in a text: up to 3 an idea, 6 a prototype, 8 a pilot, else deployed."""
-    level = F.regexp_extract(text, r"(?i)TRL\s*(\d+)", 1).try_cast("int") if hasattr(Column, "try_cast") else F.regexp_extract(text, r"(?i)TRL\s*(\d+)", 1).cast("int")
+    level = F.regexp_extract(text, r"(?i)TRL\s*(\d+)", 1).try_cast("int")
     return F.when(level.isNull(), "UNKNOWN").when(level <= 3, "IDEA").when(level <= 6, "PROTOTYPE").when(level <= 8, "PILOT").otherwise("DEPLOYED")
