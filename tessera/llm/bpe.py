@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tessera.llm.chunks import ChunkMemo
-from tessera.llm.textbatch import pick
+from tessera.llm.textbatch import pick, release
 
 INF = np.int64(1) << 62
 #: Pieces kept by a worker, and documents encoded together.
@@ -154,6 +154,12 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return self.chunks.encode(texts) if self.chunks else self.encode_pieced([t or "" for t in texts])
 
+    def forget(self) -> None:
+        """Empties the memo, at the end of a task."""
+        if self.chunks:
+            self.chunks.memo, self.chunks.old = {}, {}
+        release()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(self.tokens[np.frombuffer(ids, "<u4")].tolist())
 
@@ -174,6 +180,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for i in range(0, len(batch), TOGETHER):
                 part = batch.slice(i, TOGETHER)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(coder.encode(part["text"].to_pylist()), pa.binary())], names=["doc_id", "ids"])
+        coder.forget()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -214,5 +221,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        coder.forget()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

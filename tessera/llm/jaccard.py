@@ -4,8 +4,8 @@ Two sets of word shingles link when their Jaccard similarity reaches a percentag
 ever formed:
 
 1. *Filter.*  A set that links keeps at least that percentage of its own shingles in common with another document.  Each
-   slice of documents sorts its shingle hashes, resolves those that it holds twice itself, and sends one posting for each
-   other hash to the bucket of the hash; buckets answer with how many shingles of each document are shared.
+   unit of documents sorts its shingle hashes, resolves those that it holds twice itself, and sends one posting for each
+   hash to the bucket of the hash; buckets answer with how many shingles of each document are shared.
 2. *Classes.*  Documents with equal sets form a class; its smallest id stands for it.
 3. *Pivots.*  Of globally ordered (hash order) sets, linked ones share a token among their first n - ceil(p n) + 1.  All
    holders of such a token meet only its smallest holder: a prefix tree over up to ``CHUNK`` holders, probed by the pivot.
@@ -34,62 +34,71 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.textbatch import U, Words, checkpointed, mix, pick, text_slices
+from tessera.llm.textbatch import U, Words, checkpointed, mix, pick, release, text_slices
 
 BUCKET_POSTINGS, CHUNK, BROADCAST_ROWS, NONE = 1_000_000, 256, 500_000, 65535
+#: Documents and postings that a unit of a task holds before its postings leave.
+UNIT_DOCS, UNIT_POSTINGS = 60_000, 700_000
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "<i4"), ("n", "<i4"), ("key", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("shared", "<i8")])
 _PER_DOC = "doc_id long, key long, n int, d1 long, d2 long, shared long"
 
 
 def _filter_map(k: int, buckets: int):
-    """Slices to postings (bucket, slice, hashes, documents), and one row with what is known of their documents."""
+    """Units, runs of a task's documents, to postings (bucket, unit, hashes, documents) and a row on their documents."""
+
+    def describe(keys: np.ndarray, ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        info, flat = np.zeros(len(sets), _DOC), np.concatenate([*sets, np.zeros(0, U)])
+        info["doc_id"], info["known"], info["key"], info["n"] = ids, known, keys, [len(s) for s in sets]
+        for name, salt in (("d1", 0x1234567), ("d2", 0x89ABCDEF01)):
+            total = np.r_[U(0), np.cumsum(mix(flat ^ U(salt)))]
+            info[name] = np.diff(total[np.r_[0, np.cumsum(info["n"])]])
+        return info, flat
+
+    def flush(unit: int, info: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+        info, doc = info.copy(), np.repeat(np.arange(len(info), dtype=np.int32), info["n"])
+        live = info["known"][doc] == 1
+        flat, doc = (flat, doc) if live.all() else (flat[live], doc[live])
+        order = np.argsort(flat, kind="stable")
+        flat, doc = flat[order], doc[order]
+        start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]][: len(flat)])
+        held = np.diff(np.r_[start, len(flat)])
+        info["shared"] = np.bincount(doc[np.repeat(held > 1, held)], minlength=len(info))
+        one, h = np.where(held > 1, NONE, doc[start]).astype("<u2"), flat[start]
+        cut = np.searchsorted((h >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1).astype(U))
+        rows, low = np.flatnonzero(np.diff(cut)), h.astype("<u4")
+        bucket = [*rows.tolist(), buckets + unit % buckets]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket, pa.int32()),
+                pa.array([unit] * len(bucket), pa.int64()),
+                pa.array([*(low[cut[r] : cut[r + 1]].tobytes() for r in rows), info.tobytes()], pa.binary()),
+                pa.array([*(one[cut[r] : cut[r + 1]].tobytes() for r in rows), b""], pa.binary()),
+            ],
+            names=["bucket", "slice", "hashes", "docs"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        unit, held, n_docs, n = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
             keys = batch["key"].to_numpy()
             ids, known = batch["doc_id"].fill_null(0).to_numpy(), batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             for i, j, data, offs in text_slices(batch["text"]):
-                for a in range(i, j, NONE):
-                    b = min(j, a + NONE)
-                    own = offs[a - i : b - i + 1]
-                    sets = Words(data[own[0] : own[-1]], own - own[0], lower=True).shingles(k)
-                    info = np.zeros(b - a, _DOC)
-                    info["doc_id"], info["known"], info["key"], info["n"] = ids[a:b], known[a:b], keys[a:b], [len(s) for s in sets]
-                    flat = np.concatenate([*sets, np.zeros(0, U)])
-                    doc = np.repeat(np.arange(b - a), info["n"])
-                    for name, salt in (("d1", 0x1234567), ("d2", 0x89ABCDEF01)):
-                        total = np.r_[U(0), np.cumsum(mix(flat ^ U(salt)))]
-                        info[name] = np.diff(total[np.r_[0, np.cumsum(info["n"])]])
-                    live = info["known"][doc] == 1
-                    flat, doc = flat[live], doc[live]
-                    order = np.argsort(flat, kind="stable")
-                    flat, doc = flat[order], doc[order]
-                    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]][: len(flat)])
-                    held = np.diff(np.r_[start, len(flat)])
-                    info["shared"] = np.bincount(doc[np.repeat(held > 1, held)], minlength=b - a)
-                    one = np.where(held > 1, NONE, doc[start]).astype("<u2")
-                    h = flat[start]
-                    cut = np.searchsorted((h >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1).astype(U))
-                    rows = np.flatnonzero(np.diff(cut))
-                    low = h.astype("<u4")
-                    bucket = [*rows.tolist(), buckets + number % buckets]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bucket, pa.int32()),
-                            pa.array([number] * len(bucket), pa.int64()),
-                            pa.array([*(low[cut[r] : cut[r + 1]].tobytes() for r in rows), info.tobytes()], pa.binary()),
-                            pa.array([*(one[cut[r] : cut[r + 1]].tobytes() for r in rows), b""], pa.binary()),
-                        ],
-                        names=["bucket", "slice", "hashes", "docs"],
-                    )
-                    number += 1
+                if held and (n_docs + j - i > UNIT_DOCS or n > UNIT_POSTINGS):
+                    yield flush(unit, *map(np.concatenate, zip(*held)))
+                    unit, held, n_docs, n = unit + 1, [], 0, 0
+                info, flat = describe(keys[i:j], ids[i:j], known[i:j], Words(data, offs, lower=True).shingles(k))
+                held.append((info, flat))
+                n_docs, n = n_docs + j - i, n + len(flat)
+        if held:
+            yield flush(unit, *map(np.concatenate, zip(*held)))
+            held = []
+        release()
 
     return run
 
 
 def _filter_bucket(buckets: int):
-    """(slice, documents, counts) of the postings of a bucket that another slice holds too; other rows pass."""
+    """(slice, documents, counts) of the postings of a bucket that another unit holds too; other rows pass."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] >= buckets:
@@ -119,7 +128,7 @@ def _filter_bucket(buckets: int):
 
 
 def _filter_slice(rows: pd.DataFrame) -> pd.DataFrame:
-    """What is known of each document of a slice, with its number of shared shingles."""
+    """What is known of each document of a unit, with its number of shared shingles."""
     info = np.frombuffer(next(d for d, c in zip(rows["docs"], rows["counts"]) if not c), _DOC).copy()
     for d, c in zip(rows["docs"], rows["counts"]):
         if c:

@@ -6,13 +6,14 @@ depend on how many rows Spark puts in an Arrow batch.  One document longer than
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_DOCS = 1 << 20, 20_000
 U = np.uint64
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
@@ -49,6 +50,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release() -> None:
+    """Gives freed memory of a worker back at the end of a task, where the C library can; workers outlive their tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Identifies a row for joins back to its text: equal rows may share it, different texts of one id do not."""
     return F.xxhash64(doc_id, F.lit(1), text)
@@ -89,7 +98,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray):
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     i = 0
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right"))))
+        j = min(n, i + SLICE_DOCS, max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right")) - 1))
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
