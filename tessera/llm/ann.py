@@ -98,27 +98,32 @@ def rerank(q_ids, q, q_cells, ids, v, cells, k: int) -> pd.DataFrame:
             visits.setdefault(c, []).append(row)
     got_i = [np.zeros(0, np.int64)] * len(q)
     got_s = [np.zeros(0)] * len(q)
+    floor = np.full(len(q), -2.0)  # of each query, its k-th cosine so far
     qu, vu = unit(q), unit(v)
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
     for a, b in zip(starts, [*starts[1:], len(cells)]):
-        rows = visits.get(int(cells[a]), [])
-        if not rows:
+        rows = np.array(visits.get(int(cells[a]), []), np.int64)
+        if not len(rows):
             continue
-        # equal vectors: the k + 1 smallest ids
-        _, group = np.unique(v[a:b], axis=0, return_inverse=True)
-        by = np.argsort(group.ravel(), kind="stable")
-        sorted_group = group.ravel()[by]
-        place = np.arange(b - a) - np.searchsorted(sorted_group, sorted_group)
-        own = a + np.sort(by[place <= k])
+        own = np.arange(a, b)
+        if b - a > k + 1:  # equal vectors: the k + 1 smallest ids
+            _, group = np.unique(v[a:b], axis=0, return_inverse=True)
+            by = np.argsort(group.ravel(), kind="stable")
+            in_order = group.ravel()[by]
+            own = a + np.sort(by[np.arange(b - a) - np.searchsorted(in_order, in_order) <= k])
         near = qu[rows] @ vu[own].T
-        for r, row in enumerate(rows):
-            s = np.where(ids[own] == q_ids[row], -np.inf, near[r])
-            cut = np.partition(s, -k)[-k] if len(s) > k else -2.0
-            cols = own[np.flatnonzero(s >= max(cut - 1e-9, -2.0))]
+        near[ids[own][None, :] == q_ids[rows][:, None]] = -3.0
+        # a vector that cannot be among the k best of its query so far is left; the slack is for rounding
+        for r in np.flatnonzero(near.max(axis=1) >= floor[rows] - 1e-9):
+            row, s = rows[r], near[r]
+            cut = max(floor[row], np.partition(s, -k)[-k] if len(s) > k else -2.0)
+            cols = own[s >= cut - 1e-9]
             all_i = np.append(got_i[row], ids[cols])
             all_s = np.append(got_s[row], cosines(q[row][None, :], v[cols]))
             top = best(all_i, all_s, k)
             got_i[row], got_s[row] = all_i[top], all_s[top]
+            if len(top) == k:
+                floor[row] = all_s[top[-1]]
     n = [len(x) for x in got_i]
     return pd.DataFrame({"query_id": np.repeat(q_ids, n), "vec_id": np.concatenate([*got_i, np.zeros(0, np.int64)]), "score": np.concatenate([*got_s, np.zeros(0)])})
 
