@@ -2,7 +2,8 @@
 
 Toxic documents go; of each group of near duplicates one document stays (the one of the smallest id); secrets are
 replaced by a mark; sources are mixed to their targets, a document standing in the result once for each time it is
-taken; the last stage encodes and decodes what is left.
+taken; the last stage encodes and decodes what is left.  Extra columns are carried along whatever their names; the
+stages' own columns begin with two underscores.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _few(keys: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"), carry=True)
-    return scored.where("predicted = 0").select(docs.columns)
+    return scored.toDF(*docs.columns, "__score", "__predicted").where("__predicted = 0").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard.checkpointed(jaccard.groups(docs).where("doc_id is not null").select("component_id", "doc_id", "key"))
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"))
     marked = found.join(best, "component_id").groupBy("key").agg(F.min((F.col("key") != F.col("best.key")).cast("int")).alias("gone"), F.count("*").alias("n"))
-    touched = jaccard.checkpointed(marked.where("gone = 1 or n > 1"))
-    keyed = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    whole = keyed.join(_few(touched.select("key")), "key", "left_anti")
-    repeated = keyed.join(_few(touched.where("gone = 0").select("key")), "key", "left_semi").dropDuplicates(["key"])
+    touched = jaccard.checkpointed(marked.where("gone = 1 or n > 1").withColumnRenamed("key", "__key"))
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    whole = keyed.join(_few(touched.select("__key")), "__key", "left_anti")
+    repeated = keyed.join(_few(touched.where("gone = 0").select("__key")), "__key", "left_semi").dropDuplicates(["__key"])
     return whole.unionByName(repeated).select(docs.columns)
 
 
@@ -48,10 +49,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).groupBy("row").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
-    keyed = docs.withColumn("row", row_key(F.col("doc_id"), F.col("text"))).join(taken, "row")
-    once = keyed.where("n = 1").unionByName(keyed.where("n > 1").dropDuplicates(["row"]))
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    taken = mixing.mix(docs).groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")).where("__copies > 0")
+    keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(taken, "__row")
+    once = keyed.where("__n = 1").unionByName(keyed.where("__n > 1").dropDuplicates(["__row"]))
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
