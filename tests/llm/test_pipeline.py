@@ -26,10 +26,16 @@ def test_stages(spark, sf, tmp_path):
     assert final <= ids(before["mixing"]) and docs.count() == before["byte_bpe"].count()
 
 
-def test_repeated_rows_are_one(spark):
+def test_awkward_rows_and_clashing_names(spark, sf):
+    from tessera.llm.textbatch import pick
     from tests.llm.fixtures import SCHEMA, documents
 
-    df = spark.createDataFrame(documents(), SCHEMA)
-    out = pipeline.drop_near_duplicates(spark, df.select("doc_id", "text", "lang", "source"), "").collect()
+    df = pick(spark.createDataFrame(documents(), SCHEMA), doc_id="doc_id", text="text", lang="lang", source="source", key="key", row="Text", score="lang", n="n_chars", copies="source")
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, df, sf).columns == df.columns
+    out = pipeline.drop_near_duplicates(spark, df, sf).collect()
     assert len([r for r in out if r.doc_id == 3]) == 1
     assert len({r.text for r in out if r.doc_id is None}) == 1
+    assert {r.key for r in out} <= {"k", None}
+    assert pipeline.mix_sources(spark, df, sf).count() > 0 and pipeline.redact_secrets(spark, df, sf).count() == df.count()
+    assert pipeline.drop_toxic(spark, df, sf).count() <= df.count()
