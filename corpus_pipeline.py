@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, and one row of it; rows with a null id stay."""
-    found = jaccard.checkpointed(jaccard.groups(docs).where("doc_id is not null").select("component_id", "doc_id", "key"))
+    found = jaccard.checkpointed(jaccard.groups(docs, count_links=False).where("doc_id is not null").select("component_id", "doc_id", "key"))
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"))
     marked = found.join(best, "component_id").groupBy("key").agg(F.min((F.col("key") != F.col("best.key")).cast("int")).alias("gone"), F.count("*").alias("n"))
     touched = jaccard.checkpointed(marked.where("gone = 1 or n > 1").withColumnRenamed("key", "__key"))

@@ -12,6 +12,10 @@ ever formed:
 4. *Rest.*  Shingles that occur in one component so far prove nothing new, so the filter is repeated with components in
    place of documents.  What is left falls into units that share prefix tokens; a unit is cut by length and hash into
    chunks, and every chunk whose lengths fit is probed against the prefix tree of another.
+5. *Count.*  Steps 3 and 4 find the components, not every link.  All links of a set lie inside its component, so the
+   components are cut by length and hash into chunks, and every two chunks whose lengths fit are probed once more, now
+   for all links.  Only their number for each set leaves a task: a family of m sets has up to m (m - 1) / 2 of them, and
+   a set goes to as many tasks as there are chunks that fit it.
 
 A prefix tree holds sets in the order of (holders in the chunk, hash), so near copies share long paths.  It is walked
 once for all probes: a node adds its tokens' row of the probe matrix to its parent's overlaps, and a subtree is left when
@@ -40,6 +44,8 @@ BUCKET_POSTINGS, CHUNK, BROADCAST_ROWS, NONE = 1_000_000, 256, 500_000, 65535
 #: Documents and postings that a unit of a task holds before its postings leave.
 UNIT_DOCS, UNIT_POSTINGS = 60_000, 700_000
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "<i4"), ("n", "<i4"), ("key", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("shared", "<i8")])
+#: What names a pair of chunks of a component.
+_CHUNKS = ["band", "chunk", "band2", "chunk2"]
 _PER_DOC = "doc_id long, key long, n int, d1 long, d2 long, shared long"
 
 
@@ -297,11 +303,58 @@ def _rest_links(sets: DataFrame, percent: int) -> DataFrame:
     return _links(tree, asked, placed.count(), percent)
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _count(percent: int):
+    """(id, n): links of each set in each block of a group; a block without side 1 meets itself."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, block in rows.groupby(["comp", *_CHUNKS]):
+            own, other = block[block["side"] == 0], block[block["side"] == 1]
+            alone = not len(other)
+            met = [(side["id"].to_numpy(), side["n"].to_numpy().astype(np.int64), [np.frombuffer(x, U) for x in side["set"]]) for side in (own, own if alone else other)]
+            (a, n, t), (b, m, p) = met
+            hits = np.array(walk(t, n, p, m, percent), np.int64).reshape(-1, 2)
+            if alone:  # each link is met from both of its ends
+                hits = hits[hits[:, 0] != hits[:, 1]]
+            else:
+                ids.append(b)
+                counts.append(np.bincount(hits[:, 1], minlength=len(b)))
+            ids.append(a)
+            counts.append(np.bincount(hits[:, 0], minlength=len(a)))
+        found = pd.DataFrame({"id": np.concatenate(ids), "n": np.concatenate(counts)})
+        return found[found["n"] > 0].groupby("id", as_index=False).sum()
+
+    return run
+
+
+def _degrees(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n_links): links of each set; sets: (id, n, comp, set), every link inside one comp."""
+    members = sets.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1")
+    # a component that fits one chunk is not cut by length
+    band = F.when(F.col("members") <= CHUNK, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(1.1))).cast("int")
+    placed = checkpointed(sets.join(members, "comp").withColumn("band", band))
+    reach = math.ceil(math.log(100 / percent) / math.log(1.1)) + 1
+    held = placed.groupBy("comp", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = placed.join(held, ["comp", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("comp", "band", "chunk", "id", "n", "set")
+    chunks = dealt.groupBy("comp", "band", "chunk").agg(F.count("*").alias("rows"))
+    other = chunks.toDF("comp", "band2", "chunk2", "rows2")
+    alone = (F.col("band2") == F.col("band")) & (F.col("chunk2") == F.col("chunk"))
+    later = (F.col("band2") > F.col("band")) | ((F.col("band2") == F.col("band")) & (F.col("chunk2") >= F.col("chunk")))
+    pairs = checkpointed(chunks.join(other, "comp").where(later & (F.col("band2") - F.col("band") <= reach)).withColumn("alone", alone))
+    rows = pairs.agg(F.sum(F.col("rows") + F.when(F.col("alone"), 0).otherwise(F.col("rows2")))).first()[0] or 0
+    columns = ["comp", *_CHUNKS, "side", "id", "n", "set"]
+    one = dealt.join(pairs, ["comp", "band", "chunk"]).withColumn("side", F.lit(0)).select(columns)
+    two = dealt.withColumnsRenamed({"band": "band2", "chunk": "chunk2"}).join(pairs.where("not alone"), ["comp", "band2", "chunk2"]).withColumn("side", F.lit(1)).select(columns)
+    met = one.unionByName(two).withColumn("g", F.pmod(F.xxhash64("comp", *_CHUNKS), F.lit(max(64, math.ceil(rows / 256)))))
+    return checkpointed(met.groupBy("g").applyInPandas(_count(percent), "id long, n long")).groupBy("id").agg(F.sum("n").alias("n_links"))
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(doc_id, key, n_shingles, class_id, component_id, n_links) of each row.
 
-    class_id: the smallest id with an equal set; n_links: links of the class's set with other sets that were met, at
-    least one wherever there is any; key: an xxhash64 of id and text, to join back on.
+    class_id: the smallest id with an equal set; n_links: links of the class's set with other sets, every one counted
+    (null if not ``count_links``); key: an xxhash64 of id and text, to join back on.
     """
     src = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     src = src.withColumn("key", F.xxhash64("doc_id", F.lit(1), "text"))
@@ -329,7 +382,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id
     with_comp = sets.join(met, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), "set")
     links = first.unionByName(_rest_links(with_comp, percent))
     joined = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    if count_links:
+        degree = _degrees(sets.join(joined.withColumnRenamed("component", "comp"), "id"), percent).withColumnRenamed("id", "class_id")
+    else:
+        degree = classes.select("class_id", F.lit(None).cast("long").alias("n_links")).where("false")
     by_class = classes.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class_id", "left").drop("rep_key")
     every = every.join(by_class, ["d1", "d2", "n"], "left").withColumn("mine", F.col("doc_id").isNotNull() & F.col("class_id").isNotNull())
     return every.select(
@@ -338,5 +394,5 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("mine"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("mine"), F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("mine"), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        (F.coalesce(F.when(F.col("mine"), F.col("n_links")), F.lit(0)) if count_links else F.col("n_links")).cast("long").alias("n_links"),
     )

@@ -43,6 +43,28 @@ def test_brute_force(spark, monkeypatch, chunk):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_every_link_is_counted(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rows = [r for r in documents(chunk) if r[0] is not None and r[:2] != (5, "another text of a repeated id that has some six words")]
+    base = [f"b{i}" for i in range(100)]
+    rows += [(900 + i, " ".join([*base[: 100 - i % 4], *(f"c{i}x{j}" for j in range(i % 5))]), "en", "s", 1, "", "") for i in range(30)]
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    different = set(sets.values())
+    links = {s: sum(100 * len(s & t) >= 75 * len(s | t) for t in different if t != s) if s else 0 for s in different}
+    assert max(links.values()) > 20
+    got = jaccard.groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: links[s] for i, s in sets.items()}
+
+
+def test_links_of_a_table_equal_sql(spark):
+    from tessera.llm.queries import ORACLE_SQL, QUERIES
+    from tests.oracle import connect, differences
+
+    sf = "/root/testdata/sf0.001"
+    assert differences(QUERIES["op4_jaccard_links"](spark, sf), connect(sf), ORACLE_SQL["op4_jaccard_links"]) == []
+
+
 def test_repeated_id_with_two_texts_keeps_both_rows(spark):
     rows = documents()
     assert jaccard.groups(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
