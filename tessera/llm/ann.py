@@ -4,7 +4,8 @@ The two halves of each unit vector are quantised separately (k-means on a bounde
 its pair of centroids.  A query walks the pairs by summed squared distance with a heap until the pairs hold ``visit`` of
 all rows, and at least ``LEAST_VISIT``; their entries are reranked by the exact cosine of the original vectors.
 
-Cells are dealt to shards of about ``SHARD_ROWS`` rows; a cell with more is split over several shards by a hash of the
+Queries and entries meet in (query block, shard) pairs: a group holds about ``QUERY_ROWS`` queries at most, however many
+there are, and ``QUERY_STEP`` of them at a time are scored against a cell.  Cells are dealt to shards of about ``SHARD_ROWS`` rows; a cell with more is split over several shards by a hash of the
 ids, all of which its queries visit, so no cell is capped.  Equal vectors of a shard are scored once and keep their k + 1
 smallest ids, which is all a query can return of them.
 
@@ -28,6 +29,7 @@ from tessera.llm.textbatch import checkpointed
 from tessera.llm.vectors import best, fit_sample, matrix, packed, ranked, unpack, usable
 
 CENTROIDS, ROUNDS, SHARD_ROWS, LEAST_SHARDS, LEAST_VISIT = 64, 10, 8192, 16, 2000
+QUERY_ROWS, QUERY_STEP = 2048, 256
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -111,19 +113,20 @@ def rerank(q_ids, q, q_cells, ids, v, cells, k: int) -> pd.DataFrame:
             by = np.argsort(group.ravel(), kind="stable")
             in_order = group.ravel()[by]
             own = a + np.sort(by[np.arange(b - a) - np.searchsorted(in_order, in_order) <= k])
-        near = qu[rows] @ vu[own].T
-        near[ids[own][None, :] == q_ids[rows][:, None]] = -3.0
-        # a vector that cannot be among the k best of its query so far is left; the slack is for rounding
-        for r in np.flatnonzero(near.max(axis=1) >= floor[rows] - 1e-9):
-            row, s = rows[r], near[r]
-            cut = max(floor[row], np.partition(s, -k)[-k] if len(s) > k else -2.0)
-            cols = own[s >= cut - 1e-9]
-            all_i = np.append(got_i[row], ids[cols])
-            all_s = np.append(got_s[row], cosines(q[row][None, :], v[cols]))
-            top = best(all_i, all_s, k)
-            got_i[row], got_s[row] = all_i[top], all_s[top]
-            if len(top) == k:
-                floor[row] = all_s[top[-1]]
+        for some in (rows[i : i + QUERY_STEP] for i in range(0, len(rows), QUERY_STEP)):
+            near = qu[some] @ vu[own].T
+            near[ids[own][None, :] == q_ids[some][:, None]] = -3.0
+            # a vector that cannot be among the k best of its query so far is left; the slack is for rounding
+            for r in np.flatnonzero(near.max(axis=1) >= floor[some] - 1e-9):
+                row, s = some[r], near[r]
+                cut = max(floor[row], np.partition(s, -k)[-k] if len(s) > k else -2.0)
+                cols = own[s >= cut - 1e-9]
+                all_i = np.append(got_i[row], ids[cols])
+                all_s = np.append(got_s[row], cosines(q[row][None, :], v[cols]))
+                top = best(all_i, all_s, k)
+                got_i[row], got_s[row] = all_i[top], all_s[top]
+                if len(top) == k:
+                    floor[row] = all_s[top[-1]]
     n = [len(x) for x in got_i]
     return pd.DataFrame({"query_id": np.repeat(q_ids, n), "vec_id": np.concatenate([*got_i, np.zeros(0, np.int64)]), "score": np.concatenate([*got_s, np.zeros(0)])})
 
@@ -175,6 +178,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.5,
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         return rerank(q["query_id"].to_numpy(), unpack(q["blob"], dims), q["cells"].tolist(), own["vec_id"].to_numpy(), unpack(own["blob"], dims), own["cell"].to_numpy(), k)
 
-    queries = index.where(is_query).groupBy("vec_id").agg(F.min("blob").alias("blob")).mapInArrow(visits, "query_id long, blob binary, shard int, cells array<int>")
-    entries = index.mapInArrow(shard, "shard int, vec_id long, cell int, blob binary")
-    return ranked(queries.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(meet, schema), k)
+    asked = checkpointed(index.where(is_query).groupBy("vec_id").agg(F.min("blob").alias("blob")))
+    blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
+    queries = asked.mapInArrow(visits, "query_id long, blob binary, shard int, cells array<int>")
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int"))
+    entries = index.mapInArrow(shard, "shard int, vec_id long, cell int, blob binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = ["block", "shard"]
+    return ranked(queries.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(meet, schema), k)

@@ -90,6 +90,36 @@ def test_ann_recall_on_embeddings(spark):
     assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * 5 * len(q)
 
 
+def test_ann_groups_and_matrices_hold_bounded_queries(spark, monkeypatch, tmp_path):
+    rows, real, seen = vectors(4), ann.rerank, str(tmp_path / "seen")
+
+    def noting(q_ids, *rest):
+        with open(seen, "a") as f:
+            f.write(f"{len(q_ids)}\n")
+        return real(q_ids, *rest)
+
+    df, every = spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 2 == 0
+    monkeypatch.setattr(ann, "rerank", noting)
+    want = sorted(map(tuple, ann.search(df, every).collect()))
+    assert max(map(int, open(seen))) > 200  # one block of all queries
+    open(seen, "w").close()
+    monkeypatch.setattr(ann, "QUERY_ROWS", 40)
+    assert sorted(map(tuple, ann.search(df, every).collect())) == want
+    assert max(map(int, open(seen))) < 90
+
+
+def test_a_cell_is_scored_for_slices_of_its_queries(monkeypatch):
+    rng, shapes = np.random.default_rng(5), []
+    v, q = rng.normal(size=(300, 8)), rng.normal(size=(100, 8))
+    ask = lambda: ann.rerank(np.arange(1000, 1100), q, [[0]] * 100, np.arange(300), v, np.zeros(300, int), 5)
+    want, real = ask(), np.flatnonzero
+    monkeypatch.setattr(ann, "QUERY_STEP", 7)
+    monkeypatch.setattr(ann.np, "flatnonzero", lambda x: shapes.append(len(x)) or real(x))
+    got = ask()
+    monkeypatch.undo()
+    assert got.equals(want) and max(shapes[1:]) == 7
+
+
 def test_hot_cells_are_split():
     counts = np.array([5, 0, 1000, 7, 90])
     first, number, shards = ann.deal(counts, 100)
