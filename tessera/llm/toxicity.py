@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. Lexicon: words and 4 or 5-letter word beginnings whose share of toxic documents is certainly high among the training rows.
-2. Voters: every lexicon entry, and patterns over a document (several entries, their density, shouting, insults with
+2. Voters: every lexicon entry, and patterns over a whole document (several entries, their density, shouting, insults with
    exclamation marks).
 3. Label model: a two-class generative model of the voters, fitted by EM.  It estimates each voter's rate of firing in
    either class and the correlations between voters within a class; the evidence of a voter is divided by the sum of its
@@ -83,7 +83,7 @@ def signals(texts: list[str], at: dict[str, int], known: dict[str, tuple[int, ..
                 kinds.add(w)
                 votes[i, list(own)] = 1
         n = max(1, len(words))
-        upper = sum(map(str.isupper, t[:4096])) / max(1, len(t[:4096])) if n_hits else 0.0
+        upper = sum(map(str.isupper, t)) / max(1, len(t)) if n_hits else 0.0
         share = n_hits / n
         votes[i, len(at) :] = (n_hits >= 1, n_hits >= 2, n_hits >= 3, share >= 0.005, upper > 0.3, n_hits > 0 and t.count("!") > 3)
         dense[i] = (np.log1p(n_hits), np.log1p(len(kinds)), np.log1p(1000 * share), n_hits > 0)

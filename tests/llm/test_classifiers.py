@@ -57,6 +57,12 @@ def test_label_model_trusts_voters_that_agree_with_labels():
     assert ((p > 0.5) == y).mean() > 0.96
 
 
+def test_capitals_count_wherever_they_stand():
+    low, high = "hit " + "word " * 900, "SHOUT " * 900
+    votes = toxicity.signals([low + high, high + low, low + "X", "HIT " + high[:4092] + low * 9], {"hit": 0})[0]
+    assert votes[:, 1 + toxicity.PATTERNS.index("shouting")].tolist() == [1, 1, 0, 0]
+
+
 def test_isotonic():
     rng = np.random.default_rng(0)
     x = rng.random(500)
