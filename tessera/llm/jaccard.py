@@ -10,8 +10,9 @@ ever formed:
 3. *Pivots.*  Of globally ordered (hash order) sets, linked ones share a token among their first n - ceil(p n) + 1.  All
    holders of such a token meet only its smallest holder: a prefix tree over up to ``CHUNK`` holders, probed by the pivot.
 4. *Rest.*  Shingles that occur in one component so far prove nothing new, so the filter is repeated with components in
-   place of documents.  What is left falls into units that share prefix tokens; a unit is cut by length and hash into
-   chunks, and every chunk whose lengths fit is probed against the prefix tree of another.
+   place of documents.  Sets that are left are ordered with their rarest shingle first.  Two of them are a candidate only
+   if they share a shingle that stands so early in both that what is left after it can still reach what their lengths
+   require; candidates are dealt to blocks and probed as in step 3.
 5. *Count.*  Steps 3 and 4 find the components, not every link.  All links of a set lie inside its component, so the
    components are cut by length and hash into chunks, and every two chunks whose lengths fit are probed once more, now
    for all links.  Only their number for each set leaves a task: a family of m sets has up to m (m - 1) / 2 of them, and
@@ -263,12 +264,18 @@ def _star_links(sets: DataFrame, percent: int) -> DataFrame:
     posts = _prefixes(sets, percent)
     pivot = posts.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p")
     edges = posts.join(pivot, "h").where((F.col("p.id") != F.col("id")) & _fits(F.col("p.n"), F.col("n"), percent))
-    edges = checkpointed(edges.select(F.col("p.id").alias("pivot"), "id").distinct())
+    edges = edges.select(F.col("p.id").alias("pivot"), "id").distinct()
+    return _probe(edges, sets.select("id", "n", F.col("id").alias("comp"), "set"), percent)
+
+
+def _probe(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the edges (pivot, id) whose ends differ in comp; sets: (id, n, comp, set)."""
+    edges = checkpointed(edges)
     held = edges.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = edges.join(held, "pivot").withColumn("block", F.xxhash64("pivot", F.pmod(F.xxhash64("id"), F.col("chunks"))))
-    tree = dealt.join(sets, "id").select("block", "id", "n", F.col("id").alias("comp"), "set")
+    tree = dealt.join(sets, "id").select("block", "id", "n", "comp", "set")
     asked = dealt.select("pivot", "block").distinct().join(sets.withColumnRenamed("id", "pivot"), "pivot")
-    return _links(tree, asked.select("block", F.col("pivot").alias("id"), "n", F.col("pivot").alias("comp"), "set"), edges.count(), percent)
+    return _links(tree, asked.select("block", F.col("pivot").alias("id"), "n", "comp", "set"), edges.count(), percent)
 
 
 def _rest_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -283,24 +290,17 @@ def _rest_links(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.repeat(part["id"].to_numpy(), n)), pa.array(np.repeat(part["comp"].to_numpy(), n))], names=["h", "id", "comp"])
 
     flat = sets.select("id", "comp", "set").mapInArrow(tokens, "h long, id long, comp long")
-    common = flat.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("h")
-    counts = flat.select("h", "id").join(common, "h", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
-    left = checkpointed(sets.join(counts, "id").where(100 * F.col("shared") >= percent * F.col("n")).drop("shared"))
-    posts = _prefixes(left, percent)
-    first = posts.groupBy("h").agg(F.min("id").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p")
-    units = components(posts.join(first, "h").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()).withColumnRenamed("component", "unit")
-    # bands of lengths that grow by a tenth: linked lengths lie at most four bands apart at 75 %
-    reach = math.ceil(math.log(100 / percent) / math.log(1.1)) + 1
-    placed = checkpointed(left.join(units, "id").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).cast("int")))
-    held = placed.groupBy("unit", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = placed.join(held, ["unit", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
-    chunks = held.select("unit", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    other = chunks.select("unit", F.col("band").alias("band2"), F.col("chunk").alias("chunk2"))
-    later = (F.col("band2") > F.col("band")) | ((F.col("band2") == F.col("band")) & (F.col("chunk2") >= F.col("chunk")))
-    pairs = chunks.join(other, "unit").where(later & (F.col("band2") - F.col("band") <= reach)).withColumn("block", F.xxhash64("unit", "band", "chunk", "band2", "chunk2"))
-    tree = dealt.join(pairs, ["unit", "band", "chunk"]).select("block", "id", "n", "comp", "set")
-    asked = dealt.withColumnsRenamed({"band": "band2", "chunk": "chunk2"}).join(pairs, ["unit", "band2", "chunk2"]).select("block", "id", "n", "comp", "set")
-    return _links(tree, asked, placed.count(), percent)
+    common = flat.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x != y").select("h", "c")
+    held = flat.select("h", "id").join(common, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("t"))
+    left = checkpointed(sets.select("id", "n", "comp").join(held, "id").where(100 * F.size("t") >= percent * F.col("n")))
+    posts = left.select("id", "n", "comp", F.size("t").alias("size"), F.posexplode("t.h").alias("at", "h"))
+    posts = posts.withColumn("rest", F.col("size") - F.col("at")).where(100 * F.col("rest") >= percent * F.col("n")).select("h", "id", "n", "comp", "rest")
+    # of a candidate, the pivot is the shorter set; its shingle stands still earlier, as the other is no shorter
+    first = posts.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("n")).toDF("h", "pivot", "m", "comp2", "rest2")
+    shorter = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("pivot") < F.col("id")))
+    enough = (100 + percent) * F.least("rest", "rest2") >= percent * (F.col("n") + F.col("m"))
+    edges = first.join(posts, "h").where(shorter & enough & _fits(F.col("m"), F.col("n"), percent) & (F.col("comp") != F.col("comp2")))
+    return _probe(edges.select("pivot", "id").distinct(), sets, percent)
 
 
 def _count(percent: int):

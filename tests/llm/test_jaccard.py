@@ -65,6 +65,25 @@ def test_links_of_a_table_equal_sql(spark):
     assert differences(QUERIES["op4_jaccard_links"](spark, sf), connect(sf), ORACLE_SQL["op4_jaccard_links"]) == []
 
 
+def test_texts_of_one_template_do_not_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rows, sizes, real = [], [], jaccard._links
+    for i in range(60):  # pairs of copies share nine tenths; two texts of different pairs share less than 0.75
+        own = [f"p{i // 2}x{j}" for j in range(24)]
+        own[i % 2] += "y" * (i % 2)
+        rows.append((i, " ".join([*(f"t{j}" for j in range(100)), *own])))
+
+    def noting(tree, probes, *rest):
+        sizes.append(tree.count() + probes.count())
+        return real(tree, probes, *rest)
+
+    monkeypatch.setattr(jaccard, "_links", noting)
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert len({r.component_id for r in got}) == 30
+    assert sizes[-1] <= 2 * len(rows)
+
+
 def test_repeated_id_with_two_texts_keeps_both_rows(spark):
     rows = documents()
     assert jaccard.groups(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
