@@ -76,6 +76,11 @@ def test_ann_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_ann_recall_of_half_a_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_VISIT", 0)  # else all 2000 rows are visited
+    test_ann_recall_on_embeddings(spark)
+
+
 def test_ann_recall_on_embeddings(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.toPandas()
