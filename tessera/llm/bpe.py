@@ -3,10 +3,12 @@
 Each distinct piece of text gets a segment tree over its byte positions.  A leaf holds ``rank * leaves + position`` of
 the pair that starts there, so the root is the leftmost pair of least rank; a merge changes the leaves of the merged
 pair and of its live neighbours, each a climb of log2(leaves) nodes.  Trees of one size form a NumPy array and take
-their next merges together.  Pieces already seen are kept in a bounded memo.
+their next merges together; where only a few have a size, each is walked alone.  Chunks already seen are kept in a memo
+of bounded bytes.
 
-Texts: null counts as empty; an empty text has no ids and decodes to no bytes.  Repeated rows and repeated ids are
-encoded row by row.  An empty table gives an empty result.  Other columns of the input are not touched.
+Texts: null counts as empty; an empty text has no ids and decodes to no bytes.  A very long text is encoded whole, and
+one piece of n bytes takes n log n steps (a megabyte without any break: about half a minute).  Repeated rows and repeated
+ids are encoded row by row.  An empty table gives an empty result.  Other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from tessera.llm.chunks import ChunkMemo
-from tessera.llm.textbatch import pick, release
+from tessera.llm.textbatch import pick, release, text_slices
 
 INF = np.int64(1) << 62
-#: Pieces kept by a worker, and documents encoded together.
-MEMO, TOGETHER = 800_000, 512
+#: Of fewer trees of a size than this, each is walked alone.
+FEW = 16
 #: The split pattern of the public byte-level vocabularies, which has a faster form for texts below U+0250.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -69,7 +71,8 @@ class Bpe:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = np.fromiter(found.values(), np.int64, len(found))[order]
-        self.chunks = ChunkMemo(self.encode_pieced, MEMO) if pattern == USUAL else None
+        self.pairs = found
+        self.chunks = ChunkMemo(self.encode_pieced) if pattern == USUAL else None
 
     def _keys(self, left: np.ndarray, right: np.ndarray, pos: np.ndarray, m: int) -> np.ndarray:
         """Leaf values of pairs; INF where the pair has no rank."""
@@ -125,6 +128,46 @@ class Bpe:
         ids, ends = tok[live].astype("<u4").tobytes(), np.cumsum(live.sum(axis=1)) * 4
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _alone(self, piece: bytes, m: int) -> bytes:
+        """Ids of one piece of at most m + 1 bytes; m is a power of two."""
+        n, rank_of, none = len(piece), self.pairs.get, int(INF)
+        tok, nxt, prv, live = [int(self.byte[b]) for b in piece], list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
+
+        def key(a: int, b: int, place: int) -> int:
+            rank = rank_of(a << 32 | b)
+            return none if rank is None else rank * m + place
+
+        tree = [none] * (2 * m)
+        for i in range(n - 1):
+            tree[m + i] = key(tok[i], tok[i + 1], i)
+        for i in range(m - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + m
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while n > 1 and tree[1] < none:
+            rank, p = divmod(tree[1], m)
+            q = nxt[p]
+            s = nxt[q]
+            tok[p], nxt[p], live[q] = rank, s, 0
+            if q < m:
+                put(q, none)
+            put(p, key(rank, tok[s], p) if s < n else none)
+            if s < n:
+                prv[s] = p
+            if p:
+                put(prv[p], key(tok[prv[p]], rank, prv[p]))
+        return np.array([t for t, on in zip(tok, live) if on], "<u4").tobytes()
+
     def encode_pieces(self, pieces: Iterable[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers; a piece that is a token is that token."""
         pieces = list(pieces)
@@ -136,6 +179,10 @@ class Bpe:
             else:
                 sizes.setdefault(1 << max(0, (len(p) - 2).bit_length()), []).append(i)
         for m, own in sizes.items():
+            if len(own) < FEW:
+                for i in own:
+                    out[i] = self._alone(pieces[i], m)
+                continue
             step = max(1, (1 << 17) // m)
             for k in range(0, len(own), step):
                 part = own[k : k + step]
@@ -157,7 +204,7 @@ class Bpe:
     def forget(self) -> None:
         """Empties the memo, at the end of a task."""
         if self.chunks:
-            self.chunks.memo, self.chunks.old = {}, {}
+            self.chunks.forget()
         release()
 
     def decode(self, ids: bytes) -> bytes:
@@ -177,8 +224,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(ranks_path, pattern)
         for batch in batches:
-            for i in range(0, len(batch), TOGETHER):
-                part = batch.slice(i, TOGETHER)
+            for i, j, *_ in text_slices(batch["text"]):
+                part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(coder.encode(part["text"].to_pylist()), pa.binary())], names=["doc_id", "ids"])
         coder.forget()
 
@@ -192,8 +239,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(ranks_path, pattern)
         for batch in batches:
-            for i in range(0, len(batch), TOGETHER):
-                part = batch.slice(i, TOGETHER)
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([coder.decode(x or b"") for x in part["ids"].to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, decoded binary")
@@ -209,8 +256,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(ranks_path, pattern)
         for batch in batches:
-            for i in range(0, len(batch), TOGETHER):
-                part = batch.slice(i, TOGETHER)
+            for i, j, *_ in text_slices(batch["text"]):
+                part = batch.slice(i, j - i)
                 coded = coder.encode(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -11,16 +11,28 @@ import re
 from collections.abc import Callable
 
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
-#: Chunks longer than this are not kept beyond their batch.
-LONG = 64
+#: Chunks longer than this are not kept beyond their batch; bytes of each of a memo's two generations, and of an entry beside its texts.
+LONG, MEMO_BYTES, ENTRY_BYTES = 64, 32 << 20, 140
 
 
 class ChunkMemo:
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = 800_000):
-        self.encode_many, self.size = encode, size
+    """whole: strings of which a text is not cut, as special tokens; size: bytes a generation may hold, about."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = MEMO_BYTES, whole: tuple[str, ...] = ()):
+        self.encode_many, self.size, self.uncut = encode, size, whole
+        self.forget()
+
+    def forget(self) -> None:
         # two generations: what a full memo held is kept, and moves on when it is met again
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, chunk: str, encoded: bytes) -> None:
+        if self.held >= self.size:
+            self.old, self.memo, self.held = self.memo, {}, 0
+        self.memo[chunk] = encoded
+        self.held += ENTRY_BYTES + len(chunk) + len(encoded)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The encoded bytes of each text; null counts as empty."""
@@ -29,24 +41,21 @@ class ChunkMemo:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if "  " in t or " \n" in t or t[-1] == " " or _ODD(t):
+            if "  " in t or " \n" in t or t[-1] == " " or _ODD(t) or any(x in t for x in self.uncut):
                 whole.append(i)
             else:
                 chunks[i] = t.split(" ")
         heads = [c.pop(0) for c in chunks.values()]
         seen = set().union(*chunks.values())
-        if len(self.memo) > self.size:
-            self.old, self.memo = self.memo, {}
-        get, memo, old = {}, self.memo, self.old
-        new = []
+        get, new = {}, []
         for c in seen:
-            x = memo.get(c)
+            x = self.memo.get(c)
             if x is None:
-                x = old.get(c)
+                x = self.old.get(c)
                 if x is None:
                     new.append(c)
                     continue
-                memo[c] = x
+                self._keep(c, x)
             get[c] = x
         made = self.encode_many([texts[i] for i in whole] + heads + [" " + c for c in new])
         for i, x in zip(whole, made):
@@ -54,7 +63,7 @@ class ChunkMemo:
         for c, x in zip(new, made[len(whole) + len(heads) :]):
             get[c] = x
             if len(c) <= LONG:
-                memo[c] = x
+                self._keep(c, x)
         find = get.__getitem__  # the batch's own chunks only: a small table that stays in the processor's cache
         for (i, c), head in zip(chunks.items(), made[len(whole) :]):
             out[i] = head + b"".join(map(find, c))

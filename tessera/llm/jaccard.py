@@ -22,13 +22,16 @@ A prefix tree holds sets in the order of (holders in the chunk, hash), so near c
 once for all probes: a node adds its tokens' row of the probe matrix to its parent's overlaps, and a subtree is left when
 no probe's overlap plus the subtree's remaining length can reach what the lengths require.
 
-Hashes have 64 bits (the filter, which may only err towards keeping, uses fewer).  Null and empty texts have no
-shingles and link with nothing.  Rows with a null id take no part: their component is null.  Repeated rows get equal
-results.  An empty table gives an empty result.
+A shingle is a 64-bit hash of its words, chained without algebra; equal sets are told by a 128-bit digest of the whole
+set (the filter, which may only err towards keeping, uses fewer bits).  Null and empty texts have no shingles and link
+with nothing.  A very long text is one set, however many shingles it has.  Rows with a null id take no part: their
+component is null.  Repeated rows get equal results, and two texts of one id are two sets.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -39,9 +42,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.textbatch import U, Words, checkpointed, mix, pick, release, text_slices
+from tessera.llm.textbatch import U, Words, checkpointed, pick, release, text_slices
 
-BUCKET_POSTINGS, CHUNK, BROADCAST_ROWS, NONE = 1_000_000, 256, 500_000, 65535
+BUCKET_POSTINGS, CHUNK, BROADCAST_ROWS, NONE = 1_000_000, 128, 500_000, 65535
 #: Documents and postings that a unit of a task holds before its postings leave.
 UNIT_DOCS, UNIT_POSTINGS = 60_000, 700_000
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "<i4"), ("n", "<i4"), ("key", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("shared", "<i8")])
@@ -56,9 +59,8 @@ def _filter_map(k: int, buckets: int):
     def describe(keys: np.ndarray, ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         info, flat = np.zeros(len(sets), _DOC), np.concatenate([*sets, np.zeros(0, U)])
         info["doc_id"], info["known"], info["key"], info["n"] = ids, known, keys, [len(s) for s in sets]
-        for name, salt in (("d1", 0x1234567), ("d2", 0x89ABCDEF01)):
-            total = np.r_[U(0), np.cumsum(mix(flat ^ U(salt)))]
-            info[name] = np.diff(total[np.r_[0, np.cumsum(info["n"])]])
+        digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<u8").reshape(-1, 2)
+        info["d1"], info["d2"] = digests[:, 0], digests[:, 1]
         return info, flat
 
     def flush(unit: int, info: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
@@ -234,7 +236,7 @@ def _links(tree: DataFrame, probes: DataFrame, rows: int, percent: int) -> DataF
 
     A block is the hash of what names it: two that clash meet each other too, which adds no link that is not one.
     """
-    groups = max(64, math.ceil(rows / 128))
+    groups = max(64, math.ceil(rows / 64))
     tree, probes = (x.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))) for x in (tree, probes))
     probes = probes.toDF(*probes.columns)
     return checkpointed(tree.groupBy("g").cogroup(probes.groupBy("g")).applyInPandas(_meet(percent), "a long, b long"))
@@ -346,7 +348,7 @@ def _degrees(sets: DataFrame, percent: int) -> DataFrame:
     columns = ["comp", *_CHUNKS, "side", "id", "n", "set"]
     one = dealt.join(pairs, ["comp", "band", "chunk"]).withColumn("side", F.lit(0)).select(columns)
     two = dealt.withColumnsRenamed({"band": "band2", "chunk": "chunk2"}).join(pairs.where("not alone"), ["comp", "band2", "chunk2"]).withColumn("side", F.lit(1)).select(columns)
-    met = one.unionByName(two).withColumn("g", F.pmod(F.xxhash64("comp", *_CHUNKS), F.lit(max(64, math.ceil(rows / 256)))))
+    met = one.unionByName(two).withColumn("g", F.pmod(F.xxhash64("comp", *_CHUNKS), F.lit(max(64, math.ceil(rows / 128)))))
     return checkpointed(met.groupBy("g").applyInPandas(_count(percent), "id long, n long")).groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
@@ -366,8 +368,15 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id
     likely = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")))
     classes = likely.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "key")).alias("rep"))
     classes = checkpointed(classes.select("d1", "d2", "n", F.col("rep.doc_id").alias("class_id"), F.col("rep.key").alias("rep_key")))
-    wanted = classes.select(F.col("class_id").alias("id"), F.col("rep_key").alias("key"))
-    wanted = F.broadcast(wanted) if classes.count() <= BROADCAST_ROWS else wanted
+    # classes are numbered by a hash, salted until no two share one
+    n_classes, salt = classes.count(), 0
+    node = F.xxhash64(F.lit(salt), "d1", "d2", "n")
+    while classes.select(node).distinct().count() < n_classes:
+        salt += 1
+        node = F.xxhash64(F.lit(salt), "d1", "d2", "n")
+    classes = classes.withColumn("node", node)
+    wanted = classes.select(F.col("node").alias("id"), F.col("class_id").alias("doc_id"), F.col("rep_key").alias("key"))
+    wanted = F.broadcast(wanted) if n_classes <= BROADCAST_ROWS else wanted
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,24 +384,29 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id
                 s = Words(data, offs, lower=True).shingles(k)
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), pa.array([len(x) for x in s], pa.int32()), pa.array([x.view("<i8")[np.argsort(x.view("<i8"))].tobytes() for x in s], pa.binary())], names=["id", "n", "set"])
 
-    texts = src.join(wanted, "key").where("id = doc_id").select("id", "text")
+    texts = src.join(wanted, ["doc_id", "key"]).select("id", "text")
     sets = checkpointed(texts.mapInArrow(to_sets, "id long, n int, set binary").dropDuplicates(["id"]))
     first = _star_links(sets, percent)
     met = components(first)
     with_comp = sets.join(met, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), "set")
     links = first.unionByName(_rest_links(with_comp, percent))
     joined = components(links)
+    linked = checkpointed(joined.join(classes.select(F.col("node").alias("id"), "class_id"), "id"))
+    roots = linked.groupBy("component").agg(F.min("class_id").alias("root"))
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    by_class = classes.join(linked.join(roots, "component").select(F.col("id").alias("node"), "root"), "node", "left")
     if count_links:
-        degree = _degrees(sets.join(joined.withColumnRenamed("component", "comp"), "id"), percent).withColumnRenamed("id", "class_id")
+        degree = _degrees(sets.join(joined.withColumnRenamed("component", "comp"), "id"), percent).withColumnRenamed("id", "node")
+        by_class = by_class.join(degree, "node", "left")
     else:
-        degree = classes.select("class_id", F.lit(None).cast("long").alias("n_links")).where("false")
-    by_class = classes.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class_id", "left").drop("rep_key")
+        by_class = by_class.withColumn("n_links", F.lit(None).cast("long"))
+    by_class = by_class.select("d1", "d2", "n", "class_id", "root", "n_links")
     every = every.join(by_class, ["d1", "d2", "n"], "left").withColumn("mine", F.col("doc_id").isNotNull() & F.col("class_id").isNotNull())
     return every.select(
         "doc_id",
         "key",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("mine"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("mine"), F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("mine"), F.coalesce("root", "class_id")).otherwise(F.col("doc_id")).alias("component_id"),
         (F.coalesce(F.when(F.col("mine"), F.col("n_links")), F.lit(0)) if count_links else F.col("n_links")).cast("long").alias("n_links"),
     )

@@ -1,21 +1,29 @@
 """Vectorised text primitives shared by the operators: words, word hashes and n-gram hashes of Arrow batches.
 
 A *slice* is a run of whole documents of about ``SLICE_BYTES`` bytes, so the working set of a task does not
-depend on how many rows Spark puts in an Arrow batch.  One document longer than that is a slice of its own.
+depend on how many rows Spark puts in an Arrow batch.  One document longer than that is a slice of its own, whose
+working set grows with it (about 60 bytes a byte of text).
+
+Hashes of words and of runs of words are chained through a non-linear mixer in two lanes of 64 bits, so no family of
+texts collides by algebra; a word is taken in whole, and a run of k words is made of its halves.
 """
 
 from __future__ import annotations
 
 import ctypes
-import functools
+import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 20_000
 U = np.uint64
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+# Odd multipliers and starting states of the hashes; words of more bytes than this are digested one by one.
+_LEFT, _LEFT2, _START, _START2, _LONG_WORD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), 64
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -63,6 +71,13 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, F.lit(1), text)
 
 
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of hash over all columns of a row, by position and with nulls told apart; equal rows share them."""
+    columns = [F.to_json(c) if isinstance(f.dataType, MapType) else c for f, c in ((f, F.col(f"`{f.name}`")) for f in df.schema)]
+    every = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *every), F.xxhash64(F.lit(2), *every)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -70,21 +85,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@functools.lru_cache(8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size + 1, b, U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(21, (size + 1).bit_length()))
-
-
 def text_slices(column: pa.Array | pa.ChunkedArray):
     """(first row, last row + 1, bytes, offsets) of each slice; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -121,36 +121,65 @@ class Words:
         self.first = np.searchsorted(self.starts, offs)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
-
-    @functools.cached_property
+        self._runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _lanes_of_words(self) -> tuple[np.ndarray, np.ndarray]:
+        size = self.ends - self.starts
+        padded = np.concatenate([self.data, np.zeros(16, np.uint8)])
+        eight = np.ndarray(len(self.data) + 8, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        x, y = _START + size.astype(U), _START2 ^ size.astype(U)
+        live = np.flatnonzero(size <= _LONG_WORD)
+        for at in range(0, _LONG_WORD, 8):
+            live = live[size[live] > at] if at else live
+            if not len(live):
+                break
+            v = eight[self.starts[live] + at] & _MASK[np.minimum(size[live] - at, 8)]
+            x[live] = mix(x[live] ^ v)
+            y[live] = mix(y[live] * _LEFT + (v ^ x[live]))
+        for i in np.flatnonzero(size > _LONG_WORD):
+            x[i], y[i] = np.frombuffer(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=16).digest(), "<u8")
+        return x, y
+
+    def lanes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of the run of k words from each word on; runs that leave a document mean nothing."""
+        if k not in self._runs:
+            if k == 1:
+                self._runs[k] = self._lanes_of_words()
+            else:
+                half = 1 << (k - 1).bit_length() - 1
+                (a, a2), (b, b2) = self.lanes(half), self.lanes(k - half)
+                n = max(0, len(self.starts) - k + 1)
+                x = mix(a[:n] * _LEFT + b[half : half + n])
+                self._runs[k] = x, mix((a2[:n] ^ x) * _LEFT2 + b2[half : half + n])
+        return self._runs[k]
+
+    def runs(self, k: int) -> np.ndarray:
+        """One 64-bit hash of the run of k words from each word on."""
+        x, y = self.lanes(k)
+        return x ^ y
+
+    @property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not len(self.starts):
-            return np.zeros(0, U)
-        p, inverse = powers(_BASE, len(self.data))
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * p[: len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(U))
+        return self.runs(1)
+
+    def inside(self, k: int) -> np.ndarray:
+        """The first words of the runs of k words inside one document."""
+        n = len(self.starts)
+        return np.flatnonzero(np.arange(k, n + k) <= self.first[1:][self.doc]) if n else np.zeros(0, np.int64)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of k words inside one document."""
-        n = len(self.starts)
-        at = np.flatnonzero(np.arange(k, n + k) <= self.first[1:][self.doc]) if n else np.zeros(0, np.int64)
-        return at, self.runs(at, at + k)
-
-    def runs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The hash of words a up to b, of each pair."""
-        if not len(a):
-            return np.zeros(0, U)
-        p, inverse = powers(_WORD_BASE, len(self.starts))
-        total = np.zeros(len(self.starts) + 1, U)
-        np.cumsum(self.hashes * p[: len(self.starts)], out=total[1:])
-        return mix((total[b] - total[a]) * inverse[a] + (b - a).astype(U) * U(0xA0761D6478BD642F))
+        at = self.inside(k)
+        return at, self.runs(k)[at]
 
     def shingles(self, k: int) -> list[np.ndarray]:
         """Of each document, the sorted hashes of its distinct k-word shingles; a shorter one is a single shingle."""
         at, h = self.grams(k)
         cut = np.searchsorted(at, self.first)
-        short = np.flatnonzero((self.counts > 0) & (self.counts < k))
-        whole = dict(zip(short.tolist(), self.runs(self.first[short], self.first[short + 1])))
+        whole = {}
+        for size in range(1, k):
+            short = np.flatnonzero(self.counts == size)
+            if len(short):
+                whole |= zip(short.tolist(), self.runs(size)[self.first[short]])
         return [np.array([whole[d]], U) if d in whole else np.unique(h[cut[d] : cut[d + 1]]) for d in range(self.n_docs)]
