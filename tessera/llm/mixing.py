@@ -8,8 +8,8 @@ keys until their prefix sum reaches the rest.
 No source is sorted as one group.  Keys fall into about ``bucket_rows`` rows wide buckets; buckets below the one that
 holds the end of the rest are taken as wholes, and only the rows of that one bucket are sorted.
 
-Null texts have size 0; a null source is a source of its own and comes last.  Equal rows have equal keys and are
-counted one by one.  A source of size 0 has target 0.  An empty table gives an empty result.
+Null texts have size 0; a very long text counts whole, and a source's rest ends at the row that brings it nearest.  A
+null source is a source of its own and comes last.  Equal rows have equal keys and are counted one by one.  A source of size 0 has target 0.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,14 +55,20 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, row, size, source_size, target, copies, taken) for each row; ``row`` is its xxhash64 of id and text."""
-    src = pick(docs, doc_id=id_col, text=text_col, source=source_col)
+    """(doc_id, row, size, source_size, target, copies, taken) for each row, and the columns to carry.
+
+    ``row`` is an xxhash64 of id and text; a row's key is drawn from it, so null or repeated ids with different texts
+    are drawn apart.
+    """
+    src = pick(docs, doc_id=id_col, text=text_col, source=source_col, **{c: c for c in carry})
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    u = ((F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    row = F.xxhash64("doc_id", F.lit(1), "text")
+    u = ((F.xxhash64(F.lit(seed), row).bitwiseAND((1 << 52) - 1)) + 0.5) / float(1 << 52)
     sized = checkpointed(
         src.withColumn("size", size)
-        .select("doc_id", "source", "size", F.xxhash64("doc_id", F.lit(1), "text").alias("row"), (-F.log(u) / quality(F.col("text"), F.col("size"))).alias("key"))
+        .select("doc_id", "source", "size", *carry, row.alias("row"), (-F.log(u) / quality(F.col("text"), F.col("size"))).alias("key"))
     )
     by_source = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, max_epochs))
     small = by_source.count() <= 100_000
@@ -92,4 +98,4 @@ def mix(
     whole = rows.where(F.coalesce(~at_cut, F.lit(True))).withColumn("chosen", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
     copies = F.col("epochs") + F.col("chosen").cast("long")
     out = chosen.unionByName(whole).withColumn("copies", copies)
-    return out.select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)

@@ -39,3 +39,27 @@ def test_awkward_rows_and_clashing_names(spark, sf):
     assert {r.key for r in out} <= {"k", None}
     assert pipeline.mix_sources(spark, df, sf).count() > 0 and pipeline.redact_secrets(spark, df, sf).count() == df.count()
     assert pipeline.drop_toxic(spark, df, sf).count() <= df.count()
+
+
+def test_clashing_names_and_rows_that_differ_in_other_columns_alone(spark, sf):
+    from tests.llm.fixtures import SCHEMA, documents
+
+    rows = documents()
+    rows += [(7000 + i, f"own words number {i} " * (9 + i), "en", s, 1, e, "k") for i in range(4) for s in ("src1", "src2") for e in ("a", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, df, sf)
+        got = out.collect()
+        assert name == "byte_bpe" or out.columns == df.columns
+        assert set(map(tuple, got)) <= set(rows) or name in ("secret_scan", "byte_bpe")
+    near = [tuple(r) for r in pipeline.drop_near_duplicates(spark, df, sf).collect()]
+    assert sum(r[0] == 7000 for r in near) == 1
+    mixed = [tuple(r) for r in pipeline.mix_sources(spark, df, sf).collect()]
+    sources = {r[3] for r in mixed if r[0] is not None and r[0] >= 7000}
+    assert sources == {"src1", "src2"}
+
+
+def test_empty_tables(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, df, sf).count() == 0
