@@ -1,5 +1,11 @@
 """Every query of the library against its DuckDB SQL."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import tessera.plans as plans
@@ -23,6 +29,15 @@ def test_entry_and_registry(spark):
     assert set(e.oracle_sql()) <= set(e.queries()) and set(plans.QUERIES) <= set(e.queries())
 
 
+def test_the_rest_stands_without_the_llm_folders(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not [k for k in q if k.startswith('op')]; e.oracle_sql()"
+    for left_out in ({"llm"}, {"llm", "corpus_pipeline.py"}):
+        copy = tmp_path / str(len(left_out))
+        shutil.copytree(root, copy, ignore=lambda _, names: {n for n in names if n in left_out | {".git", "__pycache__"}})
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
+
+
 def test_rate_limit_against_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts").collect()
     want = {}
