@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # Blocked titles, and the patterns of legal forms and pandemic-era terms.
@@ -86,9 +88,47 @@ def display_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, r"^#+\s*", ""))
 
 
+def _unmarked() -> tuple[str, str, dict[str, str]]:
+    """Latin letters whose compatibility form begins with ASCII, by that form: single letters, and those of several."""
+    one, several = {}, {}
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if bare != chr(code) and bare.strip().isascii() and bare.strip():
+            (one if len(bare) == 1 else several)[chr(code)] = bare
+    return "".join(one), "".join(one.values()), several
+
+
+_MARKED, _BARE, _SEVERAL = _unmarked()
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def strip_marks(value: Column) -> Column:
+    """Latin letters without their marks (compatibility decomposition), combining marks dropped."""
+    plain = F.translate(value, _MARKED + _MARKS, _BARE)
+    several = F.transform(F.split(plain, ""), lambda c: F.coalesce(F.create_map(*[F.lit(x) for p in _SEVERAL.items() for x in p])[c], c))
+    return F.when(plain.rlike("[" + "".join(_SEVERAL) + "]"), F.array_join(several, "")).otherwise(plain)
+
+
 def ascii_name(value: Column) -> Column:
-    """Lower case, everything but a-z and 0-9 as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", " "))
+    """Lower case without marks, everything but a-z and 0-9 as single spaces."""
+    return F.trim(F.regexp_replace(strip_marks(F.lower(value)), "[^a-z0-9]+", " "))
+
+
+def marked_slug(value: Column, most: int = 80) -> Column:
+    """A slug in which a mark is a sign of its own, as decomposition leaves it: every marked letter ends in a hyphen."""
+    split = F.regexp_replace(F.lower(value), "([" + "".join(c for c in _MARKED if c.islower() and c.isalpha()) + "])", "$1\u0301")
+    return slug(F.translate(split, _MARKED, _BARE), most)
+
+
+def organisation_slug(name: Column) -> Column:
+    """A slug of the name and eight hexadecimal digits of its hash."""
+    base = marked_slug(name)
+    return F.concat(F.when(base == "", "organisation").otherwise(base), F.lit("-"), F.left(F.sha2(name, 256), F.lit(8)))
+
+
+def hub_slug(name: Column) -> Column:
+    base = slug(name, 72)
+    return F.when(base == "", "hub-candidate").otherwise(base)
 
 
 def slug(value: Column, most: int = 80) -> Column:
@@ -156,6 +196,20 @@ def quality_reasons(title: Column, summary: Column, body: Column, person: Column
     return F.array_compact(F.array(*[F.when(condition, F.lit(code)) for condition, code in rules]))
 
 
+# Reasons that a thin source explains.
+THIN_REASONS = ["short_description", "listing_only_thin", "truncated_title", "blocklist_title", "cohort_boilerplate_title", "cohort_title_equals_summary"]
+
+
+def source_limited(reasons: Column, summary: Column, body: Column, organisation: Column) -> Column:
+    """An item is as good as its source allows: only reasons that a thin text explains, and one that shows it."""
+    thin = body_length(summary, body) < 80
+    thin_codes, bad_org = F.array(*map(F.lit, THIN_REASONS)), F.array_contains(reasons, "invalid_org_name")
+    only = F.forall(reasons, lambda r: r.isin(THIN_REASONS) | ((r == "invalid_org_name") & thin))
+    boilerplate = F.array_contains(reasons, "blocklist_title") | F.array_contains(reasons, "cohort_boilerplate_title")
+    no_org = F.coalesce(F.trim(organisation), F.lit("")) == ""
+    return (F.size(reasons) > 0) & only & ((F.arrays_overlap(reasons, thin_codes) & thin) | boilerplate | (bad_org & no_org & thin))
+
+
 def website_host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]+)", 1)), r"^www\.", "")
 
@@ -191,16 +245,28 @@ def public_url(canonical: Column, original: Column) -> Column:
     return F.coalesce(*out)
 
 
-# Words that hint at a text to translate.
+# Words that hint at a text to translate, and ranges of other scripts.
+HINT_WORDS = (
+    "und|der|die|das|den|dem|des|ein|eine|einer|einem|einen|ist|sind|war|waren|nicht|auch|mit|für|auf|bei|von|zum|zur|über|nach|oder|aber|wenn|dass|sich|wir|ihr|Sie|können|wurde|werden|haben|hat|Autor|Redaktion"
+)
+SCRIPTS = "[\u4e00-\u9fff\u3040-\u30ff\u3400-\u4dbf\uac00-\ud7af\u0600-\u06ff\u0e00-\u0e7f\u0900-\u097f]"
+UMLAUTS = "[äöüßÄÖÜ]"
+
+
 def needs_translation(language: Column, text: Column) -> Column:
-    """A language tag other than English, or letters of other scripts or with umlauts."""
-    return F.coalesce(~F.lower(language).startswith("en"), F.lit(False)) | text.rlike(r"[äöüßÄÖÜЀ-ӿ؀-ۿ一-鿿]")
+    """A language tag other than English, other scripts, or a text of some length with umlauts or three hint words."""
+    lang, sample = F.lower(F.trim(F.coalesce(language, F.lit("")))), spaces(text)
+    words = F.split(sample, " ")
+    hints = F.size(F.filter(words, lambda w: w.rlike(rf"(?i)\b(?:{HINT_WORDS})\b")))
+    foreign = (lang != "") & (lang != "en") & ~lang.startswith("en-")
+    latin = (F.length(sample) >= 24) & (sample.rlike(UMLAUTS) | ((F.size(words) >= 6) & (hints >= 3)))
+    return foreign | F.coalesce(text.rlike(SCRIPTS) | latin, F.lit(False))
 
 
 def near_key(title: Column, organisation: Column, country: Column) -> Column:
     """Key of near duplicates; null for titles under eight characters."""
     t = ascii_name(title)
-    return F.when(F.length(t) >= 8, F.concat_ws("|", t, ascii_name(F.coalesce(organisation, F.lit(""))), F.lower(F.coalesce(country, F.lit("")))))
+    return F.when(F.length(t) >= 8, F.concat_ws("|", t, ascii_name(F.coalesce(organisation, F.lit(""))), F.upper(F.trim(F.coalesce(country, F.lit(""))))))
 
 
 def embedding_text(title: Column, summary: Column, body: Column, labelled: dict[str, Column]) -> Column:

@@ -60,7 +60,7 @@ def slug(spark, sf_dir):
     return resources(spark, sf_dir).select("id", T.slug(F.col("title")).alias("slug"))
 
 
-@query(f"{R} SELECT id, CASE WHEN length(t) >= 8 THEN t || '|' || source || '|' || language END AS k FROM (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, source, language FROM res)")
+@query(f"{R} SELECT id, CASE WHEN length(t) >= 8 THEN t || '|' || source || '|' || upper(language) END AS k FROM (SELECT id, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')) AS t, source, language FROM res)")
 def near_key(spark, sf_dir):
     return resources(spark, sf_dir).select("id", T.near_key(F.col("title"), F.col("source"), F.col("language")).alias("k"))
 
@@ -84,13 +84,15 @@ def url_groups(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(F.regexp_replace(bare, "/$", "").alias("canonical")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
 
 
-@query(f"{R} SELECT id, coalesce(NOT lower(language) LIKE 'en%', false) OR regexp_matches(body, '[äöüßÄÖÜЀ-ӿ؀-ۿ一-鿿]') AS translate FROM res")
+@query(f"""{R}, s AS (SELECT id, lower(trim(coalesce(language, ''))) AS l, body, {_SP.format('body')} AS c FROM res)
+SELECT id, (l <> '' AND l <> 'en' AND NOT starts_with(l, 'en-')) OR regexp_matches(body, '{T.SCRIPTS}') OR (length(c) >= 24 AND (regexp_matches(c, '{T.UMLAUTS}')
+  OR (len(string_split(c, ' ')) >= 6 AND len(list_filter(string_split(c, ' '), lambda w: regexp_matches(w, '(?i)\\b(?:{T.HINT_WORDS})\\b'))) >= 3))) AS translate FROM s""")
 def needs_translation(spark, sf_dir):
     return resources(spark, sf_dir).select("id", T.needs_translation(F.col("language"), F.col("body")).alias("translate"))
 
 
-def _tag_sql(rules: dict[str, str]) -> str:
-    hits = ", ".join(f"CASE WHEN regexp_matches(low, '(?:^|[^a-z0-9])(?:{p})(?:[^a-z0-9]|$)') THEN '{s}' END" for s, p in rules.items())
+def _tag_sql(rules: dict[str, list[str]]) -> str:
+    hits = ", ".join(f"CASE WHEN regexp_matches(low, '(?:^|[^a-z0-9])(?:{'|'.join(p)})(?:[^a-z0-9]|$)') THEN '{s}' END" for s, p in rules.items())
     return f"array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL)[1:3], ',')"
 
 
@@ -119,7 +121,7 @@ def stage_infer(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.stage_from_trl(text).alias("stage"))
 
 
-_GATE = f"""{R}, g AS (SELECT *, trim(title) AS t, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS a, length(regexp_replace(title, '[^A-Za-z]', '', 'g')) AS nl, length(regexp_replace(title, '[^A-Z]', '', 'g')) AS nu,
+_GATE = f"""{R}, g AS (SELECT *, trim(title) AS t, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')) AS a, length(regexp_replace(title, '[^A-Za-z]', '', 'g')) AS nl, length(regexp_replace(title, '[^A-Z]', '', 'g')) AS nu,
   CASE WHEN trim(body) <> '' AND trim(body) <> trim(summary) THEN greatest(length(trim(summary)), length(trim(body))) ELSE length(trim(summary)) END AS len, list_last(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' ')) AS last FROM res),
 gate AS (SELECT id, review_status, active, list_filter([CASE WHEN len < 80 THEN 'short_description' END, CASE WHEN lower(t) IN ({', '.join(map(repr, T.BLOCKED_TITLES))}) OR a IN ({', '.join(map(repr, T.BLOCKED_TITLES))}) THEN 'blocklist_title' END,
   CASE WHEN nl > 0 AND nu > 0.75 * nl AND length(t) > 6 THEN 'all_caps_title' END, CASE WHEN length(t) < 4 OR (length(last) <= 3 AND NOT regexp_matches(t, '[.!?]$') AND length(t) < 25) OR regexp_matches(t, '(?i)websit$') THEN 'truncated_title' END], lambda x: x IS NOT NULL) AS reasons FROM g)"""
@@ -155,10 +157,18 @@ def audit_apply(spark, sf_dir):
     return _gated(spark, sf_dir).select("id", F.when(keep, F.col("review_status")).when(F.size("reasons") > 0, "NEEDS_REVIEW").otherwise("AUTO").alias("status"))
 
 
-@query(f"{_GATE} SELECT CASE WHEN len(reasons) = 0 THEN 'cleared' WHEN reasons = ['short_description'] THEN 'source_limited' ELSE 'still_flagged' END AS outcome, count(*) AS n FROM gate WHERE review_status = 'NEEDS_REVIEW' GROUP BY 1")
+_THIN = ", ".join(map(repr, T.THIN_REASONS))
+
+
+@query(f"""{_GATE} SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN len(reasons) = 0 THEN 'cleared'
+  WHEN len(list_filter(reasons, lambda r: r NOT IN ({_THIN}))) = 0 AND ((len < 80 AND list_has_any(reasons, [{_THIN}])) OR list_has_any(reasons, ['blocklist_title', 'cohort_boilerplate_title'])) THEN 'source_limited' ELSE 'still_flagged' END AS outcome
+  FROM gate JOIN g USING (id) WHERE gate.review_status = 'NEEDS_REVIEW') GROUP BY 1""")
 def reconcile(spark, sf_dir):
-    outcome = F.when(F.size("reasons") == 0, "cleared").when(F.col("reasons") == F.array(F.lit("short_description")), "source_limited").otherwise("still_flagged")
-    return _gated(spark, sf_dir).where("review_status = 'NEEDS_REVIEW'").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """Items in review: cleared, as good as their source allows, or still flagged."""
+    rows = resources(spark, sf_dir).where("review_status = 'NEEDS_REVIEW'")
+    reasons = T.quality_reasons(F.col("title"), F.col("summary"), F.col("body"))
+    outcome = F.when(F.size(reasons) == 0, "cleared").when(T.source_limited(reasons, F.col("summary"), F.col("body"), F.lit(None).cast("string")), "source_limited").otherwise("still_flagged")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 _CUR = "cur AS (SELECT c_custkey AS id, c_mktsegment AS title, md5(c_name) AS h FROM customer WHERE c_acctbal < 5000), new AS (SELECT c_custkey AS id, CASE WHEN c_nationkey = 3 THEN ' ' ELSE c_mktsegment || '!' END AS title, md5(CASE WHEN c_nationkey < 12 THEN c_name || 'x' ELSE c_name END) AS h FROM customer WHERE c_acctbal > 1000)"
@@ -228,7 +238,7 @@ def reason_union(spark, sf_dir):
     return rows.select("o_custkey", F.array_sort(F.array_union("a", "b")).alias("reasons"))
 
 
-@query(f"{R} SELECT id, first_id AS duplicate_of FROM (SELECT id, min(id) OVER (PARTITION BY k) AS first_id FROM (SELECT id, CASE WHEN length(t) >= 8 THEN t || '|' || source || '|' || language END AS k FROM (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, source, language FROM res)) WHERE k IS NOT NULL) WHERE id <> first_id")
+@query(f"{R} SELECT id, first_id AS duplicate_of FROM (SELECT id, min(id) OVER (PARTITION BY k) AS first_id FROM (SELECT id, CASE WHEN length(t) >= 8 THEN t || '|' || source || '|' || upper(language) END AS k FROM (SELECT id, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')) AS t, source, language FROM res)) WHERE k IS NOT NULL) WHERE id <> first_id")
 def near_title_duplicates(spark, sf_dir):
     """Rows that share a near-duplicate key with an earlier one: an aggregate and a join, no pairs."""
     keyed = resources(spark, sf_dir).select("id", T.near_key(F.col("title"), F.col("source"), F.col("language")).alias("k")).where("k is not null")
