@@ -1,16 +1,18 @@
 """Quality scores from random Fourier features of document statistics.
 
 Sixteen statistics of a text are standardised and mapped to random Fourier features, which approximate a Gaussian
-kernel.  Each partition of the training sample sums its part of the normal equations; the sums give ridge regression
-scores, and isotonic regression (pool adjacent violators) turns them into probabilities.
+kernel.  Each partition of the training sample sums its part of the normal equations, one sum for each of ``FOLDS``
+folds; the sums give ridge regression scores.  Isotonic regression (pool adjacent violators, equal scores pooled first)
+turns scores into probabilities; it is fitted on scores that the other folds' sums give a row.
 
 The fit sees a bounded sample of labelled rows outside the held-out fold; scoring is one pass without a shuffle over
-whole texts.  Null and empty texts have statistics of 0 and get a score like any other.  Without any training row every
-score is 0.  Repeated rows get equal scores; an empty table gives an empty result.
+whole texts, very long ones too.  Null and empty texts have statistics of 0 and get a score like any other.  Without any
+training row every score is 0.  Repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.labelled import SAMPLE, held_out, training
-from tessera.llm.textbatch import Words, pick, text_slices
+from tessera.llm.textbatch import Words, checkpointed, pick, text_slices
 
-FEATURES, WIDTH, RIDGE, PARTS = 256, 3.0, 1e-3, 8
+FEATURES, WIDTH, RIDGE, PARTS, FOLDS = 256, 3.0, 1e-3, 8, 4
 _KIND = np.zeros((256, 6))
 for _k, _chars in enumerate((range(65, 91), range(97, 123), range(48, 58), map(ord, ".,;:!?"), map(ord, "#$%&*@^|~<>{}[]\\_=+/"), range(128, 256))):
     _KIND[list(_chars), _k] = 1
@@ -76,25 +78,32 @@ class Model:
         z = np.clip((stats - self.mean) / self.sd, -6, 6)
         return np.c_[np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), np.ones(len(stats))]
 
-    def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.weights
+    def raw(self, stats: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """Scores before calibration, rounded so that equal statistics have equal ones whatever stands beside them."""
+        return np.round(self.features(stats) @ (self.weights if weights is None else weights), 9)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats), self.knots, self.levels), 0, 1)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(knots, levels) of the non-decreasing step means of y along x."""
-    order = np.argsort(x, kind="stable")
+    """(knots, levels) of the non-decreasing step means of y along x; equal x are one step, in whatever order they come."""
+    places, at = np.unique(x, return_inverse=True)
+    rows, sums = np.bincount(at), np.bincount(at, y)
     blocks: list[list[float]] = []  # sum of y, rows, sum of x
-    for a, b in zip(x[order], y[order]):
-        blocks.append([b, 1.0, a])
+    for a, b, n in zip(places, sums, rows):
+        blocks.append([b, n, a * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, t = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
     return np.array([t / n for _, n, t in blocks]), np.array([s / n for s, n, _ in blocks])
 
 
+def fold(stats: bytes) -> int:
+    """Equal texts are in one fold."""
+    return zlib.crc32(stats) % FOLDS
+
+
 def fit(train: DataFrame) -> Model | None:
     """A model from (text, y); None without rows."""
 
@@ -103,8 +112,6 @@ def fit(train: DataFrame) -> Model | None:
             for i, j, data, offs in text_slices(batch["text"]):
                 yield pa.RecordBatch.from_arrays([batch["y"].slice(i, j - i), pa.array([s.tobytes() for s in statistics(data, offs)], pa.binary())], names=["y", "stats"])
 
-    from tessera.llm.textbatch import checkpointed
-
     rows = checkpointed(train.mapInArrow(stats, "y int, stats binary").repartition(PARTS))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +131,28 @@ def fit(train: DataFrame) -> Model | None:
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(model.weights)
-        a, b = np.zeros((d, d)), np.zeros(d)
+        a, b, n = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d)), np.zeros(FOLDS)
         for batch in batches:
-            x = model.features(np.frombuffer(b"".join(batch["stats"].to_pylist())).reshape(-1, N_STATS))
-            a, b = a + x.T @ x, b + x.T @ batch["y"].to_numpy().astype(float)
-        yield pa.RecordBatch.from_pydict({"a": [a.tobytes()], "b": [b.tobytes()]})
-
-    parts = rows.mapInArrow(normal, "a binary, b binary").collect()  # PARTS matrices of a fixed size
+            packed = batch["stats"].to_pylist()
+            x, y, own = model.features(np.frombuffer(b"".join(packed)).reshape(-1, N_STATS)), batch["y"].to_numpy().astype(float), np.array(list(map(fold, packed)), int)
+            for f in range(FOLDS):
+                mine = own == f
+                a[f], b[f], n[f] = a[f] + x[mine].T @ x[mine], b[f] + x[mine].T @ y[mine], n[f] + mine.sum()
+        yield pa.RecordBatch.from_pydict({"a": [a.tobytes()], "b": [b.tobytes()], "n": [n.tobytes()]})
+
+    parts = rows.mapInArrow(normal, "a binary, b binary, n binary").collect()  # PARTS sums of a fixed size
     d = len(model.weights)
-    a, b = sum(np.frombuffer(p["a"]).reshape(d, d) for p in parts), sum(np.frombuffer(p["b"]) for p in parts)
-    model.weights = np.linalg.solve(a + RIDGE * n * np.eye(d) / d, b)
+    a, b, n = (sum(np.frombuffer(p[c]) for p in parts).reshape(FOLDS, *shape) for c, shape in (("a", (d, d)), ("b", (d,)), ("n", ())))
+    ridge = lambda a, b, n: np.linalg.solve(a + RIDGE * max(1.0, n) * np.eye(d) / d, b)
+    model.weights = ridge(a.sum(axis=0), b.sum(axis=0), n.sum())
     sample = rows.toPandas()  # at most labelled.SAMPLE rows of statistics
-    x = np.frombuffer(b"".join(sample["stats"])).reshape(-1, N_STATS)
-    model.knots, model.levels = isotonic(model.raw(x), sample["y"].to_numpy(float))
+    x, own = np.frombuffer(b"".join(sample["stats"])).reshape(-1, N_STATS), np.array(list(map(fold, sample["stats"])))
+    raw = np.zeros(len(x))
+    for f in np.unique(own):  # the other folds' weights; all weights where there is no other row
+        others = n.sum() - n[f]
+        w = ridge(a.sum(axis=0) - a[f], b.sum(axis=0) - b[f], others) if others else model.weights
+        raw[own == f] = model.raw(x[own == f], w)
+    model.knots, model.levels = isotonic(raw, sample["y"].to_numpy(float))
     return model
 
 

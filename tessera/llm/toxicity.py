@@ -1,16 +1,20 @@
 """Toxicity by weak supervision.
 
-1. Lexicon: words and 4 or 5-letter word beginnings whose share of toxic documents is certainly high among the training rows.
+1. Lexicon: words and 4 or 5-letter word beginnings whose share of toxic documents is certainly high among the labelled
+   training rows.
 2. Voters: every lexicon entry, and patterns over a whole document (several entries, their density, shouting, insults with
    exclamation marks).
 3. Label model: a two-class generative model of the voters, fitted by EM.  It estimates each voter's rate of firing in
    either class and the correlations between voters within a class; the evidence of a voter is divided by the sum of its
-   absolute correlations, so a clique of voters that fire together counts about once.  A row's own label is one more
-   voter of a given accuracy.
-4. A linear classifier (ridge-penalised logistic regression) learns the posterior labels from voters and densities.
-
-The classifier is fitted on a bounded sample of labelled rows outside the held-out fold; lexicon counts are taken by
-Spark over that sample.  Scoring is one pass without a shuffle.  Null and empty texts get the score of a document
+   absolute correlations, so a clique of voters that fire together counts about once.  Rows with and without a label are
+   modelled together: a label is one more voter, which abstains where there is none, and whose rates of saying toxic in
+   either class are estimated like those of the others (from a prior of ``LABEL_ACCURACY`` worth ``LABEL_ROWS`` rows).
+4. A linear classifier (ridge-penalised logistic regression) learns the posterior labels of all these rows from voters
+   and densities.
+
+Everything is fitted on a bounded sample outside the held-out fold: at most ``sample`` labelled rows and as many
+unlabelled ones; lexicon counts are taken by Spark over it.  Scoring is one pass without a shuffle over whole texts, in
+slices of bounded bytes; a very long text is a slice of its own.  Null and empty texts get the score of a document
 without words.  Without any training row of both classes every score is the share of toxic rows, or 0.  Repeated rows
 get equal scores; an empty table gives an empty result.
 """
@@ -26,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.labelled import SAMPLE, held_out, training
-from tessera.llm.textbatch import pick, release
+from tessera.llm.textbatch import pick, release, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
-LEXICON, LEAST_DOCS, BEGINNINGS, ROUNDS, LABEL_ACCURACY, PENALTY = 256, 3, (4, 5), 15, 0.9, 1e-3
-#: Words whose places a worker keeps, and the places of a word in no entry.
-MEMO, NO_HITS = 300_000, ()
+LEXICON, LEAST_DOCS, BEGINNINGS, ROUNDS, LABEL_ACCURACY, LABEL_ROWS, PENALTY = 256, 3, (4, 5), 15, 0.9, 200, 1e-3
+#: Words whose places a task keeps, about 12 MB of them, and the places of a word in no entry.
+MEMO, NO_HITS = 100_000, ()
 PATTERNS = ("hits_1", "hits_2", "hits_3", "dense", "shouting", "bangs")
 
 
@@ -47,13 +51,15 @@ def lexicon(train: DataFrame, size: int = LEXICON) -> list[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen, toxic = Counter(), Counter()
-            for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
-                own = terms(text)
-                seen.update(own)
-                if y:
-                    toxic.update(own)
+            for i, j, *_ in text_slices(batch["text"]):
+                for text, y in zip(batch["text"].slice(i, j - i).to_pylist(), batch["y"].slice(i, j - i).to_pylist()):
+                    own = terms(text)
+                    seen.update(own)
+                    if y:
+                        toxic.update(own)
             yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values()), "pos": [toxic[t] for t in seen]})
 
+    train = train.where("y is not null")
     n, pos = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = train.mapInArrow(count, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     a, b = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
@@ -68,8 +74,6 @@ def signals(texts: list[str], at: dict[str, int], known: dict[str, tuple[int, ..
     known: places of words seen before, kept by the caller and emptied here when it is full.
     """
     known = {} if known is None else known
-    if len(known) > MEMO:
-        known.clear()
     votes, dense = np.zeros((len(texts), len(at) + len(PATTERNS)), np.uint8), np.zeros((len(texts), 4))
     for i, t in enumerate(texts):
         words = WORD.findall(t.lower())
@@ -77,6 +81,8 @@ def signals(texts: list[str], at: dict[str, int], known: dict[str, tuple[int, ..
         for w in words:
             if (own := known.get(w)) is None:
                 own = [at[t] for t in (w, *(f"^{w[:k]}" for k in BEGINNINGS if len(w) > k)) if t in at]
+                if len(known) >= MEMO:
+                    known.clear()
                 known[w] = own = tuple(own) or NO_HITS
             if own:
                 n_hits += 1
@@ -91,21 +97,28 @@ def signals(texts: list[str], at: dict[str, int], known: dict[str, tuple[int, ..
 
 
 def posterior(votes: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, accuracy: float = LABEL_ACCURACY) -> np.ndarray:
-    """The label model's probability of class 1 for each row."""
-    x, label = votes.astype(float), np.log(accuracy / (1 - accuracy)) * (2 * y - 1)
-    p = np.where(y == 1, accuracy, 1 - accuracy)
+    """The label model's probability of class 1 for each row; y: its label, or nan where it has none.
+
+    The first round learns the voters from labelled rows alone; the others from all rows.
+    """
+    x, labelled, told = votes.astype(float), ~np.isnan(y), np.nan_to_num(y)
+    p, weight = np.where(told == 1, accuracy, 1 - accuracy), labelled.astype(float)
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        fire1 = (p @ x + 0.5) / (p.sum() + 1)
-        fire0 = ((1 - p) @ x + 0.5) / ((1 - p).sum() + 1)
-        rest = x - (p[:, None] * fire1 + (1 - p)[:, None] * fire0)
-        cov = rest.T @ rest / len(x)
+        one, zero = p * weight, (1 - p) * weight
+        prior = np.clip(one.sum() / weight.sum(), 1e-3, 1 - 1e-3)
+        fire1, fire0 = (one @ x + 0.5) / (one.sum() + 1), (zero @ x + 0.5) / (zero.sum() + 1)
+        # the label's rates of saying 1 in either class
+        says1 = (one[labelled] @ told[labelled] + accuracy * LABEL_ROWS) / (one[labelled].sum() + LABEL_ROWS)
+        says0 = (zero[labelled] @ told[labelled] + (1 - accuracy) * LABEL_ROWS) / (zero[labelled].sum() + LABEL_ROWS)
+        label = np.where(labelled, np.where(told == 1, np.log(says1 / says0), np.log((1 - says1) / (1 - says0))), 0.0)
+        rest = (x - (p[:, None] * fire1 + (1 - p)[:, None] * fire0)) * np.sqrt(weight)[:, None]
+        cov = rest.T @ rest / weight.sum()
         sd = np.sqrt(np.diag(cov)) + 1e-9
         together = np.abs(cov / sd[:, None] / sd[None, :])
         own = np.where(together > 0.05, together, 0).sum(axis=1).clip(1)
         fired, silent = np.log(fire1 / fire0) / own, np.log((1 - fire1) / (1 - fire0)) / own
         z = np.log(prior / (1 - prior)) + x @ fired + (1 - x) @ silent + label
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p, weight = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.ones(len(x))
     return p
 
 
@@ -128,14 +141,15 @@ def fit(train: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     width = len(at) + len(PATTERNS)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes, dense = signals(batch["text"].to_pylist(), at)
-            yield pa.RecordBatch.from_arrays([batch["y"], pa.array([v.tobytes() for v in votes], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())], names=["y", "votes", "dense"])
+        for batch, i, j in ((b, i, j) for b in batches for i, j, *_ in text_slices(b["text"])):
+            votes, dense = signals(batch["text"].slice(i, j - i).to_pylist(), at)
+            yield pa.RecordBatch.from_arrays([batch["y"].slice(i, j - i), pa.array([v.tobytes() for v in votes], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())], names=["y", "votes", "dense"])
 
-    rows = train.mapInArrow(collect, "y int, votes binary, dense binary").toPandas()  # at most labelled.SAMPLE small rows
+    rows = train.mapInArrow(collect, "y int, votes binary, dense binary").toPandas()  # at most twice labelled.SAMPLE small rows
     y = rows["y"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
-        share = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
+    known = y[~np.isnan(y)]
+    if not len(known) or known.min() == known.max():
+        share = np.clip(known.mean() if len(known) else 0.0, 1e-6, 1 - 1e-6)
         return at, np.r_[np.zeros(width + 4), np.log(share / (1 - share))]
     votes = np.frombuffer(b"".join(rows["votes"]), np.uint8).reshape(-1, width)
     dense = np.frombuffer(b"".join(rows["dense"])).reshape(-1, 4)
@@ -144,14 +158,14 @@ def fit(train: DataFrame) -> tuple[dict[str, int], np.ndarray]:
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", carry: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; with ``carry`` all columns of docs, then score and predicted."""
-    at, w = fit(training(docs, labels, label, sample, id_col, text_col))
+    at, w = fit(training(docs, labels, label, sample, id_col, text_col, unlabelled=sample))
     column = docs.columns.index(text_col) if carry else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
+            for i, j, *_ in text_slices(batch.column(column)):
+                part = batch.slice(i, j - i)
                 votes, dense = signals([t or "" for t in part.column(column).to_pylist()], at, known)
                 p = 1 / (1 + np.exp(-np.clip(np.c_[votes, dense] @ w[:-1] + w[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, "score"]) if carry else pa.RecordBatch.from_arrays([part["doc_id"], pa.array(p)], names=["doc_id", "score"])
