@@ -1,13 +1,18 @@
 """Approximate nearest neighbours by largest cosine: an inverted multi-index.
 
-The two halves of each unit vector are quantised separately (k-means on a bounded sample), and every row is filed under
-its pair of centroids.  A query walks the pairs by summed squared distance with a heap until the pairs hold ``visit`` of
-all rows, and at least ``LEAST_VISIT``; their entries are reranked by the exact cosine of the original vectors.
+The two halves of each unit vector are quantised separately (k-means on a bounded sample, with more centroids for larger
+tables), and every row is filed under its pair of centroids.  A query walks the pairs by summed squared distance with a
+heap until the pairs hold ``visit`` of all rows, and at least ``LEAST_VISIT``; their entries are reranked by the exact
+cosine of the original vectors.
+
+How much to visit is measured unless it is given: up to ``PROBES`` of the queries are answered exactly, in one pass
+over all rows, and ``visit`` becomes the share of rows after which their walks have met ``recall`` of those answers.
 
 Queries and entries meet in (query block, shard) pairs: a group holds about ``QUERY_ROWS`` queries at most, however many
-there are, and ``QUERY_STEP`` of them at a time are scored against a cell.  Cells are dealt to shards of about ``SHARD_ROWS`` rows; a cell with more is split over several shards by a hash of the
-ids, all of which its queries visit, so no cell is capped.  Equal vectors of a shard are scored once and keep their k + 1
-smallest ids, which is all a query can return of them.
+there are, and ``QUERY_STEP`` of them at a time are scored against a cell.  Cells are dealt to shards of about
+``SHARD_ROWS`` rows; a cell with more is split over several shards by a hash of the ids, all of which its queries visit,
+so no cell is capped.  Equal vectors of a shard are scored once and keep the smallest ids a query can return of them,
+whichever id it has to leave out.
 
 Vectors that are null, zero, empty, of another dimension than most, or hold null or non-finite components take no part.
 Repeated ids are separate candidates; a query never meets its own id, and a repeated query id asks once, with its least
@@ -23,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.textbatch import checkpointed
 from tessera.llm.vectors import best, fit_sample, matrix, packed, ranked, unpack, usable
 
-CENTROIDS, ROUNDS, SHARD_ROWS, LEAST_SHARDS, LEAST_VISIT = 64, 10, 8192, 16, 2000
-QUERY_ROWS, QUERY_STEP = 2048, 256
+LEAST_CENTROIDS, MOST_CENTROIDS, ROUNDS, SHARD_ROWS, LEAST_SHARDS, LEAST_VISIT = 64, 512, 10, 8192, 16, 2000
+QUERY_ROWS, QUERY_STEP, WALK_ROWS, PROBES = 16_384, 256, 64, 64
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -108,11 +113,13 @@ def rerank(q_ids, q, q_cells, ids, v, cells, k: int) -> pd.DataFrame:
         if not len(rows):
             continue
         own = np.arange(a, b)
-        if b - a > k + 1:  # equal vectors: the k + 1 smallest ids
+        if b - a > k:  # equal vectors: k rows of an id, then 2 k rows, of which k remain without any one id
             _, group = np.unique(v[a:b], axis=0, return_inverse=True)
-            by = np.argsort(group.ravel(), kind="stable")
-            in_order = group.ravel()[by]
-            own = a + np.sort(by[np.arange(b - a) - np.searchsorted(in_order, in_order) <= k])
+            group = group.ravel()
+            place = lambda *keys: np.arange(len(keys[0])) - np.maximum.accumulate(np.where(np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)], np.arange(len(keys[0])), 0))
+            by = np.argsort(group, kind="stable")  # ids ascend in a cell
+            by = by[place(group[by], ids[a:b][by]) < k]
+            own = a + np.sort(by[place(group[by]) < 2 * k])
         for some in (rows[i : i + QUERY_STEP] for i in range(0, len(rows), QUERY_STEP)):
             near = qu[some] @ vu[own].T
             near[ids[own][None, :] == q_ids[some][:, None]] = -3.0
@@ -131,14 +138,59 @@ def rerank(q_ids, q, q_cells, ids, v, cells, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.repeat(q_ids, n), "vec_id": np.concatenate([*got_i, np.zeros(0, np.int64)]), "score": np.concatenate([*got_s, np.zeros(0)])})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.5, centroids: int = CENTROIDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each query; ``is_query``: a condition on ``vec_id``."""
+def needed(near: np.ndarray, far: np.ndarray, counts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The rows that a walk has met after each of some cells."""
+    order = np.argsort((near[:, None] + far[None, :]).ravel(), kind="stable")
+    met, place = np.cumsum(counts[order]), np.empty(len(order), int)
+    place[order] = np.arange(len(order))
+    return met[place[cells]]
+
+
+def exact(index: DataFrame, probes: list[tuple[int, bytes]], dims: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score, cell): the k nearest rows of a few queries, by one pass over all rows."""
+    q_ids, q = np.array([i for i, _ in probes]), unpack([b for _, b in probes], dims)
+    schema = "query_id long, vec_id long, score double, cell int"
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, 3))] * len(q)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, cells, near = batch["vec_id"].to_numpy(), batch["cell"].to_numpy(), unit(q) @ unit(unpack(batch["blob"].to_pylist(), dims)).T
+            near[ids[None, :] == q_ids[:, None]] = -3.0
+            for i, s in enumerate(near):
+                some = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
+                some = some[s[some] > -2]
+                own = np.r_[held[i], np.c_[ids[some].astype(np.int64).view(float), s[some], cells[some]]]
+                held[i] = own[np.argsort(-own[:, 1], kind="stable")[:k]]
+        every, n = np.concatenate(held), list(map(len, held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n), pa.int64()), pa.array(every[:, 0].copy().view(np.int64)), pa.array(every[:, 1].copy()), pa.array(every[:, 2].astype(np.int32))], names=["query_id", "vec_id", "score", "cell"])
+
+    found = index.select("vec_id", "cell", "blob").mapInArrow(best_of, schema)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+
+def search(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    visit: float | None = None,
+    recall: float = 0.95,
+    centroids: int | None = None,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows found for each query; ``is_query``: a condition on ``vec_id``.
+
+    visit: share of all rows that a query meets, measured for ``recall`` if it is not given; centroids: of each half.
+    """
     v, dims = usable(vectors, id_col, vector_col, nonzero=True)
     spark, schema = v.sparkSession, "query_id long, vec_id long, score double"
     if not dims:
         return ranked(spark.createDataFrame([], schema), k)
     half = max(1, dims // 2)
-    sample = unit(fit_sample(v))
+    centroids = centroids or min(MOST_CENTROIDS, max(LEAST_CENTROIDS, math.ceil(4 * v.count() ** 0.25)))
+    sample = unit(fit_sample(v, 128 * centroids))
     first, second = k_means(sample[:, :half], centroids), k_means(sample[:, half:], centroids) if dims > 1 else np.zeros((1, 0))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +206,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.5,
         counts[r["cell"]] = r["count"]
     n = int(counts.sum())
     start, number, n_shards = deal(counts, max(256, min(SHARD_ROWS, math.ceil(n / LEAST_SHARDS))))
-    want = max(math.ceil(visit * n), LEAST_VISIT)
+    asked = checkpointed(index.where(is_query).groupBy("vec_id").agg(F.min("blob").alias("blob")))
+    n_queries = asked.count()
+    if visit is None and n > LEAST_VISIT:
+        probes = [(r["vec_id"], bytes(r["blob"])) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).collect()]
+        asked_of = {i: unit(unpack([b], dims))[0] for i, b in probes}
+        nearest_of: dict[int, list[int]] = {}
+        for r in exact(index, probes, dims, k).collect() if probes else ():  # PROBES times k rows
+            nearest_of.setdefault(r["query_id"], []).append(r["cell"])
+        met = [needed(((first - (x := asked_of[i])[:half]) ** 2).sum(axis=1), ((second - x[half:]) ** 2).sum(axis=1), counts, np.array(c)) for i, c in nearest_of.items()]
+        visit = float(np.quantile(np.concatenate(met), recall, method="higher")) / n if met else 1.0
+    want = max(math.ceil((1.0 if visit is None else visit) * n), LEAST_VISIT)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +240,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.5,
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         return rerank(q["query_id"].to_numpy(), unpack(q["blob"], dims), q["cells"].tolist(), own["vec_id"].to_numpy(), unpack(own["blob"], dims), own["cell"].to_numpy(), k)
 
-    asked = checkpointed(index.where(is_query).groupBy("vec_id").agg(F.min("blob").alias("blob")))
-    blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    queries = asked.mapInArrow(visits, "query_id long, blob binary, shard int, cells array<int>")
+    blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
+    queries = asked.repartition(max(1, min(10_000, math.ceil(n_queries / WALK_ROWS))), "vec_id").mapInArrow(visits, "query_id long, blob binary, shard int, cells array<int>")
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int"))
     entries = index.mapInArrow(shard, "shard int, vec_id long, cell int, blob binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["block", "shard"]

@@ -7,7 +7,9 @@ orthogonal matrix) gathers most of a product in its first components: their part
 residual lengths bounds the score, and only vectors whose bound reaches the k-th score get an exact integer product.
 
 Queries and vectors meet in blocks: (query block, band) pairs, none larger than ``QUERY_ROWS`` times about
-``BAND_ROWS``.  Vectors that are null, empty, of another dimension than most, or hold null or non-finite components
+``BAND_ROWS``.  A query's bound divided by its length is the length that a vector needs, so queries are blocked in the
+order of that length: a block needs the bands down to some place, and a band goes to the blocks that need it and to no
+other.  Vectors that are null, empty, of another dimension than most, or hold null or non-finite components
 take no part.  Repeated ids are separate candidates, but a query never meets rows of its own id, and a query id
 that is repeated asks once, with its least packed vector.  Products must fit in
 64 bits.  Fewer than k candidates: all of them.  An empty table gives an empty result.
@@ -24,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.textbatch import checkpointed
-from tessera.llm.vectors import fit_sample, matrix, packed, ranked, unpack, usable
+from tessera.llm.vectors import elementwise, fit_sample, looked_up, matrix, packed, ranked, unpack, usable
 
-BAND_ROWS, QUERY_ROWS, LEAST_BANDS, HEAD, STEP = 16384, 2048, 16, 16, 512
+BAND_ROWS, QUERY_ROWS, QUERY_STEP, LEAST_BANDS, HEAD, STEP = 16384, 16384, 2048, 16, 16, 512
 #: Room for rounding in a bound, relative to the product of the lengths.
 SLACK = 1e-9
 
@@ -84,47 +86,63 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     at = np.array(cuts[::-1])
 
     # lengths may tie in any number, so a band is dealt on to as many slices as its rows need
-    def band_of(length: pd.Series) -> pd.Series:
-        return pd.Series(len(at) - np.searchsorted(at, length.to_numpy(), "right"))
-
-    band = F.pandas_udf(band_of, "int")
+    band = elementwise(lambda length: len(at) - np.searchsorted(at, length, "right"))
     banded = made.withColumn("band", band("length"))
     sizes = {r["band"]: (r["n"], r["longest"]) for r in banded.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
     slices = {b: max(1, math.ceil(rows / BAND_ROWS), math.ceil(rows * LEAST_BANDS / max(1, n))) for b, (rows, _) in sizes.items()}
     blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
-    by_band = F.create_map(*[F.lit(x) for b, s in slices.items() for x in (b, s)])
-    sliced = banded.withColumn("slice", F.pmod(F.xxhash64("vec_id"), by_band[F.col("band")]).cast("int"))
+    slices_of = looked_up(slices)
+    sliced = banded.withColumn("slice", F.pmod(F.xxhash64("vec_id"), slices_of("band")).cast("int"))
     # of rows with one id, the query is the least vector
     queries = made.where(is_query).groupBy("vec_id").agg(F.min(F.struct("blob", "length")).alias("q")).select("vec_id", "q.*")
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
 
     def meet(key, q: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["length", "vec_id"], ascending=[False, True], kind="stable")
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         if not len(q) or not len(own):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return scan(q["vec_id"].to_numpy(), unpack(q["blob"], dims), q["floor"].to_numpy(), own["vec_id"].to_numpy(), unpack(own["blob"], dims), rotation, k)
-
-    def met(queries: DataFrame, bands: list[int]) -> DataFrame:
-        """queries: vec_id, blob, floor, block and band; each goes to every slice of its band."""
-        q = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), (by_band[F.col("band")] - 1).cast("int"))))
-        own = sliced.where(F.col("band").isin(bands)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            return none
+        ids, v = own["vec_id"].to_numpy(), unpack(own["blob"], dims)
+        steps = (q.iloc[i : i + QUERY_STEP] for i in range(0, len(q), QUERY_STEP))
+        return pd.concat([none, *(scan(x["vec_id"].to_numpy(), unpack(x["blob"], dims), x["floor"].to_numpy(), ids, v, rotation, k) for x in steps)])
+
+    def met(queries: DataFrame, last: Column, own: DataFrame) -> DataFrame:
+        """queries: vec_id, blob, floor, block, band; own rows go to the blocks from 0 to ``last``, queries to all slices."""
+        q = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), (slices_of("band") - 1).cast("int"))))
         keys = ["block", "band", "slice"]
-        own = own.select("vec_id", "length", "blob", *keys)
+        own = own.withColumn("block", F.explode(F.sequence(F.lit(0), last))).select("vec_id", "length", "blob", *keys)
         own = own.toDF(*own.columns)  # both sides come from one table; new names keep their columns apart
         return q.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(meet, schema)
 
     bands = sorted(sizes)
     low = float(np.finfo(float).min)
-    first = checkpointed(met(queries.select("vec_id", "blob", "block", F.lit(low).alias("floor"), F.lit(bands[0]).alias("band")), bands[:1]))
+    hashed = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")
+    first = checkpointed(met(queries.select("vec_id", "blob", hashed.alias("block"), F.lit(low).alias("floor"), F.lit(bands[0]).alias("band")), F.lit(blocks - 1), sliced.where(F.col("band") == bands[0])))
     if len(bands) == 1:
         return ranked(first, k)
     floors = ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    rest = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(sizes[b][1]).alias("longest")) for b in bands[1:]])
-    wanted = (
-        queries.join(floors.dropDuplicates(["vec_id"]), "vec_id", "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(low)))
-        .withColumn("b", F.explode(rest))
-        .where(F.col("length") * F.col("b.longest") * (1 + SLACK) + 1e-6 >= F.col("floor"))
-        .select("vec_id", "blob", "block", "floor", F.col("b.band").alias("band"))
-    )
-    return ranked(first.unionByName(met(wanted, bands[1:])), k)
+    # the length a vector needs to reach a query's bound; a query without a bound, or whose bound is not positive, needs none
+    wants = F.when((F.col("length") > 0) & (F.col("floor") > 1e-6), (F.col("floor") - 1e-6) / (F.col("length") * (1 + SLACK))).otherwise(F.lit(0.0))
+    longest = np.array([sizes[b][1] for b in bands])  # by band, descending
+    bounded = queries.join(floors.dropDuplicates(["vec_id"]), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(low))).withColumn("needs", wants)
+    bounded = checkpointed(bounded)
+    edges = np.array(sorted(set(bounded.agg(F.percentile_approx("needs", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []))) if blocks > 1 else np.zeros(0)
+    number = np.array(bands)
+
+    # needs may tie in any number, so a range of them is dealt on to as many blocks as its queries need
+    ranges = elementwise(lambda needs: np.searchsorted(edges, needs, "right"))
+    to_band = elementwise(lambda needs: number[np.maximum(0, np.searchsorted(-longest, -needs, "right") - 1)])
+    bounded = bounded.withColumn("range", ranges("needs")).withColumn("last_band", to_band("needs"))
+    held = {r["range"]: (r["n"], r["last"]) for r in bounded.groupBy("range").agg(F.count("*").alias("n"), F.max("last_band").alias("last")).collect()}
+    parts = {r: max(1, math.ceil(n / QUERY_ROWS)) for r, (n, _) in held.items()}
+    start = dict(zip(sorted(parts), np.r_[0, np.cumsum([parts[r] for r in sorted(parts)])[:-1]].tolist())) if parts else {}
+    if not held:
+        return ranked(first, k)
+    block = (looked_up(start)("range") + F.pmod(F.xxhash64("vec_id", F.lit(7)), looked_up(parts)("range"))).cast("int")
+    blocked = bounded.withColumn("block", block)
+    wanted = blocked.where(F.col("last_band") > bands[0]).select("vec_id", "blob", "block", "floor", F.explode(F.sequence(F.lit(bands[0] + 1), F.col("last_band"))).alias("band")).where(F.col("band").isin(bands))
+    # ranges ascend by need, so the blocks that want a band are the first ones
+    last = {b: max((start[r] + parts[r] - 1 for r, (_, most) in held.items() if most >= b), default=-1) for b in bands[1:]}
+    reached = [b for b in bands[1:] if last[b] >= 0]
+    if not reached:
+        return ranked(first, k)
+    return ranked(first.unionByName(met(wanted, looked_up(last)("band"), sliced.where(F.col("band").isin(reached)))), k)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -34,6 +37,22 @@ def fit_sample(v: DataFrame, rows: int = SAMPLE) -> np.ndarray:
     return np.stack(got["v"].to_numpy()).astype(float)
 
 
+def elementwise(f: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> Callable[[str | Column], Column]:
+    """A function of a column's values as an expression."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(f(x.to_numpy()))
+
+    return F.pandas_udf(run, kind)
+
+
+def looked_up(values: dict[int, int]) -> Callable[[str | Column], Column]:
+    """The value of each small non-negative number; -1 where it has none."""
+    at = np.full(max(values, default=-1) + 2, -1)
+    at[list(values)] = list(values.values())
+    return elementwise(lambda x: at[np.clip(x, -1, len(at) - 1)])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column whose lists are of one length."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)

@@ -140,6 +140,57 @@ def test_walk_is_in_order_of_distance():
     assert d == sorted(d) and set(cells) == set(np.flatnonzero(counts))
 
 
+def test_a_repeated_query_row_takes_no_place_of_others(spark):
+    """The query's own row eight times, twelve equal vectors of other ids, and three far ones."""
+    rows = [(50, [1.0, 0.5], 0, "")] * 8 + [(i, [1.0, 0.5], 0, "") for i in range(51, 63)] + [(i, [-1.0, 0.1 * i], 0, "") for i in (1, 2, 3)]
+    for search in (ann.search, mips.top_k):
+        got = search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+        assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(50, k, 50 + k) for k in range(1, 6)]
+    ids = np.array([r[0] for r in rows])
+    v = np.array([r[1] for r in rows])
+    order = np.argsort(ids, kind="stable")
+    got = ann.rerank(np.array([50]), v[:1], [[0]], ids[order], v[order], np.zeros(len(ids), int), 5)
+    assert got["vec_id"].tolist() == [51, 52, 53, 54, 55]
+    # and seen from another query, repeated rows are candidates of their own
+    got = ann.rerank(np.array([7]), v[:1], [[0]], ids[order], v[order], np.zeros(len(ids), int), 5)
+    assert got["vec_id"].tolist() == [50] * 5
+
+
+def test_visit_is_measured(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_VISIT", 0)
+    seen, real = [], ann.walk
+    monkeypatch.setattr(ann, "needed", lambda *a: seen.append(real) or np.full(len(a[3]), 7))
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(df, F.col("vec_id") % 50 == 0, recall=0.9)
+    assert len(seen) == 40 and got.count() <= 200  # 7 rows a query are visited
+
+
+def test_needed_is_what_a_walk_has_met():
+    rng = np.random.default_rng(1)
+    a, b, counts = rng.random(6), rng.random(5), rng.integers(1, 4, 30)
+    for cell, rows in enumerate(ann.needed(a, b, counts, np.arange(30))):
+        cells = ann.walk(a, b, counts, int(rows))
+        assert cells[-1] == cell and counts[cells].sum() == rows
+
+
+def test_mips_over_many_blocks_and_bands(spark, monkeypatch):
+    monkeypatch.setattr(mips, "QUERY_ROWS", 3)
+    monkeypatch.setattr(mips, "BAND_ROWS", 20)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 6)) * rng.choice([0.05, 1, 4], size=(300, 1)) * np.array([3, 1, 1, 1, 1, 1])
+    v[290:] = 0
+    v[0] = 0  # a query without length
+    v[50] = -np.abs(v[50])
+    rows = [(i, x.tolist(), 0, "") for i, x in enumerate(v)]
+    got = mips.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, x string"), F.col("vec_id") % 10 == 0).collect()
+    pool = [(i, np.floor(256 * x).astype(np.int64)) for i, x in enumerate(v)]
+    want = {}
+    for q, x in pool:
+        if q % 10 == 0:
+            want[q] = sorted(((-int(x @ y), i) for i, y in pool if i != q))[:5]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted((q, k + 1, i, -s) for q, top in want.items() for k, (s, i) in enumerate(top))
+
+
 @pytest.mark.parametrize("search", [ann.search, mips.top_k])
 def test_few_and_none(spark, search):
     assert search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
