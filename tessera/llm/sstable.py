@@ -9,10 +9,11 @@ Layout, integers little-endian: blocks (zstd frames) | index (zstd) | filter | f
 Entry: varint shared, varint unshared, varint ids, key bytes, ids of ``width`` bytes each (2 where all fit, else 4).
 Key: 0x00 and the id as big-endian with its sign bit turned, or 0x01 for a null id, which so comes last.
 
-Rows are cut into shards by quantiles of their ids, so a shard has about ``SHARD_BYTES`` of text; an id that holds
+Rows are cut into shards by quantiles of their ids, so a shard has about ``SHARD_BYTES`` of text, and more in a corpus
+of over ``SHARDS`` times that, up to ``MOST_SHARD_BYTES``.  A row finds its shard by binary search; an id that holds
 several quantiles is dealt over their shards by a hash of its texts.  Texts are shuffled once, encoded where they are
 written, and never meet the driver.  A file is written beside its place and moved there, so a repeated task leaves the
-same shard.  Null texts count as empty; every document ends with the end id.  Rows of one id follow each other in an
+same shard.  Null texts count as empty; a very long text is encoded whole and may make a block of its own; every document ends with the end id.  Rows of one id follow each other in an
 arbitrary order.  An empty table gives no shards.
 """
 
@@ -28,6 +29,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -35,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.chunks import ChunkMemo
-from tessera.llm.textbatch import pick, shared_dir
+from tessera.llm.textbatch import pick, shared_dir, text_slices
 
 MAGIC, FOOTER = b"tessera1", struct.Struct("<QQQQQQIB3x8s")
-BLOCK_BYTES, SHARD_BYTES, BITS_A_KEY, PROBES, TOGETHER = 1 << 18, 24 << 20, 10, 7, 512
+BLOCK_BYTES, SHARD_BYTES, MOST_SHARD_BYTES, SHARDS, BITS_A_KEY, PROBES = 1 << 18, 24 << 20, 256 << 20, 4096, 10, 7
 
 
 def varint(n: int) -> bytes:
@@ -181,13 +183,13 @@ def open_reader(uri: str) -> Reader:
 
 
 @functools.lru_cache(2)
-def _encoder(path: str, width: int) -> ChunkMemo:
-    """The tokenizers library behind a memo of chunks; strings of special tokens are ordinary text."""
+def _encoder(path: str, width: int, special: bool) -> ChunkMemo:
+    """The tokenizers library behind a memo of chunks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
 
     def encode(texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,7 +197,7 @@ def _encoder(path: str, width: int) -> ChunkMemo:
         flat = np.fromiter((i for own in ids for i in own), f"<u{width}", ends[-1] // width).tobytes()
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    return ChunkMemo(encode)
+    return ChunkMemo(encode, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
 
 
 def _width(path: str) -> int:
@@ -204,44 +206,39 @@ def _width(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Writes the shards; (shard, uri, n_docs, n_ids) of each, in order.  One row a shard comes to the driver."""
+def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, shard_bytes: int | None = None, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+    """Writes the shards; (shard, uri, n_docs, n_ids) of each, in order.  One row a shard comes to the driver.
+
+    special: a special token's string in a text is that token, as the library has it by default; else ordinary text.
+    """
     src = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     folder = folder or f"{shared_dir(docs.sparkSession)}/sst-{uuid.uuid4().hex}"
     n, size = src.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n:
         return []
-    shards = max(1, math.ceil(size / shard_bytes))
-    cuts = src.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100_000)).first()[0] if shards > 1 else []
+    shards = max(1, math.ceil(size / (shard_bytes or max(SHARD_BYTES, min(MOST_SHARD_BYTES, size // SHARDS)))))
+    cuts = src.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(100_000, 4 * shards))).first()[0] if shards > 1 else []
     cuts, width = np.array(cuts or [], np.int64), _width(tokenizer_path)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            null = np.isnan(ids) if ids.dtype.kind == "f" else np.zeros(len(ids), bool)
-            ids = np.array(batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
-            part = (batch["row"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2**53
-            shard = np.where(null, len(cuts), np.where(high - low > 1, low + (part * (high - low + 1)).astype(int), high))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(shard, len(cuts)), pa.int32()), batch["doc_id"], batch["row"], batch["text"]], names=["shard", "doc_id", "row", "text"])
-
-    # the shard is arithmetic on the id alone wherever no id holds two quantiles
-    if len(set(cuts.tolist())) == len(cuts):
-        bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>") if len(cuts) else None
-        shard = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))).cast("int") if len(cuts) else F.lit(0)
-        numbered = src.select(shard.alias("shard"), "doc_id", F.xxhash64("text").alias("row"), "text")
-    else:
-        numbered = src.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(number, "shard int, doc_id long, row long, text string")
+    def number(ids: pd.Series, null: pd.Series, row: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(cuts, ids.to_numpy(), "left"), np.searchsorted(cuts, ids.to_numpy(), "right")
+        part = (row.to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2**53
+        shard = np.where(high - low > 1, low + (part * (high - low + 1)).astype(int), high)
+        return pd.Series(np.where(null.to_numpy(), len(cuts), np.minimum(shard, len(cuts))).astype(np.int32))
+
+    # ids alone go through the search; a null one comes last
+    shard = F.pandas_udf(number, "int")(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("row")) if len(cuts) else F.lit(0)
+    numbered = src.withColumn("row", F.xxhash64("text")).select(shard.alias("shard"), "doc_id", "row", "text")
     dealt = numbered.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), "row").select("shard", "doc_id", "text")
     end = end_id.to_bytes(width, "little")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        memo, writer, own = _encoder(tokenizer_path, width), None, None
+        memo, writer, own = _encoder(tokenizer_path, width, special), None, None
         for batch in batches:
-            for i in range(0, len(batch), TOGETHER):
-                part = batch.slice(i, TOGETHER)
+            for i, j, *_ in text_slices(batch["text"]):
+                part = batch.slice(i, j - i)
                 if writer is None:
                     own = part["shard"][0].as_py()
                     place = f"{path}/{own:06d}.sst"

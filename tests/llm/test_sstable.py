@@ -12,20 +12,20 @@ from tests.llm.fixtures import SCHEMA, documents
 PATH = P.path("byte_bpe_50k.json")
 
 
-def library(texts):
+def library(texts, special=True):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("shard_bytes", [10**9, 2000])
-def test_round_trip(spark, shard_bytes, monkeypatch):
+@pytest.mark.parametrize("shard_bytes,special", [(10**9, True), (2000, True), (2000, False)])
+def test_round_trip(spark, shard_bytes, special, monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK_BYTES", 400)
-    rows = documents() + [(1000 + i, f"tail {i} <|endoftext|>   x  y \n z", "en", "s", 1, "", "") for i in range(30)]
-    shards = sstable.write(spark.createDataFrame(rows, SCHEMA), PATH, shard_bytes=shard_bytes)
+    rows = documents() + [(2000 + i, t, "en", "s", 1, "", "") for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "end <|endoftext|>"])] + [(1000 + i, f"tail {i} <|endoftext|>   x  y \n z", "en", "s", 1, "", "") for i in range(30)]
+    shards = sstable.write(spark.createDataFrame(rows, SCHEMA), PATH, shard_bytes=shard_bytes, special=special)
     got = sstable.read(spark, shards).collect()
     want = {}
-    for r, ids in zip(rows, library([r[1] for r in rows])):
+    for r, ids in zip(rows, library([r[1] for r in rows], special)):
         want.setdefault(r[0], []).append(np.array(ids, "<u4").tobytes())
     assert len(got) == len(rows)
     start = 0
