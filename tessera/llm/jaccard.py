@@ -243,7 +243,7 @@ def _links(tree: DataFrame, probes: DataFrame, rows: int, percent: int) -> DataF
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, id, n) of the first n - ceil(percent n) + 1 tokens of each set."""
+    """(h, doc, id, n) of the first n - ceil(percent n) + 1 tokens of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,9 +252,9 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 n = part["n"].to_numpy().astype(np.int64)
                 p = n - (-(-percent * n // 100)) + 1
                 h = [np.frombuffer(s, "<i8")[:m] for s, m in zip(part["set"].to_pylist(), p)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.repeat(part["id"].to_numpy(), p)), pa.array(np.repeat(n, p).astype(np.int32))], names=["h", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), *(pa.array(np.repeat(part[c].to_numpy(), p)) for c in ("doc", "id")), pa.array(np.repeat(n, p).astype(np.int32))], names=["h", "doc", "id", "n"])
 
-    return sets.select("id", "n", "set").mapInArrow(run, "h long, id long, n int")
+    return sets.select("doc", "id", "n", "set").mapInArrow(run, "h long, doc long, id long, n int")
 
 
 def _fits(a, b, percent: int):
@@ -262,9 +262,9 @@ def _fits(a, b, percent: int):
 
 
 def _star_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the holders of each prefix token with its smallest holder."""
+    """Links of the holders of each prefix token with the holder of the smallest document, often what they were copied from."""
     posts = _prefixes(sets, percent)
-    pivot = posts.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p")
+    pivot = posts.groupBy("h").agg(F.min(F.struct("doc", "id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p")
     edges = posts.join(pivot, "h").where((F.col("p.id") != F.col("id")) & _fits(F.col("p.n"), F.col("n"), percent))
     edges = edges.select(F.col("p.id").alias("pivot"), "id").distinct()
     return _probe(edges, sets.select("id", "n", F.col("id").alias("comp"), "set"), percent)
@@ -382,10 +382,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id
         for batch in batches:
             for i, j, data, offs in text_slices(batch["text"]):
                 s = Words(data, offs, lower=True).shingles(k)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), pa.array([len(x) for x in s], pa.int32()), pa.array([x.view("<i8")[np.argsort(x.view("<i8"))].tobytes() for x in s], pa.binary())], names=["id", "n", "set"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["doc"].slice(i, j - i), pa.array([len(x) for x in s], pa.int32()), pa.array([x.view("<i8")[np.argsort(x.view("<i8"))].tobytes() for x in s], pa.binary())], names=["id", "doc", "n", "set"])
 
-    texts = src.join(wanted, ["doc_id", "key"]).select("id", "text")
-    sets = checkpointed(texts.mapInArrow(to_sets, "id long, n int, set binary").dropDuplicates(["id"]))
+    texts = src.join(wanted, ["doc_id", "key"]).select("id", F.col("doc_id").alias("doc"), "text")
+    sets = checkpointed(texts.mapInArrow(to_sets, "id long, doc long, n int, set binary").dropDuplicates(["id"]))
     first = _star_links(sets, percent)
     met = components(first)
     with_comp = sets.join(met, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), "set")
