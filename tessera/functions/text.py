@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +23,11 @@ SENTENCE_START = r"^(we|it|i|our|this|currently|the solution|my|they)\b"
 AUXILIARY = r"\b(is|are|was|were|being|been|have|has|had|will|would|can|could)\b"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def any_of(patterns: list[str]) -> str:
     """One case-insensitive pattern."""
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)

@@ -1,4 +1,4 @@
 """Composed plans and the registry of queries over them."""
 
-from tessera.plans import browse, details, places, reports, rules, search, streams  # noqa: F401  each module registers its queries
+from tessera.plans import browse, details, places, reports, rules, search, streams, writes  # noqa: F401  each module registers its queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
