@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -34,3 +34,21 @@ def ship(spark: SparkSession) -> None:
         for f in ROOT.rglob("*.py"):
             z.write(f, f.relative_to(ROOT.parent))
     context.addPyFile(place)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset and Spark is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and cut from its lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

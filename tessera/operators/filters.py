@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import text as T
+from tessera.functions.geography import continent_names
 
 
 @dataclass
@@ -19,8 +20,11 @@ class SearchFilters:
     sources: list[str] | None = None
     countries: list[str] | None = None
     continents: list[str] | None = None
+    continent_slugs: list[str] | None = None
     statuses: list[str] | None = None
+    topics: list[str] | None = None
     quality: str | None = None  # "strict" or "relaxed"
+    grants: bool = False  # whether grant records are shown
 
     def predicates(self) -> list[Column]:
         out = [F.col("active")]
@@ -31,14 +35,26 @@ class SearchFilters:
             out.append(quality_browse(relaxed=self.quality == "relaxed"))
         return out
 
+    def wanted_continents(self) -> list[str] | None:
+        """Names of continents and of continent slugs together."""
+        if self.continents is None and self.continent_slugs is None:
+            return None
+        return [*(self.continents or []), *continent_names(self.continent_slugs or [])]
 
-def apply(rows: DataFrame, filters: SearchFilters, locations: DataFrame | None = None) -> DataFrame:
-    """Rows that pass every set facet; country and continent are semi-joins on the small location table."""
+
+def apply(rows: DataFrame, filters: SearchFilters, locations: DataFrame | None = None, topics: DataFrame | None = None, grants: DataFrame | None = None) -> DataFrame:
+    """Rows that pass every set facet.  Country and continent are semi-joins on the small location table; ``topics``
+    (id, slug) bears the topic facet, and ``grants`` (id) are left out unless they are asked for."""
     out = rows.where(reduce(lambda a, b: a & b, filters.predicates()))
     if filters.countries is not None:
         out = out.join(locations.where(F.upper("country").isin([c.upper() for c in filters.countries])), "nation_key", "left_semi")
-    if filters.continents is not None:
-        out = out.join(locations.where(F.upper("continent").isin([c.upper() for c in filters.continents])), "nation_key", "left_semi")
+    continents = filters.wanted_continents()
+    if continents is not None:
+        out = out.join(locations.where(F.upper("continent").isin([c.upper() for c in continents])), "nation_key", "left_semi")
+    if filters.topics is not None:
+        out = out.join(topics.where(F.col("slug").isin(filters.topics)), "id", "left_semi")
+    if grants is not None and not filters.grants:
+        out = out.join(grants, "id", "left_anti")
     return out
 
 
@@ -54,13 +70,12 @@ def quality_browse(relaxed: bool) -> Column:
         & ~low(title).isin(T.BLOCKED_TITLES)
         & ~title.rlike("(?i)websit$")
         & ~title.rlike(r"^#+\s")
-        & ~T.pandemic(title, summary, body)
         & (low(summary) != low(title))
     )
     if not relaxed:
         capitals = (F.length(T.letters(title)) > 6) & (F.upper(title) == title) & title.rlike("[A-Z]")
         out = out & ~capitals
-    return out
+    return out & ~T.pandemic(title, summary, body)  # the only rule that searches whole bodies comes last
 
 
 def quality_order() -> list[Column]:

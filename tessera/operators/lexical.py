@@ -1,13 +1,11 @@
-"""Full-text legs over whole documents: terms, strict and any-term matches, a query grammar and cover density."""
+"""Full-text legs over whole documents: terms, strict and any-term matches, phrases and exclusions, weighted cover density."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 
 def terms(text: Column) -> Column:
@@ -84,28 +82,67 @@ def occurrences(tokens: Column, words: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(words)))
 
 
-@F.pandas_udf(DoubleType())
-def cover_density(positions: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Sum over shortest covers of all wanted terms of 1 / length; positions: (term, place) pairs by place."""
+def inflections(word: str) -> list[str]:
+    """Plain English forms of a word that a search takes for it: plural, past, and -ing forms, and what they come from."""
+    base = word
+    for end, to, least in (("ies", "y", 5), ("sses", "ss", 5), ("s", "", 4), ("ing", "", 6), ("ed", "", 5)):
+        if base.endswith(end) and len(base) >= least and not (end == "s" and base.endswith(("ss", "us", "is"))):
+            base = base[: -len(end)] + to
+            break
+    forms = {word, base, base + "s", base + "es", base + "ed", base + "ing", base + "e"}
+    if base.endswith("e"):
+        forms |= {base + "d", base[:-1] + "ing"}
+    if base.endswith("y"):
+        forms |= {base[:-1] + "ies", base[:-1] + "ied"}
+    return sorted(forms)
 
-    def one(rows, n: int) -> float:
-        last: dict[str, int] = {}
-        total, start = 0.0, -1
-        for row in rows if rows is not None else ():
-            last[row["term"]] = row["place"]
-            if len(last) == n and (low := min(last.values())) > start:
-                total, start = total + 1.0 / (row["place"] - low + 1), low
-        return total
 
-    return pd.Series([one(p, n) for p, n in zip(positions, wanted)])
+def content_words(words: list[str]) -> list[str]:
+    """Words without English stop words; all of them where none is left."""
+    from pyspark.ml.feature import StopWordsRemover
 
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    return [w for w in words if w not in stop] or words
 
-def density(tokens: Column, words: list[str]) -> Column:
-    """Cover density of the words, from the places where they stand."""
-    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("place")))
-    return cover_density(F.filter(placed, lambda x: x["term"].isin(words)), F.lit(len(set(words))))
+
+def spots(fields: list[tuple[Column, float]], groups: list[list[str]]) -> Column:
+    """(k, place, weight) of the tokens of each group of words, by place; fields are token arrays with weights, placed one
+    after another."""
+    which = lambda t: F.coalesce(*[F.when(t.isin(g), F.lit(i)) for i, g in enumerate(groups)])
+
+    def placed(tokens: Column, weight: float, offset: Column) -> Column:
+        return F.transform(tokens, lambda t, i: F.struct(which(t).alias("k"), (i + offset).cast("int").alias("place"), F.lit(float(weight)).alias("weight")))
+
+    out, offset = F.array().cast("array<struct<k:int,place:int,weight:double>>"), F.lit(0)
+    for tokens, weight in fields:
+        out = F.concat(out, F.filter(placed(tokens, weight, offset), lambda x: x["k"].isNotNull()))
+        offset = offset + F.size(tokens)
+    return out
+
+
+def density(found: Column, n: int) -> Column:
+    """Cover density of ``n`` groups of words over their spots: for every shortest cover of all of them, n / (sum of
+    1 / weight) / (places it spans)."""
+
+    def step(state: Column, x: Column) -> Column:
+        last = F.transform(state["last"], lambda v, i: F.when(i == x["k"], F.struct(x["place"].alias("place"), (1 / x["weight"]).alias("cost"))).otherwise(v))
+        low = F.array_min(F.transform(last, lambda v: v["place"]))
+        cost = F.aggregate(last, F.lit(0.0), lambda a, v: a + v["cost"])
+        more = F.when(low > state["start"], n / cost / (x["place"] - low + 1)).otherwise(0.0)
+        return F.struct(last.alias("last"), (state["total"] + more).alias("total"), F.greatest(state["start"], low).alias("start"))
+
+    none = F.struct(F.lit(-1).alias("place"), F.lit(1.0).alias("cost"))
+    start = F.struct(F.array(*[none] * n).alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("start"))
+    return F.aggregate(found, start, step)["total"]
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(term, id, n): an inverted index."""
     return docs.select(F.col(id_col).alias("id"), F.explode(terms(text)).alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
+
+
+def term_totals(docs: DataFrame, text: Column) -> DataFrame:
+    """(term, docs, n): totals of an inverted index in one shuffle; each row's sorted tokens tell where a term is new to it."""
+    sorted_ = docs.select(F.sort_array(terms(text)).alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get("t", i - 1) != x), 1).otherwise(0).alias("new")))
+    return sorted_.select(F.inline(marked)).groupBy("term").agg(F.sum("new").alias("docs"), F.count("*").alias("n"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Rows of a block of a near-pair search, and pivots at most.
+BLOCK_ROWS, PIVOTS = 2048, 256
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -28,3 +34,67 @@ def of(vectors: DataFrame, key: int, id_col: str = "vec_id", vector_col: str = "
     """One row's vector, to be a literal; an unknown key has none."""
     row = vectors.where(F.col(id_col) == key).select(vector_col).first()
     return list(row[0]) if row and row[0] else []
+
+
+def near_pairs(vectors: DataFrame, bound: float, id_col: str = "id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of rows at a cosine distance below ``bound``.
+
+    On unit vectors that is an angle below a bound, and angles obey the triangle inequality.  A row belongs to its nearest
+    of a few sampled pivots; it also visits every pivot whose angle is larger than that by less than twice the bound, so a
+    near pair always meets at the first row's pivot.  Cells are cut into blocks by angle to the pivot, and two blocks of a
+    cell meet only where their angles come within the bound.  Rows of another dimension than most, null and zero vectors
+    have no pairs.
+    """
+    v = vectors.where(F.col(vector_col).isNotNull() & F.exists(vector_col, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    most = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    schema = "a long, b long, distance double"
+    if not most:
+        return vectors.sparkSession.createDataFrame([], schema)
+    v = v.where(F.size("v") == most["d"])
+    n = v.count()
+    k = pivots or min(PIVOTS, max(1, math.ceil(n / BLOCK_ROWS)))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(np.stack(v.orderBy(F.xxhash64("id"), "id").limit(k).toPandas()["v"].to_numpy()).astype(float))  # k rows
+    angle, slack = math.acos(max(-1.0, 1 - bound)), 1e-6
+
+    def file(batches):
+        """A row's visits: (cell, home, angle to the cell's pivot); home in its nearest cell."""
+        for rows in batches:
+            if not len(rows):
+                continue
+            x = np.stack(rows["v"].to_numpy()).astype(float)
+            theta = np.arccos(np.clip(unit(x) @ centres.T, -1, 1))
+            own = theta.argmin(axis=1)
+            near = theta <= theta.min(axis=1, keepdims=True) + 2 * angle + slack
+            r, c = np.nonzero(near)
+            yield pd.DataFrame({"id": rows["id"].to_numpy()[r], "cell": c.astype(np.int32), "home": own[r] == c, "theta": theta[r, c], "blob": [x[i].tobytes() for i in r]})
+
+    filed = v.mapInPandas(file, "id long, cell int, home boolean, theta double, blob binary")
+    width = max(angle, 1e-3)
+    filed = filed.withColumn("ring", F.floor(F.col("theta") / width).cast("int"))
+    # every home row meets the rows of its ring and the next ones; rings with many rows are dealt on
+    homes = filed.where("home").select("cell", F.col("ring").alias("r"), "id", "blob", F.pmod(F.xxhash64("id"), F.lit(max(1, n // (k * BLOCK_ROWS)))).cast("int").alias("part"))
+    parts = max(1, n // (k * BLOCK_ROWS))
+    others = filed.withColumn("r", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    others = others.select("cell", "r", "id", "blob", "part")
+    dims = int(most["d"])
+
+    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b, s = [], [], []
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(t["blob"]), "<f8").reshape(-1, dims) for t in (left, right))
+            i, j, yn = left["id"].to_numpy(), right["id"].to_numpy(), np.sqrt((y * y).sum(axis=1))
+            for at in range(0, len(x), 256):
+                part = x[at : at + 256]
+                d = 1 - (part @ y.T) / (np.sqrt((part * part).sum(axis=1))[:, None] * yn[None, :])
+                p, q = np.nonzero((d < bound) & (i[at : at + 256][:, None] != j[None, :]))
+                a.append(np.minimum(i[at + p], j[q]))
+                b.append(np.maximum(i[at + p], j[q]))
+                s.append(d[p, q])
+        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
+        return pd.DataFrame({"a": joined(a, np.int64), "b": joined(b, np.int64), "distance": joined(s, float)})
+
+    keys = ["cell", "r", "part"]
+    others = others.toDF(*others.columns)
+    met = homes.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(meet, schema)
+    return met.groupBy("a", "b").agg(F.min("distance").alias("distance"))

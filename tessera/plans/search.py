@@ -1,45 +1,120 @@
-"""Hybrid search: strict, any-term and semantic legs, fused, de-duplicated, capped and shaped."""
+"""Hybrid search and browse: strict, any-term and semantic legs, fused, de-duplicated, capped, paged and shaped."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.cluster import checkpointed
+from tessera.functions.taxonomy import stage_rank
 from tessera.operators import filters as flt, lexical, ranking, vectors
+from tessera.operators.columns import computed
 from tessera.plans.registry import query
-from tessera.sources.tables import LOCATIONS_SQL, RESOURCES_SQL, locations, resources, table
+from tessera.sources.tables import GRANTS_SQL, LOCATIONS_SQL, RESOURCES_SQL, TOPICS_SQL, grants, locations, resources, table, topics
 
-SEMANTIC_POOL, RELAXED, STRICT = 500, {"semantic": 3.5, "full_text": 1.0, "or_lexical": 0.2}, {"semantic": 1.25, "full_text": 1.0, "or_lexical": 0.65}
+SEMANTIC_POOL, BROWSE_POOL = 500, 500
+RELAXED, STRICT = {"semantic": 3.5, "full_text": 1.0, "or_lexical": 0.2}, {"semantic": 1.25, "full_text": 1.0, "or_lexical": 0.65}
+#: Weights of words in title, summary and body.
+WEIGHTS = (1.0, 0.4, 0.2)
 
 
-def lexical_pool(limit: int) -> int:
-    return min(200, max(8 * limit, 40))
+def lexical_pool(limit: int, sources: int = 0, diverse: bool = False) -> int:
+    return min(200, max(8 * limit, 40, sources * (4 if diverse else 1)))
 
 
-def search(spark: SparkSession, sf_dir: str, text: str, embedding: Sequence[float] | None = None, filters: flt.SearchFilters | None = None, limit: int = 10, offset: int = 0, max_distance: float = 0.42, cap_sources: bool = False) -> DataFrame:
-    """(rank, id, score, lists, why, title, source): a page of the fused legs.
+def browse_pool(limit: int) -> int:
+    return min(BROWSE_POOL, max(5 * limit, 20))
 
-    Only ids and ranks travel until the page is cut; titles are joined at the end.  The strict leg being empty decides the
-    weights, as one small aggregate.
+
+def filtered(spark: SparkSession, sf_dir: str, filters: flt.SearchFilters | None) -> DataFrame:
+    """Items that pass the filters; only the tables of facets that are set are read, and grants never show unasked."""
+    f = filters or flt.SearchFilters()
+    return flt.apply(resources(spark, sf_dir), f, locations(spark, sf_dir), topics(spark, sf_dir) if f.topics is not None else None, grants(spark, sf_dir))
+
+
+def browse_order(filters: flt.SearchFilters, sort: str | None) -> list[Column]:
+    if sort == "maturity":
+        return [stage_rank(F.col("maturity")), F.desc("id")]
+    return flt.quality_order() if filters.quality else [F.desc("id")]
+
+
+def browse(spark: SparkSession, sf_dir: str, filters: flt.SearchFilters | None = None, limit: int = 10, offset: int = 0, diverse: bool = False, sort: str | None = None) -> DataFrame:
+    """(rank, id, score, lists, why, title, source): a search without words; with ``diverse`` one item of each source."""
+    f = filters or flt.SearchFilters()
+    top = ranking.pool(filtered(spark, sf_dir, f).select("id", "title", "summary", "source", "maturity"), browse_order(f, sort), browse_pool(limit))
+    top = top.withColumn("score", 1.0 / F.col("rank")).withColumn("lists", F.array(F.lit("browse"))).withColumn("why", F.lit("browse"))
+    kept = ranking.cap_per_key(top, "source", 1, [F.col("rank")]) if diverse else top
+    page = ranking.pool(kept.drop("rank"), [F.desc("score")], offset + limit).where(F.col("rank") > offset)
+    return page.select("rank", "id", "score", "lists", "why", "title", "source")
+
+
+def lexical_hits(rows: DataFrame, text: str, english: bool = True) -> DataFrame:
+    """(id, strict, n, density) of the rows that hold any of the query's words: one pass over the texts.
+
+    With ``english`` stop words are left out and a word stands for its plain inflections.
     """
-    rows = flt.apply(resources(spark, sf_dir), filters or flt.SearchFilters(), locations(spark, sf_dir))
-    lean = rows.select("id", lexical.terms(F.concat_ws(" ", "title", "body")).alias("tokens"))
-    words, size = lexical.or_words(text), lexical_pool(limit)
-    hits = lean.select("id", lexical.matches(F.col("tokens"), lexical.parse_query(text)).alias("strict"), lexical.or_count(F.col("tokens"), words).alias("n"), lexical.occurrences(F.col("tokens"), lexical.query_terms(text)).alias("tf"))
-    strict = ranking.pool(hits.where("strict"), [F.desc("tf"), F.col("id")], size)
-    relaxed = strict.limit(1).count() == 0
-    least = 2 if relaxed and len(words) >= 4 else 1
-    legs = {"full_text": strict, "or_lexical": ranking.pool(hits.where(F.col("n") >= least), [F.desc("n"), F.col("id")], size)}
+    words = lexical.or_words(text)
+    kept = lexical.content_words(words) if english else words
+    groups = [lexical.inflections(t) if english else [t] for t in lexical.query_terms(" ".join(kept))]
+    fields = [(F.col(f"_{c}"), w) for c, w in zip(("title", "summary", "body"), WEIGHTS)]
+    tokens = rows.select("id", *[lexical.terms(F.col(c)).alias(f"_{c}") for c in ("title", "summary", "body")])
+    found = computed(tokens, spots=lexical.spots(fields, groups), all=F.concat(*[t for t, _ in fields]) if _needs_grammar(text) else F.lit(None))
+    n = F.size(F.array_distinct(F.transform("spots", lambda x: x["k"])))
+    strict = lexical.matches(F.col("all"), lexical.parse_query(text)) if _needs_grammar(text) else n == len(groups)
+    return found.where(F.size("spots") > 0).select("id", strict.alias("strict"), n.alias("n"), F.round(lexical.density(F.col("spots"), max(1, len(groups))), 9).alias("density"))
+
+
+def _needs_grammar(text: str) -> bool:
+    """Phrases, exclusions or alternatives are asked for."""
+    return '"' in text or any(w == "or" or w.startswith("-") for w in text.lower().split())
+
+
+def search(
+    spark: SparkSession,
+    sf_dir: str,
+    text: str = "",
+    embedding: Sequence[float] | None = None,
+    filters: flt.SearchFilters | None = None,
+    limit: int = 10,
+    offset: int = 0,
+    max_distance: float = 0.42,
+    cap_sources: bool = False,
+    diverse: bool = False,
+    sort: str | None = None,
+) -> DataFrame:
+    """(rank, id, score, lists, why, title, source): a page of the fused legs; without words a browse.
+
+    Texts are read once: what any word hits is written as (id, strict, n, density), and pools, weights and fusion work on
+    that.  Titles join at the end.  With ``diverse`` at most two items of a source, and of a topic a fifth of a page; then
+    sources are capped alone with ``cap_sources``.  ``sort`` orders the page by newest or maturity.
+    """
+    if not text.strip():
+        return browse(spark, sf_dir, filters, limit, offset, diverse, sort)
+    f = filters or flt.SearchFilters()
+    rows, size = filtered(spark, sf_dir, f), lexical_pool(limit, len(f.sources or []), diverse)
+    hits = checkpointed(lexical_hits(rows, text))
+    relaxed = hits.where("strict").limit(1).count() == 0
+    least = 2 if relaxed and len(lexical.or_words(text)) >= 4 else 1
+    legs = {
+        "full_text": ranking.pool(hits.where("strict"), [F.desc("density"), F.col("id")], size),
+        "or_lexical": ranking.pool(hits.where(F.col("n") >= least), [F.desc("n"), F.col("id")], size),
+    }
     if embedding:
         near = vectors.nearest(table(spark, sf_dir, "embeddings"), embedding, SEMANTIC_POOL, max_distance, "vec_id").join(rows.select("id"), "id", "left_semi")
         legs["semantic"] = ranking.pool(near, [F.col("distance"), F.col("id")], SEMANTIC_POOL)
     fused = ranking.fuse(legs, RELAXED if relaxed else STRICT)
-    shown = fused.join(rows.select("id", "title", "source", "org_key"), "id")
+    shown = fused.join(rows.select("id", "title", "source", "org_key", "maturity", "tech_key"), "id")
     order = [F.desc("score"), F.col("id")]
-    unique = ranking.dedupe_first_seen(shown, F.col("title"), F.col("org_key").cast("string"), order)
-    capped = ranking.cap_per_key(unique, "source", ranking.source_cap(limit), order) if cap_sources else unique
-    page = ranking.pool(capped, order, offset + limit).where(F.col("rank") > offset)
+    kept = ranking.dedupe_first_seen(shown, F.col("title"), F.col("org_key").cast("string"), order)
+    if diverse:
+        kept = ranking.cap_per_key(ranking.cap_per_key(kept, "source", 2, order), "tech_key", ranking.bucket_cap(limit), order)
+    elif cap_sources:
+        kept = ranking.cap_per_key(kept, "source", ranking.source_cap(limit), order)
+    page = ranking.pool(kept, order, offset + limit).where(F.col("rank") > offset)
+    if sort:
+        page = page.withColumnRenamed("rank", "_fused")
+        page = ranking.pool(page, [F.desc("id")] if sort == "newest" else [stage_rank(F.col("maturity")), F.col("_fused")], limit).withColumn("rank", F.col("rank") + offset)
     return page.select("rank", "id", "score", "lists", ranking.why_matched(F.col("lists")).alias("why"), "title", "source")
 
 
@@ -59,31 +134,97 @@ def _terms_sql(text: str) -> str:
 
 
 _DIST = "1 - list_dot_product(e.embedding::DOUBLE[], q.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v)))"
-_HYBRID_SQL = f"""
-WITH {RESOURCES_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7),
-act AS (SELECT * FROM res WHERE active),
-tok AS (SELECT id, {_terms_sql("concat_ws(' ', title, body)")} AS t FROM act),
-hit AS (SELECT id, list_contains(t, 'the') AND list_contains(t, 'and') AS strict, CAST(list_contains(t, 'the') AS INT) + CAST(list_contains(t, 'and') AS INT) AS n, len(list_filter(t, lambda x: x IN ('the', 'and'))) AS tf FROM tok),
-a AS (SELECT id, row_number() OVER (ORDER BY tf DESC, id) AS rank FROM hit WHERE strict QUALIFY rank <= 80),
-b AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM hit WHERE n >= 1 QUALIFY rank <= 80),
+
+
+def _search_sql(words: str, limit: int = 10, offset: int = 0, vector: bool = False, cap: str = "", where: str = "", order: str = "score DESC, id") -> str:
+    """DuckDB SQL of a search for one or two words that are no stop words; of more, density is not told apart."""
+    groups = [lexical.inflections(w) for w in words.split()]
+    k = "CASE " + " ".join(f"WHEN x IN ({', '.join(map(repr, g))}) THEN {i}" for i, g in enumerate(groups)) + " END"
+    pool, n = lexical_pool(limit), len(groups)
+    semantic = f"UNION ALL SELECT id, CASE WHEN relaxed THEN 3.5 ELSE 1.25 END / (60 + rank), 'semantic' FROM c, rel" if vector else ""
+    density = "list_sum(list_transform(range(1, len(s)), lambda i: CASE WHEN s[i].k <> s[i + 1].k THEN 2 / (1 / s[i].w + 1 / s[i + 1].w) / (s[i + 1].p - s[i].p + 1) ELSE 0.0 END))" if n == 2 else "list_sum(list_transform(s, lambda v: v.w))"
+    return f"""
+WITH {RESOURCES_SQL}, {LOCATIONS_SQL}, {GRANTS_SQL}, {TOPICS_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7),
+act AS (SELECT * FROM res WHERE active AND id NOT IN (SELECT id FROM grants) {where}),
+tok AS (SELECT id, {_terms_sql('title')} AS t, {_terms_sql('summary')} AS u, {_terms_sql('body')} AS b FROM act),
+spot AS (SELECT id, list_filter(list_transform(range(1, len(t || u || b) + 1), lambda i: struct_pack(x := (t || u || b)[i], p := i, w := CASE WHEN i <= len(t) THEN 1.0 WHEN i <= len(t) + len(u) THEN 0.4 ELSE 0.2 END::DOUBLE)), lambda y: y.x IN ({', '.join(repr(f) for g in groups for f in g)})) AS s FROM tok),
+spotk AS (SELECT id, list_transform(s, lambda y: struct_pack(k := {k.replace('x IN', 'y.x IN')}, p := y.p, w := y.w)) AS s FROM spot WHERE len(s) > 0),
+hit AS (SELECT id, len(list_distinct(list_transform(s, lambda y: y.k))) AS n, round(coalesce({density}, 0.0), 9) AS density FROM spotk),
+rel AS (SELECT NOT coalesce(bool_or(n = {n}), false) AS relaxed FROM hit),
+a AS (SELECT id, row_number() OVER (ORDER BY density DESC, id) AS rank FROM hit WHERE n = {n} QUALIFY rank <= {pool}),
+b AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM hit, rel WHERE n >= CASE WHEN relaxed AND {len(words.split())} >= 4 THEN 2 ELSE 1 END QUALIFY rank <= {pool}),
 near AS (SELECT vec_id AS id, {_DIST} AS d FROM embeddings e, q WHERE {_DIST} <= 0.9 ORDER BY d, id LIMIT 500),
 c AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM near WHERE id IN (SELECT id FROM act)),
 fused AS (SELECT id, round(sum(w), 12) AS score, list_sort(list(DISTINCT leg)) AS lists FROM (
-  SELECT id, 1.0 / (60 + rank) AS w, 'full_text' AS leg FROM a UNION ALL SELECT id, 0.65 / (60 + rank), 'or_lexical' FROM b UNION ALL SELECT id, 1.25 / (60 + rank), 'semantic' FROM c) GROUP BY id),
-shown AS (SELECT f.*, title, source, org_key, concat_ws('|', trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), CAST(org_key AS VARCHAR)) AS k FROM fused f JOIN act USING (id)),
+  SELECT id, 1.0 / (60 + rank) AS w, 'full_text' AS leg FROM a UNION ALL SELECT id, CASE WHEN relaxed THEN 0.2 ELSE 0.65 END / (60 + rank), 'or_lexical' FROM b, rel {semantic}) GROUP BY id),
+shown AS (SELECT f.*, title, source, org_key, maturity, tech_key, concat_ws('|', trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), CAST(org_key AS VARCHAR)) AS k FROM fused f JOIN act USING (id)),
 uniq AS (SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, id) = 1),
-capped AS (SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, id) <= 3)
-SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score, array_to_string(lists, ',') AS lists,
+capped AS (SELECT * FROM uniq {cap}),
+page AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM capped QUALIFY rank > {offset} AND rank <= {offset + limit})
+SELECT row_number() OVER (ORDER BY {order}) + {offset} AS rank, id, score, array_to_string(lists, ',') AS lists,
   CASE WHEN list_contains(lists, 'semantic') AND (list_contains(lists, 'full_text') OR list_contains(lists, 'or_lexical')) THEN 'full_text+semantic' WHEN list_contains(lists, 'semantic') THEN 'semantic' ELSE 'full_text' END AS why, title, source
-FROM capped QUALIFY rank <= 10"""
+FROM page"""
+
+
+def _by_source(most: int) -> str:
+    return f"QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, id) <= {most}"
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.withColumn("lists", F.array_join("lists", ","))
 
 
-@query(_HYBRID_SQL)
+@query(_search_sql("thin thing", vector=True, cap=_by_source(3)))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: words and a vector together, at most three hits of a source."""
     v = vectors.of(table(spark, sf_dir, "embeddings"), 7)
-    out = search(spark, sf_dir, "the and", v, limit=10, max_distance=0.9, cap_sources=True)
-    return out.withColumn("lists", F.array_join("lists", ","))
+    return _flat(search(spark, sf_dir, "thin thing", v, max_distance=0.9, cap_sources=True))
+
+
+@query(_search_sql("thin thing zyzzyva quokka", vector=True))
+def search_relaxed(spark, sf_dir):
+    """No item holds all four words: two of them are asked for, and the vector weighs more."""
+    v = vectors.of(table(spark, sf_dir, "embeddings"), 7)
+    return _flat(search(spark, sf_dir, "thin thing zyzzyva quokka", v, max_distance=0.9))
+
+
+@query(_search_sql("thin thing", limit=5, offset=5))
+def search_page_2(spark, sf_dir):
+    return _flat(search(spark, sf_dir, "thin thing", limit=5, offset=5))
+
+
+@query(_search_sql("thin thing", order="id DESC"))
+def search_newest(spark, sf_dir):
+    """The page of a search, newest first."""
+    return _flat(search(spark, sf_dir, "thin thing", sort="newest"))
+
+
+@query(_search_sql("thin thing", cap="WHERE id IN (SELECT id FROM (SELECT * FROM (SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, id) <= 2) QUALIFY row_number() OVER (PARTITION BY tech_key ORDER BY score DESC, id) <= 2))"))
+def search_diverse(spark, sf_dir):
+    """At most two items of a source, then of a topic a fifth of the page."""
+    return _flat(search(spark, sf_dir, "thin thing", diverse=True))
+
+
+@query(_search_sql("thin thing", where="AND id IN (SELECT id FROM topics WHERE slug IN ('topic-2', 'topic-4')) AND nation_key IN (SELECT nation_key FROM loc WHERE continent IN ('AFRICA', 'ASIA'))"))
+def search_by_topic(spark, sf_dir):
+    return _flat(search(spark, sf_dir, "thin thing", filters=flt.SearchFilters(topics=["topic-2", "topic-4"], continent_slugs=["africa", "asia"])))
+
+
+def _browse_sql(order: str, pool: int, limit: int, offset: int, cap: str, where: str = "") -> str:
+    return f"""WITH {RESOURCES_SQL}, {GRANTS_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY {order}) AS r FROM res WHERE active AND id NOT IN (SELECT id FROM grants) {where} QUALIFY r <= {pool}),
+k AS (SELECT * FROM p {cap}) SELECT row_number() OVER (ORDER BY r) AS rank, id, round(1.0 / r, 9) AS score, title, source FROM k QUALIFY rank > {offset} AND rank <= {offset + limit}"""
+
+
+@query(_browse_sql("id DESC", 50, 10, 0, ""))
+def browse_blank(spark, sf_dir):
+    """A search without words is a browse, newest first."""
+    return search(spark, sf_dir, " ").select("rank", "id", F.round("score", 9).alias("score"), "title", "source")
+
+
+@query(_browse_sql("CASE maturity WHEN 'SCALED' THEN 0 WHEN 'DEPLOYED' THEN 1 WHEN 'PILOT' THEN 2 ELSE 3 END, id DESC", 100, 20, 0, "QUALIFY row_number() OVER (PARTITION BY source ORDER BY r) = 1"))
+def browse_diverse(spark, sf_dir):
+    """One item of each source, the most mature first."""
+    return browse(spark, sf_dir, limit=20, diverse=True, sort="maturity").select("rank", "id", F.round("score", 9).alias("score"), "title", "source")
 
 
 @query(f"WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3) SELECT row_number() OVER (ORDER BY d, id) AS rank, id, round(d, 9) AS distance FROM (SELECT vec_id AS id, {_DIST} AS d FROM embeddings e, q WHERE vec_id <> 3) QUALIFY rank <= 10")
@@ -142,14 +283,34 @@ def match_total(spark, sf_dir):
     return flags.agg(*[F.count_if(c).alias(n) for c, n in ((F.col("s") | F.col("o") | F.col("v"), "total"), (F.col("s"), "strict"), (F.col("o"), "any_term"), (F.col("v"), "semantic"))])
 
 
-@query()
+@query(f"""WITH {RESOURCES_SQL}, tok AS (SELECT id, {_terms_sql('body')} AS t FROM res WHERE active), s AS (SELECT id, list_filter(list_transform(range(1, len(t) + 1), lambda i: struct_pack(x := t[i], p := i)), lambda y: y.x IN ('that', 'with')) AS s FROM tok WHERE list_contains(t, 'that') AND list_contains(t, 'with'))
+SELECT id, round(list_sum(list_transform(range(1, len(s)), lambda i: CASE WHEN s[i].x <> s[i + 1].x THEN 1.0 / (s[i + 1].p - s[i].p + 1) ELSE 0.0 END)), 9) AS density FROM s""")
 def cover_density(spark, sf_dir):
-    """Rank by cover density; held against brute force in the tests."""
-    t = lexical.terms(F.col("body"))
-    rows = resources(spark, sf_dir).where("active").where(lexical.matches(t, lexical.parse_query("that with")))
-    return rows.select("id", lexical.density(t, ["that", "with"]).alias("density"))
+    """Cover density of two words: their neighbouring places of different words are the shortest covers."""
+    rows = resources(spark, sf_dir).where("active").select("id", lexical.terms(F.col("body")).alias("t"))
+    found = computed(rows.where(F.array_contains("t", "that") & F.array_contains("t", "with")), spots=lexical.spots([(F.col("t"), 1.0)], [["that"], ["with"]]))
+    return found.select("id", F.round(lexical.density(F.col("spots"), 2), 9).alias("density"))
 
 
 @query(f"{_TOK} SELECT term, count(DISTINCT id) AS docs, count(*) AS n FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY term")
 def inverted_index_totals(spark, sf_dir):
-    return lexical.postings(resources(spark, sf_dir).where("active"), "id", F.col("body")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    return lexical.term_totals(resources(spark, sf_dir).where("active"), F.col("body"))
+
+
+@query(f"""WITH {RESOURCES_SQL}, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id IN (SELECT id FROM res WHERE active))
+SELECT a.id AS a, b.id AS b, round(1 - list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS distance FROM e a JOIN e b ON a.id < b.id WHERE 1 - list_dot_product(a.v, b.v) / (a.n * b.n) < 0.2""")
+def semantic_duplicates(spark, sf_dir):
+    """Pairs of active items nearer than a bound, by pivots; nothing is compared with everything."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id").join(resources(spark, sf_dir).where("active").select("id"), "id", "left_semi")
+    return vectors.near_pairs(e, 0.2).select("a", "b", F.round("distance", 9).alias("distance"))
+
+
+@query(f"""WITH {RESOURCES_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), o AS (SELECT nation_key AS nk, tech_key AS tk FROM res WHERE id = 3)
+SELECT row_number() OVER (ORDER BY d, id) AS rank, id, round(d, 9) AS distance FROM (SELECT e.vec_id AS id, {_DIST} AS d FROM embeddings e JOIN res ON res.id = e.vec_id, q, o WHERE e.vec_id <> 3 AND active AND tech_key <> tk AND nation_key <> nk) QUALIFY rank <= 5""")
+def different_approaches(spark, sf_dir):
+    """Near items that go about it with another technology, and elsewhere."""
+    origin = resources(spark, sf_dir).where("id = 3").select(F.col("nation_key").alias("nk"), F.col("tech_key").alias("tk")).first()
+    other = resources(spark, sf_dir).where("active and id <> 3").where((F.col("tech_key") != (origin["tk"] if origin else -1)) & (F.col("nation_key") != (origin["nk"] if origin else -1))).select(F.col("id").alias("vec_id"))
+    e = table(spark, sf_dir, "embeddings")
+    top = ranking.pool(vectors.nearest(e.join(other, "vec_id", "left_semi"), vectors.of(e, 3), 5, None, "vec_id"), [F.col("distance"), F.col("id")], 5)
+    return top.select("rank", "id", F.round("distance", 9).alias("distance"))

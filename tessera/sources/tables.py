@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.operators.columns import computed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items: title and summary are the first two sentences of a text, review status and activity come from its labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    sentence = lambda n: F.trim(F.split_part("text", F.lit("."), F.lit(n)))
+    # the text up to its first and second full stop; no more of it is taken apart
+    docs = computed(docs, _one=F.substring_index("text", ".", 1), _two=F.substring_index("text", ".", 2))
+    docs = computed(docs, _title=F.trim("_one"), _summary=F.trim(F.expr("substring(_two, length(_one) + 2)")))
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
-        sentence(1).alias("title"),
-        sentence(2).alias("summary"),
+        F.col("_title").alias("title"),
+        F.col("_summary").alias("summary"),
         F.col("text").alias("body"),
         F.col("lang").alias("language"),
         "source",
@@ -51,6 +55,25 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOCATIONS_SQL = "loc AS (SELECT CAST(n_nationkey AS INTEGER) AS nation_key, n_name AS country, r_name AS continent FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, slug): the topics of items, one or two for each."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    slug = lambda n: F.concat(F.lit("topic-"), (F.col("id") % n).cast("string")).alias("slug")
+    return d.select("id", slug(7)).unionByName(d.where("id % 3 = 0").select("id", slug(5))).distinct()
+
+
+TOPICS_SQL = "topics AS (SELECT doc_id AS id, 'topic-' || doc_id % 7 AS slug FROM documents UNION SELECT doc_id, 'topic-' || doc_id % 5 FROM documents WHERE doc_id % 3 = 0)"
+
+
+def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id): items whose metadata says that they are grant records."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return e.where(F.get_json_object("props", "$.k").isin("1", "2")).select(F.col("event_id").alias("id"))
+
+
+GRANTS_SQL = "grants AS (SELECT event_id AS id FROM events WHERE event_type = 'error' AND json_extract_string(props, '$.k') IN ('1', '2'))"
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log: one row for each event, its source, start, status and counters."""
     e = table(spark, sf_dir, "events")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -11,15 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.cluster import shared_dir
+
 
 def shared(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share; a folder of our own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{found}/stream-{uuid.uuid4().hex}"
+    """A new folder under the one that all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
