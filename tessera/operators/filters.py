@@ -87,3 +87,35 @@ def quality_order() -> list[Column]:
 def existence_flag(rows: DataFrame, keys: DataFrame, on: str, name: str) -> DataFrame:
     """rows with a boolean column: the key has a row in ``keys``."""
     return rows.join(keys.select(on).distinct().withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+# Words of administration that veto, and of innovation of which one must stand.
+ADMIN_WORDS = [r"\bwork programme\b", r"\bgrant agreement\b", r"\bproject management\b", r"\bdissemination\b.*\bonly\b", r"\badministrative\b"]
+INNOVATION_WORDS = [
+    r"\binnovat", r"\bstartup", r"\bscale-?up", r"\bsme\b", r"\bcommercial", r"\bmarket\b", r"\bproduct\b", r"\btechnology transfer\b", r"\baccelerator\b", r"\bventure\b", r"\beic\b", r"\bhorizon\b",
+    r"\bsbir\b", r"\bsttr\b",
+]
+
+
+def innovation_faults(text: Column) -> Column:
+    """Why a record is no innovation: no text, each administrative pattern, or no sign of one; empty for one that is."""
+    admin = F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(f"admin_pattern:{p}")) for p in ADMIN_WORDS]))
+    none = F.when(~text.rlike(T.any_of(INNOVATION_WORDS)), F.array(F.lit("no_innovation_signal"))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array(F.lit("empty_text"))).otherwise(F.when(F.size(admin) > 0, admin).otherwise(none))
+
+
+def dropped_at_gate(source: Column, reasons: Column, by_source: dict[str, list[str]], strict: list[str]) -> Column:
+    """Whether an item is left out at the quality gate: any reason for strict sources, a listed one for the others."""
+    out = source.isin(strict) & (F.size(reasons) > 0)
+    for name, codes in by_source.items():
+        out = out | ((source == name) & F.arrays_overlap(reasons, F.array(*map(F.lit, codes))))
+    return F.coalesce(out, F.lit(False))
+
+
+def missing_image(url: Column) -> Column:
+    return url.isNull() | (F.trim(url) == "") | url.startswith("data:")
+
+
+def junk_person(name: Column) -> Column:
+    """A name that is none: one to three single letters, or a legal form."""
+    return F.coalesce(F.trim(name).rlike(r"(?i)^[a-z](\s+[a-z]){0,2}$") | T.legal_form(name), F.lit(False))

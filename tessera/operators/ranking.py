@@ -30,9 +30,30 @@ def bucket_cap(limit: int) -> int:
 def dedupe_first_seen(df: DataFrame, title: Column, organisation: Column, order: list[Column]) -> DataFrame:
     """The best-ranked row of each normalised title and organisation; rows with neither are all kept."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
-    key = F.concat_ws("|", norm(title), norm(organisation))
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | (key == "|")).drop("_n")
+    keyed = df.withColumn("_key", F.concat_ws("|", norm(title), norm(organisation)))
+    w = Window.partitionBy("_key").orderBy(*order)
+    # rows without a key never meet in one window
+    best = keyed.where(F.col("_key") != "|").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return best.unionByName(keyed.where(F.col("_key") == "|")).drop("_key")
+
+
+def distinct_in_order(lists: list[DataFrame], column: str) -> DataFrame:
+    """(column, place): values of several lists (column, place), each once, where it comes first, in the lists' order.
+
+    For lists of a page's or a pool's size: places are numbered in one task.
+    """
+    union = None
+    for i, part in enumerate(lists):
+        rows = part.select(column, F.lit(i).alias("_list"), F.col("place").alias("_at"))
+        union = rows if union is None else union.unionByName(rows)
+    first = union.groupBy(column).agg(F.min(F.struct("_list", "_at")).alias("_first"))
+    return first.select(column, F.row_number().over(Window.orderBy("_first", column)).alias("place"))
+
+
+def random_pick(df: DataFrame, key: str, seed: int, exclude: list[int] | None = None) -> DataFrame:
+    """One row that looks random and is the same for a seed: the least hash of the seed and the key."""
+    rows = df.where(~F.col(key).isin(exclude)) if exclude else df
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(1)
 
 
 def fuse(lists: dict[str, DataFrame], weights: dict[str, float], k: int = 60) -> DataFrame:
