@@ -97,7 +97,7 @@ def display_title(title: Column) -> Column:
 def _unmarked() -> tuple[str, str, dict[str, str]]:
     """Latin letters whose compatibility form begins with ASCII, by that form: single letters, and those of several."""
     one, several = {}, {}
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B)):
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2100, 0x2150), *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B)):
         bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if bare != chr(code) and bare.strip().isascii() and bare.strip():
             (one if len(bare) == 1 else several)[chr(code)] = bare

@@ -77,7 +77,7 @@ def geography_defaults(spark, sf_dir):
     return G.with_defaults(rows, defaults, {"asia-innovation": "Asia", "africa-innovation": "Africa"}).select("s_suppkey", "country", "code", "continent")
 
 
-_METADATA = ['{"stage": "Pre-Seed"}', '{"trl": 5}', '{"trl": 9}', '{"evidence_stage": "we are now piloting it"}', '{"programme_stage": "GROWTH"}', '{"investment_stage": "Revenue, growth"}', '{"stage": "unknown", "company_stage": "MVP"}', "{}", None, '{"stage": "Scaled operations in 12 countries"}']
+_METADATA = ['{"stage": " seed "}', '{"trl": 5}', '{"trl": 9}', '{"evidence_stage": "in trials now"}', '{"programme_stage": "GROWTH"}', '{"investment_stage": "Revenue, growth"}', '{"stage": "unknown", "company_stage": "MVP"}', "{}", None, '{"stage": "we sell across 9 countries"}']
 
 
 @query(f"WITH {_cycled_sql(_METADATA)} SELECT key, ['IDEA', 'PROTOTYPE', 'DEPLOYED', 'PILOT', 'SCALED', 'DEPLOYED', 'PROTOTYPE', NULL, NULL, 'SCALED'][key % 10 + 1] AS stage FROM t")
@@ -95,7 +95,7 @@ def stage_signals(spark, sf_dir):
     return _cycled(spark, sf_dir, _CLAIMS).select("key", X.first_signal(F.col("text"), X.STAGE_SIGNALS).alias("stage"))
 
 
-_LABELS = ["pre-seed", "Piloting", " Market ", "multiple deployments", "MVP", "other", "", None, "Growth!"]
+_LABELS = ["pre_seed!", "trial", " Market ", "multiple deployments", "MVP", "other", "", None, "Growth!"]
 _ALIASES = "CASE k " + " ".join(f"WHEN '{n}' THEN '{s}'" for s, names in X.STAGE_ALIASES.items() for n in names) + " END"
 
 

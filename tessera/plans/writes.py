@@ -341,7 +341,7 @@ def description_gates(spark, sf_dir):
 
 
 _SUMMARIES = [
-    ("Looping the loop", "looping-the-loop-seo", "First paragraph of the body that is long enough to stand.\n\nOther", None, "First paragraph of the body that is long enough to stand."),
+    ("A pump for all", "a-pump-for-all-2", "First paragraph of the body that is long enough to stand.\n\nOther", None, "First paragraph of the body that is long enough to stand."),
     ("Pump", "Pump", "", "A page's own description of a pump", "A page's own description of a pump"),
     ("Pump", "short", "A single sentence of a body that runs on for a while. And another.", None, "A single sentence of a body that runs on for a while. And another."),
     ("Pump", "A summary that is quite fine as it is", "b", None, "A summary that is quite fine as it is"),
@@ -356,9 +356,9 @@ def summary_repair(spark, sf_dir):
 
 
 _COLONS = [
-    ("Public services:", "New public value at the edges. And the rest follows", "Public services: New public value at the edges.", "And the rest follows"),
-    ("Public services", "New value. Rest", "Public services", "New value. Rest"),
-    ("Public services:", "", "Public services:", ""),
+    ("River works:", "Filters that towns build. They last for years", "River works: Filters that towns build.", "They last for years"),
+    ("River works", "Filters. Rest", "River works", "Filters. Rest"),
+    ("River works:", "", "River works:", ""),
 ]
 
 

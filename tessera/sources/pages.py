@@ -102,17 +102,6 @@ def page_details(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return src.mapInPandas(run, f"page_id {src.schema['id'].dataType.simpleString()}, title string, summary string, body string, junk string")
 
 
-def crawl(start: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """(url, depth) reached from start by links (from_url, url): a frontier joined, less what has been visited."""
-    seen = start.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = links.join(frontier.select(F.col("url").alias("from_url")), "from_url").select("url").distinct()
-        frontier = step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def sitemap_locations(xml: Column) -> Column:
     """Addresses of a sitemap or sitemap index."""
     return F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
@@ -130,27 +119,6 @@ def json_records(payload: Column, schema: str, path: str = "$.items") -> Column:
     return F.coalesce(F.from_json(F.get_json_object(payload, path), f"array<{schema}>"), F.array())
 
 
-def robots_allows(rules: str, agent: str, path: str) -> bool:
-    """The longest matching rule of the agent's group decides; allow wins ties."""
-    groups: dict[str, list[tuple[bool, str]]] = {}
-    names, fresh = [], False
-    for line in rules.splitlines():
-        key, _, value = (x.strip() for x in line.split("#")[0].partition(":"))
-        key = key.lower()
-        if key == "user-agent":
-            names = names if fresh else []
-            names.append(value.lower())
-            groups.setdefault(value.lower(), [])
-            fresh = True
-        elif key in ("allow", "disallow"):
-            fresh = False
-            for n in names:
-                groups[n].append((key == "allow", value))
-    own = next((groups[n] for n in sorted(groups, key=len, reverse=True) if n != "*" and n in agent.lower()), groups.get("*", []))
-    best = max(((len(p), ok) for ok, p in own if p and re.match(re.escape(p).replace(r"\*", ".*").replace(r"\$", "$"), path)), default=(0, True))
-    return best[1]
-
-
 def load_registry(spark: SparkSession, records: list[dict]) -> DataFrame:
     """Source records checked for required fields, repeated ids and schemes; a small table."""
     seen = set()
