@@ -36,6 +36,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LEXICON, LEAST_DOCS, BEGINNINGS, ROUNDS, LABEL_ACCURACY, LABEL_ROWS, PENALTY = 256, 3, (4, 5), 15, 0.9, 200, 1e-3
 #: Words whose places a task keeps, about 12 MB of them, and the places of a word in no entry.
 MEMO, NO_HITS = 100_000, ()
+#: Rows of a step of the fit.
+STEP = 4096
 PATTERNS = ("hits_1", "hits_2", "hits_3", "dense", "shouting", "bangs")
 
 
@@ -101,34 +103,45 @@ def posterior(votes: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, accuracy:
 
     The first round learns the voters from labelled rows alone; the others from all rows.
     """
-    x, labelled, told = votes.astype(float), ~np.isnan(y), np.nan_to_num(y)
+    x, labelled, told = votes.astype(np.float32), ~np.isnan(y), np.nan_to_num(y)
     p, weight = np.where(told == 1, accuracy, 1 - accuracy), labelled.astype(float)
-    for _ in range(rounds):
-        one, zero = p * weight, (1 - p) * weight
-        prior = np.clip(one.sum() / weight.sum(), 1e-3, 1 - 1e-3)
-        fire1, fire0 = (one @ x + 0.5) / (one.sum() + 1), (zero @ x + 0.5) / (zero.sum() + 1)
+    # sums of products of votes, of labelled rows and of all: no other table of rows by voters is made
+    pairs = {True: (x[labelled].T @ x[labelled]).astype(float), False: (x.T @ x).astype(float)}
+    outer = np.multiply.outer
+    for first in [True, *[False] * (rounds - 1)]:
+        one, zero, n = p * weight, (1 - p) * weight, weight.sum()
+        prior = np.clip(one.sum() / n, 1e-3, 1 - 1e-3)
+        in1, in0 = (one.astype(np.float32) @ x).astype(float), (zero.astype(np.float32) @ x).astype(float)
+        fire1, fire0 = (in1 + 0.5) / (one.sum() + 1), (in0 + 0.5) / (zero.sum() + 1)
         # the label's rates of saying 1 in either class
         says1 = (one[labelled] @ told[labelled] + accuracy * LABEL_ROWS) / (one[labelled].sum() + LABEL_ROWS)
         says0 = (zero[labelled] @ told[labelled] + (1 - accuracy) * LABEL_ROWS) / (zero[labelled].sum() + LABEL_ROWS)
         label = np.where(labelled, np.where(told == 1, np.log(says1 / says0), np.log((1 - says1) / (1 - says0))), 0.0)
-        rest = (x - (p[:, None] * fire1 + (1 - p)[:, None] * fire0)) * np.sqrt(weight)[:, None]
-        cov = rest.T @ rest / weight.sum()
-        sd = np.sqrt(np.diag(cov)) + 1e-9
+        # covariance of the votes around what their row's classes expect
+        cross = outer(in1, fire1) + outer(in0, fire0)
+        mixed = outer(fire1, fire0)
+        cov = (pairs[first] - cross - cross.T + (one @ p) * outer(fire1, fire1) + (one @ (1 - p)) * (mixed + mixed.T) + (zero @ (1 - p)) * outer(fire0, fire0)) / n
+        sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
         together = np.abs(cov / sd[:, None] / sd[None, :])
         own = np.where(together > 0.05, together, 0).sum(axis=1).clip(1)
         fired, silent = np.log(fire1 / fire0) / own, np.log((1 - fire1) / (1 - fire0)) / own
-        z = np.log(prior / (1 - prior)) + x @ fired + (1 - x) @ silent + label
+        z = np.log(prior / (1 - prior)) + x @ (fired - silent).astype(np.float32) + silent.sum() + label
         p, weight = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.ones(len(x))
     return p
 
 
 def logistic(x: np.ndarray, p: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Weights, the last of them the intercept, by Newton's method."""
-    x = np.c_[x, np.ones(len(x))]
-    w, ridge = np.zeros(x.shape[1]), np.diag(np.r_[np.full(x.shape[1] - 1, penalty * len(x)), 1e-6])
+    width = x.shape[1] + 1
+    w, ridge = np.zeros(width), np.diag(np.r_[np.full(width - 1, penalty * len(x)), 1e-6])
     for _ in range(25):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - q) - ridge @ w)
+        hessian, slope = ridge.copy(), -ridge @ w
+        for at in range(0, len(x), STEP):
+            part = np.c_[x[at : at + STEP], np.ones(len(x[at : at + STEP]))].astype(float)
+            q = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            hessian += (part * (q * (1 - q) + 1e-9)[:, None]).T @ part
+            slope += part.T @ (p[at : at + STEP] - q)
+        step = np.linalg.solve(hessian, slope)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -153,7 +166,7 @@ def fit(train: DataFrame) -> tuple[dict[str, int], np.ndarray]:
         return at, np.r_[np.zeros(width + 4), np.log(share / (1 - share))]
     votes = np.frombuffer(b"".join(rows["votes"]), np.uint8).reshape(-1, width)
     dense = np.frombuffer(b"".join(rows["dense"])).reshape(-1, 4)
-    return at, logistic(np.c_[votes, dense], posterior(votes, y))
+    return at, logistic(np.c_[votes.astype(np.float32), dense.astype(np.float32)], posterior(votes, y))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", carry: bool = False) -> DataFrame:
