@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import geography as G, repair as R, taxonomy as X, text as T
-from tessera.operators import filters as flt, ranking
+from tessera.operators import filters as flt, lexical
 from tessera.operators.columns import computed
+from tessera.operators.merge import merge_names
 from tessera.plans.browse import _BROWSE
 from tessera.plans.registry import query
 from tessera.plans.search import browse, filtered, search
@@ -147,8 +148,6 @@ def capitals_repair(spark, sf_dir):
 @query("WITH o AS (SELECT s_suppkey AS id, 'S-' || s_suppkey % 50 AS slug, 'Wörks ' || s_nationkey AS name FROM supplier), a AS (SELECT id, name, min(id) OVER (PARTITION BY slug) AS first FROM o) SELECT a.id, min(b.id) OVER (PARTITION BY b.name) AS canonical_id FROM a JOIN o b ON b.id = a.first")
 def org_merge_passes(spark, sf_dir):
     """Organisations merged by slug, then those left by name without marks and punctuation."""
-    from tessera.operators.merge import merge_names
-
     o = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("S-"), (F.col("s_suppkey") % 50).cast("string")).alias("slug"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Wörks  ").otherwise("WORKS "), F.col("s_nationkey").cast("string")).alias("name"))
     by_slug = merge_names(o, F.col("slug"), [F.col("id")])
     left = o.join(by_slug.select(F.col("canonical_id").alias("id")).distinct(), "id", "left_semi")
@@ -157,8 +156,6 @@ def org_merge_passes(spark, sf_dir):
 
 def _second(left: DataFrame) -> DataFrame:
     """(first, canonical_id): organisations of one plain name go to the first of them."""
-    from tessera.operators.merge import merge_names
-
     return merge_names(left, T.ascii_name(F.col("name")), [F.col("id")]).withColumnRenamed("id", "first")
 
 
@@ -217,7 +214,7 @@ def explore(spark, sf_dir: str, problem: str, constraints: list[str] | None = No
 
 
 @query(f"""{_RES}, {LOCATIONS_SQL}, {GRANTS_SQL}, hit AS (SELECT res.*, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) || '|' || org_key AS k FROM res JOIN loc USING (nation_key) WHERE active AND country = 'NATION_4' AND id NOT IN (SELECT id FROM grants)
-  AND regexp_matches(lower(concat_ws(' ', title, summary, body)), '(^|[^a-z0-9])(thin|thins)($|[^a-z0-9])')) SELECT count(DISTINCT k) AS n, count(DISTINCT k) AS there FROM hit""")
+  AND regexp_matches(lower(concat_ws(' ', title, summary, body)), '(^|[^a-z0-9])({'|'.join(lexical.inflections('thin'))})($|[^a-z0-9])')) SELECT count(DISTINCT k) AS n, count(DISTINCT k) AS there FROM hit""")
 def explore_problem(spark, sf_dir):
     """A problem in one country: every item found holds the word and lies there; items of one title and owner are shown once."""
     found = explore(spark, sf_dir, "thin", country="nation_4", limit=200)
@@ -228,8 +225,6 @@ def explore_problem(spark, sf_dir):
 @query("SELECT c_custkey AS id, 4.0 * CAST(regexp_matches(lower(c_mktsegment), 'machinery') AS INT) + 1.0 * CAST(c_custkey % 7 = 0 AS INT) AS score FROM customer WHERE regexp_matches(lower(c_mktsegment), 'machinery') OR c_custkey % 7 = 0")
 def people_by_words(spark, sf_dir):
     """People by words in their fields, a field of more weight first."""
-    from tessera.operators import lexical
-
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "machinery").otherwise("").alias("role"))
     fields = [(lexical.terms(F.col("c_mktsegment")), 4.0), (lexical.terms(F.col("role")), 1.0)]
     found = computed(c, spots=lexical.spots(fields, [["machinery"]])).where(F.size("spots") > 0)
