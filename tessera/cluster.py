@@ -26,7 +26,8 @@ def ship(spark: SparkSession) -> None:
         yield importlib.util.find_spec("tessera") is not None
 
     probe.__module__ = "__main__"
-    if all(context.parallelize([0], 1).mapPartitions(probe).collect()):
+    n = max(8, 2 * context.defaultParallelism)  # more tasks than cores, so that every executor is asked
+    if all(context.parallelize(range(n), n).mapPartitions(probe).collect()):
         return
     # the driver serves this file to executors, so its own folder will do
     place = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tessera.zip")

@@ -44,7 +44,7 @@ TECHNOLOGIES = {
     "mobile-technology": ["mobile app", "ussd", "sms"],
     "evaporative-cooling": ["evaporative cooling", "cooling chamber"],
 }
-STAGE_ORDER = ["SCALED", "DEPLOYED", "PILOT", "IDEA"]
+STAGE_ORDER = ["SCALED", "MULTIPLE_DEPLOYMENTS", "DEPLOYED", "PILOT", "PROTOTYPE", "IDEA", "UNKNOWN"]
 # Names of stages, and the words in a text that tell one, in rule order.
 STAGE_ALIASES = {
     "IDEA": ["IDEA", "CONCEPT", "EARLY", "SEED", "PRE_SEED"],

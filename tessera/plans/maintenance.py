@@ -17,9 +17,8 @@ from tessera.sources.tables import GRANTS_SQL, LOCATIONS_SQL, RESOURCES_SQL, TOP
 _RES = f"WITH {RESOURCES_SQL}"
 _CAPS = "(length(regexp_replace(title, '[^A-Za-z]', '', 'g')) > 6 AND upper(title) = title AND regexp_matches(title, '[A-Z]'))"
 
-# Kinds, evidence levels and levels of maturity, the most mature first.
+# Kinds of items, and states of a source, the best first.
 TYPES = ["SOLUTION", "PROJECT", "PRODUCT", "ARTICLE", "ORGANISATION", "PROGRAMME"]
-STAGES = ["SCALED", "MULTIPLE_DEPLOYMENTS", "DEPLOYED", "PILOT", "PROTOTYPE", "IDEA", "UNKNOWN"]
 STATUSES = ["OK", "DEGRADED", "BLOCKED", "PAUSED", "UNKNOWN"]
 
 
@@ -42,7 +41,7 @@ def drafts(rows: DataFrame) -> DataFrame:
     return rows.select(
         "external_id", url.alias("url"), text(c("title"), 300).alias("title"), text(c("summary"), 500).alias("summary"),
         text(F.coalesce(F.nullif(c("body"), F.lit("")), T.truncate_words(F.coalesce(c("summary"), F.lit("")), 500)), 1500).alias("body"),
-        one_of(c("type"), TYPES, "SOLUTION").alias("type"), one_of(c("stage"), STAGES, "UNKNOWN").alias("stage"), "country", G.country_code(c("country")).alias("code"),
+        one_of(c("type"), TYPES, "SOLUTION").alias("type"), one_of(c("stage"), X.STAGE_ORDER, "UNKNOWN").alias("stage"), "country", G.country_code(c("country")).alias("code"),
         T.canonical_url(c("image")).alias("image"), F.coalesce("language", F.lit("en")).alias("language"), F.when(url.isNull(), "bad_url").alias("fault"),
     )
 
@@ -65,7 +64,7 @@ def ordinals(spark, sf_dir):
     """Seven levels of maturity and five states of a source as numbers."""
     at = (F.col("p_partkey") % 8 + 1).cast("int")
     pick = lambda names: F.element_at(F.array(*map(F.lit, [*names, *["other"] * (8 - len(names))])), at)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), ordinal(pick(STAGES), STAGES).alias("stage"), ordinal(pick(STATUSES), STATUSES).alias("status"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), ordinal(pick(X.STAGE_ORDER), X.STAGE_ORDER).alias("stage"), ordinal(pick(STATUSES), STATUSES).alias("status"))
 
 
 @query(f"""{_RES} SELECT id FROM res WHERE active AND review_status NOT IN ('NEEDS_REVIEW', 'ARCHIVED', 'SOURCE_LIMITED') AND length(trim(summary)) >= 40 AND {_BROWSE.format(least=80)} AND NOT {_CAPS}

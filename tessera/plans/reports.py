@@ -67,10 +67,10 @@ def array_agg_distinct(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
 
 
-@query("SELECT n_name, max(c_acctbal) AS best, arg_max(c_custkey, c_acctbal) AS who FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+@query("SELECT n_name, max(c_acctbal) AS best, arg_max(c_custkey, (c_acctbal, c_custkey)) AS who FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def last_error_max_by(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return rows.groupBy("n_name").agg(F.max("c_acctbal").alias("best"), F.max_by("c_custkey", "c_acctbal").alias("who"))
+    return rows.groupBy("n_name").agg(F.max("c_acctbal").alias("best"), F.max(F.when(F.col("c_acctbal").isNotNull(), F.struct("c_acctbal", "c_custkey")))["c_custkey"].alias("who"))
 
 
 @query("SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus, ';' ORDER BY o_orderkey) AS nested FROM orders GROUP BY 1")

@@ -11,7 +11,7 @@ from tessera.streaming import runs
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Tumbling windows of a drained stream."""
-    out = runs.drain(runs.windowed(runs.events(spark, sf_dir)), "complete")
+    out = runs.drain(runs.windowed(runs.events(spark, sf_dir)), "update", ["window", "event_type"])
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

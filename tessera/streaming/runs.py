@@ -63,14 +63,24 @@ def limited(stream: DataFrame, key: str = "user_id", at: str = "ts", burst: floa
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs what the stream holds now to its end, and reads back what it wrote."""
+def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs what the stream holds now to its end, and reads back what it wrote.
+
+    append writes files; update keeps what each batch changed, of which a key's last row counts (``keys``), so the stream
+    itself holds no more state than its watermark asks for; complete writes the whole result with every batch.
+    """
     spark = stream.sparkSession
     folder = shared(spark)
     out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").outputMode(mode)
     if mode == "append":
         query = out.format("parquet").option("path", f"{folder}/rows").start()
+    elif mode == "update":
+        query = out.foreachBatch(lambda rows, i: rows.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{folder}/rows")).start()
     else:
         query = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    rest = [c for c in stream.columns if c not in (keys or [])]
+    rows = spark.read.schema(stream.schema.add("_batch", "long")).parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*")
