@@ -152,7 +152,7 @@ def exact(index: DataFrame, probes: list[tuple[int, bytes]], dims: int, k: int)
     schema = "query_id long, vec_id long, score double, cell int"
 
     def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((0, 3))] * len(q)
+        held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))] * len(q)
         for batch in batches:
             if not len(batch):
                 continue
@@ -161,10 +161,12 @@ def exact(index: DataFrame, probes: list[tuple[int, bytes]], dims: int, k: int)
             for i, s in enumerate(near):
                 some = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
                 some = some[s[some] > -2]
-                own = np.r_[held[i], np.c_[ids[some].astype(np.int64).view(float), s[some], cells[some]]]
-                held[i] = own[np.argsort(-own[:, 1], kind="stable")[:k]]
-        every, n = np.concatenate(held), list(map(len, held))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n), pa.int64()), pa.array(every[:, 0].copy().view(np.int64)), pa.array(every[:, 1].copy()), pa.array(every[:, 2].astype(np.int32))], names=["query_id", "vec_id", "score", "cell"])
+                own = [np.append(old, new) for old, new in zip(held[i], (ids[some], s[some], cells[some]))]
+                top = best(own[0], own[1], k)
+                held[i] = tuple(x[top] for x in own)
+        n = [len(x[0]) for x in held]
+        columns = [np.repeat(q_ids, n), *(np.concatenate(x) for x in zip(*held))]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "vec_id", "score", "cell"])
 
     found = index.select("vec_id", "cell", "blob").mapInArrow(best_of, schema)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)

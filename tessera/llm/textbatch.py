@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import MapType
 
+from tessera.cluster import checkpointed, shared_dir  # noqa: F401  the operators take them from here
+
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 20_000
 U = np.uint64
 # Odd multipliers and starting states of the hashes; words of more bytes than this are digested one by one.
@@ -40,24 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and cut from its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def release() -> None:
     """Gives freed memory of a worker back at the end of a task, where the C library can; workers outlive their tasks."""
     try:
