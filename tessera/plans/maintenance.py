@@ -212,7 +212,7 @@ def explore(spark, sf_dir: str, problem: str, constraints: list[str] | None = No
     return search(spark, sf_dir, text, filters=flt.SearchFilters(countries=[country] if country else None), **more)
 
 
-@query(f"""{_RES}, {LOCATIONS_SQL}, {GRANTS_SQL}, hit AS (SELECT res.*, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) || '|' || org_key AS k FROM res JOIN loc USING (nation_key) WHERE active AND country = 'NATION_4' AND id NOT IN (SELECT id FROM grants)
+@query(f"""{_RES}, {LOCATIONS_SQL}, {GRANTS_SQL}, hit AS (SELECT res.*, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) || '|' || org_key AS k FROM res JOIN loc USING (nation_key) WHERE active AND country = 'NATION_4' AND id NOT IN (SELECT id FROM grants)
   AND regexp_matches(lower(concat_ws(' ', title, summary, body)), '(^|[^a-z0-9])({'|'.join(lexical.inflections('thin'))})($|[^a-z0-9])')) SELECT count(DISTINCT k) AS n, count(DISTINCT k) AS there FROM hit""")
 def explore_problem(spark, sf_dir):
     """A problem in one country: every item found holds the word and lies there; items of one title and owner are shown once."""
