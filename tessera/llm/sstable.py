@@ -40,6 +40,8 @@ from tessera.llm.chunks import ChunkMemo
 from tessera.llm.textbatch import pick, shared_dir, text_slices
 
 MAGIC, FOOTER = b"tessera1", struct.Struct("<QQQQQQIB3x8s")
+#: Bytes of each of the two generations of a worker's memo; a worker keeps it from shard to shard.
+MEMO_BYTES = 96 << 20
 BLOCK_BYTES, SHARD_BYTES, MOST_SHARD_BYTES, SHARDS, BITS_A_KEY, PROBES = 1 << 18, 24 << 20, 256 << 20, 4096, 10, 7
 
 
@@ -197,7 +199,7 @@ def _encoder(path: str, width: int, special: bool) -> ChunkMemo:
         flat = np.fromiter((i for own in ids for i in own), f"<u{width}", ends[-1] // width).tobytes()
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    return ChunkMemo(encode, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
+    return ChunkMemo(encode, MEMO_BYTES, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
 
 
 def _width(path: str) -> int:
