@@ -93,6 +93,27 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).select(columns).unionByName(whole.select(columns))
 
 
+def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, members) of the rebuilt conversations: the first turns of another one stand before their own later ones."""
+    from tessera.llm import prefix_trie
+
+    own = prefix_trie.number(table(spark, sf_dir, "conversations"))
+    head, base = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6, F.col("conv_id") - F.col("conv_id") % 100
+    members = own.select("conv_id").distinct()
+    heads = own.where("conv_id % 100 = 0 and pos <= 5").select(F.col("conv_id").alias("base"), "pos", "role", "text")
+    given = members.select("conv_id", head.alias("h"), base.alias("base")).join(heads, "base").where("pos <= h").select("conv_id", "pos", "role", "text")
+    lengths = heads.groupBy("base").agg(F.count("*").alias("n"))
+    later = own.withColumn("h", head).where("pos > h").withColumn("base", base).join(lengths, "base", "left")
+    later = later.select("conv_id", (F.col("pos") - F.col("h") + F.least("h", F.coalesce("n", F.lit(0)))).alias("pos"), "role", "text")
+    return later.unionByName(given), members
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import prefix_trie
+
+    return prefix_trie.trie(*_rebuilt(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -106,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
     "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -144,5 +166,22 @@ each AS (SELECT r, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x, unnest(k)
 kept AS (SELECT r, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM each LEFT JOIN hot ON hot.h = y WHERE hot.h IS NULL GROUP BY r)
 SELECT doc_id, len(l) AS n_lines, len(l) - coalesce(n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM keyed LEFT JOIN kept USING (r)"""
 
+# A prefix is told by the texts of its turns, each with its length; the least member stands for a node below.
+_OP12 = """WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda a, s: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i)),
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, conv_id - conv_id % 100 AS base, n, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])), lambda a, c: xor(a >> 8, tab[xor(a & 255, c) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS s FROM own GROUP BY conv_id), crc),
+full_ AS (SELECT c.conv_id, o.pos, role, text FROM conv c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, o.pos - c.h + least(c.h, coalesce(b.n, 0)), role, text FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h LEFT JOIN conv b ON b.conv_id = c.base),
+pre AS (SELECT conv_id, pos AS d, length(text) AS chars, string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ) OVER (PARTITION BY conv_id ORDER BY pos) AS p FROM full_
+  UNION ALL SELECT conv_id, 0, 0, '' FROM conv),
+path AS (SELECT conv_id, d, chars, p, min(conv_id) OVER w AS owner, count(*) OVER w AS n, d = max(d) OVER (PARTITION BY conv_id) AS last FROM pre WINDOW w AS (PARTITION BY d, p)),
+ends AS (SELECT owner, d, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS e FROM path WHERE last GROUP BY owner, d),
+node AS (SELECT a.owner AS conv_id, a.d, a.n, a.chars, b.owner AS parent FROM path a LEFT JOIN path b ON b.conv_id = a.conv_id AND b.d = a.d - 1 WHERE a.owner = a.conv_id),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY parent, d),
+tree AS (SELECT u.owner AS conv_id, u.d, sum(CASE WHEN k.k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.chars) AS saved FROM node x JOIN path u ON u.conv_id = x.conv_id AND u.d <= x.d LEFT JOIN kids k ON k.parent = x.conv_id AND k.d = x.d GROUP BY u.owner, u.d)
+SELECT node.conv_id, node.d AS depth, node.parent AS parent_conv_id, node.n AS n_convs, coalesce(kids.k, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM node JOIN tree USING (conv_id, d) LEFT JOIN kids ON kids.parent = node.conv_id AND kids.d = node.d LEFT JOIN ends ON ends.owner = node.conv_id AND ends.d = node.d"""
+
 #: DuckDB SQL of those that SQL can express on whole tables; the tests hold the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": _OP4, "op4_jaccard_links": _OP4_LINKS, "op6_substring_dedup": _OP6, "op8_exact_mips": _OP8, "op11_line_dedup": _OP11}
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": _OP4, "op4_jaccard_links": _OP4_LINKS, "op6_substring_dedup": _OP6, "op8_exact_mips": _OP8, "op11_line_dedup": _OP11, "op12_prefix_trie": _OP12}
