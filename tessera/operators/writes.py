@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.cluster import checkpointed
 from tessera.functions import geography as G, repair as R, taxonomy as X, text as T
 from tessera.operators.columns import computed
 from tessera.operators.ranking import first_per_key
@@ -268,9 +269,26 @@ def upsert_hubs(stored: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def unique_slugs(candidates: DataFrame, taken: DataFrame, order: list[Column]) -> DataFrame:
-    """candidates with ``slug``: the proposed one, or with -2, -3, … where it is taken before; ``taken``: (slug)."""
-    n = F.row_number().over(Window.partitionBy("proposed").orderBy(*order))
-    used = taken.select(F.col("slug").alias("proposed")).distinct().withColumn("_used", F.lit(1))
-    numbered = candidates.withColumn("_n", n).join(used, "proposed", "left").withColumn("_n", F.col("_n") + F.coalesce("_used", F.lit(0)))
-    return numbered.withColumn("slug", F.when(F.col("_n") == 1, F.col("proposed")).otherwise(F.concat("proposed", F.lit("-"), F.col("_n").cast("string")))).drop("_n", "_used")
+def unique_slugs(candidates: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """candidates with ``slug``: the proposed one, or the first of -2, -3, … that neither a stored source (``taken``: slug)
+    nor a candidate before it by ``key`` has, as if they were named one after another.
+
+    All are named at once: the j-th of those that propose one slug begins at its j-th name.  Who finds a name taken or held
+    by someone before them goes on to the next, and those behind them of the same proposal with them, until nobody moves;
+    a name that is given up always stays with someone earlier, so nobody has to go back.
+    """
+    own = Window.partitionBy("proposed").orderBy(key)
+    used = taken.select(F.col("slug").alias("_name")).distinct().withColumn("_used", F.lit(True))
+    state = checkpointed(candidates.select(key, "proposed").withColumn("_j", F.row_number().over(own)).withColumn("_at", F.col("_j")))
+    name = F.when(F.col("_at") == 1, F.col("proposed")).otherwise(F.concat("proposed", F.lit("-"), F.col("_at").cast("string")))
+    while True:
+        named = state.withColumn("_name", name)
+        first = named.groupBy("_name").agg(F.min(key).alias("_first"))
+        clash = F.coalesce("_used", F.lit(False)) | (F.col("_first") < F.col(key))
+        held = named.join(first, "_name").join(used, "_name", "left").withColumn("_clash", clash)
+        moved = held.withColumn("_at", F.col("_at") + F.col("_clash").cast("int"))
+        behind = (F.col("_j") + F.max(F.col("_at") - F.col("_j")).over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("_at")
+        after = checkpointed(moved.select(key, "proposed", "_j", behind, "_clash"))
+        if after.where("_clash").isEmpty():
+            return candidates.join(named.select(key, F.col("_name").alias("slug")), key)
+        state = after.drop("_clash")

@@ -124,7 +124,7 @@ def runs_in_window(spark, sf_dir):
 
 @query(f"""{N}, x AS (SELECT source_id, run_id, CAST(status = 'FAILED' AS INT) AS f, row_number() OVER w AS n, sum(CASE WHEN status = 'FAILED' THEN 0 ELSE 1 END) OVER w AS ok FROM runs WINDOW w AS (PARTITION BY source_id ORDER BY started_at, run_id)),
 y AS (SELECT *, sum(f) OVER (PARTITION BY source_id, ok ORDER BY n) AS streak, sum(f) OVER (PARTITION BY source_id ORDER BY n) AS failed FROM x)
-SELECT source_id, n AS tripped_at, CASE WHEN streak >= 3 THEN 'consecutive' ELSE 'rate' END AS reason FROM y WHERE streak >= 3 OR (n >= 50 AND failed > 0.5 * n) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n) = 1""")
+SELECT source_id, n AS tripped_at, CASE WHEN streak >= 3 THEN 'consecutive' ELSE 'rate' END AS reason FROM y WHERE f = 1 AND (streak >= 3 OR (n >= 50 AND failed > 0.5 * n)) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n) = 1""")
 def circuit_breaker(spark, sf_dir):
     """When each source's circuit opens; here three failures in a row are enough, the default is 25."""
     return ops.breaker(runs(spark, sf_dir), "source_id", [F.col("started_at"), F.col("run_id")], F.col("status") == "FAILED", streak=3)

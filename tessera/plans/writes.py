@@ -185,11 +185,21 @@ def hub_upsert(spark, sf_dir):
     return W.upsert_hubs(stored, found).select("matched", "slug", "name", "country", "description")
 
 
-@query("""WITH c AS (SELECT s_suppkey AS id, 'src-' || s_nationkey AS p FROM supplier), n AS (SELECT id, p, row_number() OVER (PARTITION BY p ORDER BY id) + CASE WHEN p IN ('src-1', 'src-3') THEN 1 ELSE 0 END AS n FROM c)
-SELECT id, CASE WHEN n = 1 THEN p ELSE p || '-' || n END AS slug FROM n""")
+_SLUG_BASES = "CASE WHEN s_suppkey % 3 = 0 THEN 'src-' || s_nationkey || '-2' ELSE 'src-' || s_nationkey END"
+# one candidate after another, as the rule is told: each takes the first name that is free by then
+_SLUGS = f"""WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_suppkey AS id, {_SLUG_BASES} AS p FROM supplier),
+walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, ['src-1', 'src-3', 'src-7-2'] AS used, NULL::VARCHAR AS slug UNION ALL
+  SELECT n, id, list_append(used, slug), slug FROM (SELECT c.n, c.id, used, list_filter(list_prepend(p, list_transform(range(2, 400), lambda i: p || '-' || i)), lambda x: NOT list_contains(used, x))[1] AS slug FROM walk JOIN c ON c.n = walk.n + 1))
+SELECT id, slug FROM walk WHERE n > 0"""
+
+
+@query(_SLUGS)
 def candidate_slugs(spark, sf_dir):
-    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("src-"), F.col("s_nationkey").cast("string")).alias("proposed"))
-    return W.unique_slugs(c, spark.createDataFrame([("src-1",), ("src-3",)], "slug string"), [F.col("id")]).select("id", "slug")
+    """Names for promoted candidates, some of whom propose what another's numbered name would be."""
+    k = F.col("s_nationkey").cast("string")
+    base = F.concat(F.lit("src-"), k, F.when(F.col("s_suppkey") % 3 == 0, "-2").otherwise(""))
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), base.alias("proposed"))
+    return W.unique_slugs(c, spark.createDataFrame([("src-1",), ("src-3",), ("src-7-2",)], "slug string"), "id").select("id", "slug")
 
 
 @query("""WITH st AS (SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'old' END AS country FROM nation WHERE n_nationkey < 15), w AS (SELECT n_name AS name, min('c' || c_mktsegment) AS country FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
