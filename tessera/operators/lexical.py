@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def query_terms(query: str) -> list[str]:
@@ -82,27 +82,11 @@ def occurrences(tokens: Column, words: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(words)))
 
 
-def inflections(word: str) -> list[str]:
-    """Plain English forms of a word that a search takes for it: plural, past, and -ing forms, and what they come from."""
-    base = word
-    for end, to, least in (("ies", "y", 5), ("sses", "ss", 5), ("s", "", 4), ("ing", "", 6), ("ed", "", 5)):
-        if base.endswith(end) and len(base) >= least and not (end == "s" and base.endswith(("ss", "us", "is"))):
-            base = base[: -len(end)] + to
-            break
-    forms = {word, base, base + "s", base + "es", base + "ed", base + "ing", base + "e"}
-    if base.endswith("e"):
-        forms |= {base + "d", base[:-1] + "ing"}
-    if base.endswith("y"):
-        forms |= {base[:-1] + "ies", base[:-1] + "ied"}
-    return sorted(forms)
-
-
-def content_words(words: list[str]) -> list[str]:
-    """Words without English stop words; all of them where none is left."""
+def stop_words() -> set[str]:
+    """English words that a search leaves out."""
     from pyspark.ml.feature import StopWordsRemover
 
-    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
-    return [w for w in words if w not in stop] or words
+    return set(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 def spots(fields: list[tuple[Column, float]], groups: list[list[str]]) -> Column:

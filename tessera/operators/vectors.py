@@ -21,12 +21,18 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], k: int, bound: float | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(id, distance): the k nearest rows, within ``bound`` if one is given; vectors of another dimension take no part."""
+def within(vectors: DataFrame, query: Sequence[float], bound: float | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(id, distance): all rows within ``bound``, if one is given; vectors of another dimension take no part."""
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = vectors.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == len(query)))
     rows = rows.select(F.col(id_col).alias("id"), cosine_distance(F.col(vector_col), q).alias("distance"))
-    rows = rows if bound is None else rows.where(F.col("distance") <= bound)
+    return rows if bound is None else rows.where(F.col("distance") <= bound)
+
+
+def nearest(vectors: DataFrame, query: Sequence[float], k: int, bound: float | None = None, id_col: str = "id", vector_col: str = "embedding", among: DataFrame | None = None) -> DataFrame:
+    """(id, distance): the k nearest rows, within ``bound`` and of those of ``among`` (id) if they are given."""
+    rows = within(vectors, query, bound, id_col, vector_col)
+    rows = rows if among is None else rows.join(among.select("id"), "id", "left_semi")
     return rows.orderBy("distance", "id").limit(k)
 
 

@@ -82,10 +82,10 @@ def browse_maturity(spark, sf_dir):
   CASE WHEN lower(trim(summary)) = lower(trim(title)) OR length(trim(summary)) < 60 THEN 1 ELSE 0 END AS thin FROM res WHERE active) QUALIFY rank <= 50""")
 def browse_completeness(spark, sf_dir):
     """Items with an image, an organisation and a long summary first."""
-    rows = flt.existence_flag(resources(spark, sf_dir).where("active"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("id")), "id", "image")
-    rows = flt.existence_flag(rows, table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("org_key")), "org_key", "org")
-    miss = (~F.col("image")).cast("int") + (~F.col("org")).cast("int") + (F.length(F.trim("summary")) < 120).cast("int")
-    return ranking.pool(rows.withColumn("miss", miss), [F.col("miss"), *flt.quality_order()], 50).select("rank", "id", "miss")
+    from tessera.plans.search import completeness
+
+    rows = completeness(spark, sf_dir, resources(spark, sf_dir).where("active"))
+    return ranking.pool(rows, [F.col("miss"), *flt.quality_order()], 50).select("rank", "id", "miss")
 
 
 @query("SELECT c_custkey, c_name, list_sort(list(o_orderkey)) AS orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_name ILIKE '%00001%' GROUP BY ALL")

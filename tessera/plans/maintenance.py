@@ -10,7 +10,7 @@ from tessera.operators.columns import computed
 from tessera.operators.merge import merge_names
 from tessera.plans.browse import _BROWSE
 from tessera.plans.registry import query
-from tessera.plans.search import browse, filtered, search
+from tessera.plans.search import _search_sql, browse, filtered, search
 from tessera.plans.writes import _cases, _expected
 from tessera.sources.tables import GRANTS_SQL, LOCATIONS_SQL, RESOURCES_SQL, TOPICS_SQL, locations, resources, table, topics
 
@@ -190,7 +190,8 @@ def canned_browses(spark, sf_dir):
     return out
 
 
-@query(f"""{_RES}, {LOCATIONS_SQL}, {GRANTS_SQL} SELECT row_number() OVER (ORDER BY thin, id DESC) AS rank, id FROM (SELECT id, CASE WHEN lower(trim(summary)) = lower(trim(title)) OR length(trim(summary)) < 60 THEN 1 ELSE 0 END AS thin FROM res
+@query(f"""{_RES}, {LOCATIONS_SQL}, {GRANTS_SQL} SELECT row_number() OVER (ORDER BY miss, thin, id DESC) AS rank, id FROM (SELECT id, CASE WHEN id IN (SELECT page_id FROM pages) THEN 0 ELSE 1 END + CASE WHEN org_key IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN 0 ELSE 1 END + CASE WHEN length(trim(summary)) < 120 THEN 1 ELSE 0 END AS miss,
+  CASE WHEN lower(trim(summary)) = lower(trim(title)) OR length(trim(summary)) < 60 THEN 1 ELSE 0 END AS thin FROM res
   WHERE active AND id NOT IN (SELECT id FROM grants) AND nation_key IN (SELECT nation_key FROM loc WHERE continent = 'EUROPE') AND {_BROWSE.format(least=40)}) QUALIFY rank <= 10""")
 def continent_browse(spark, sf_dir):
     """A blank search of one continent alone shows the relaxed quality browse."""
@@ -212,13 +213,10 @@ def explore(spark, sf_dir: str, problem: str, constraints: list[str] | None = No
     return search(spark, sf_dir, text, filters=flt.SearchFilters(countries=[country] if country else None), **more)
 
 
-@query(f"""{_RES}, {LOCATIONS_SQL}, {GRANTS_SQL}, hit AS (SELECT res.*, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) || '|' || org_key AS k FROM res JOIN loc USING (nation_key) WHERE active AND country = 'NATION_4' AND id NOT IN (SELECT id FROM grants)
-  AND regexp_matches(lower(concat_ws(' ', title, summary, body)), '(^|[^a-z0-9])({'|'.join(lexical.inflections('thin'))})($|[^a-z0-9])')) SELECT count(DISTINCT k) AS n, count(DISTINCT k) AS there FROM hit""")
+@query(_search_sql("thin", limit=40, where="AND nation_key IN (SELECT nation_key FROM loc WHERE country = 'NATION_4')"))
 def explore_problem(spark, sf_dir):
-    """A problem in one country: every item found holds the word and lies there; items of one title and owner are shown once."""
-    found = explore(spark, sf_dir, "thin", country="nation_4", limit=200)
-    own = resources(spark, sf_dir).join(F.broadcast(locations(spark, sf_dir).where("country = 'NATION_4'")), "nation_key", "left_semi").select("id", F.lit(True).alias("own"))
-    return found.join(own, "id", "left").agg(F.count("*").alias("n"), F.count_if(F.coalesce("own", F.lit(False))).alias("there"))
+    """A problem in one country: a search page of what holds the word and lies there."""
+    return explore(spark, sf_dir, "thin", country="nation_4", limit=40).withColumn("lists", F.array_join("lists", ","))
 
 
 @query("SELECT c_custkey AS id, 4.0 * CAST(regexp_matches(lower(c_mktsegment), 'machinery') AS INT) + 1.0 * CAST(c_custkey % 7 = 0 AS INT) AS score FROM customer WHERE regexp_matches(lower(c_mktsegment), 'machinery') OR c_custkey % 7 = 0")

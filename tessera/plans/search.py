@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from tessera.cluster import checkpointed
+from tessera.cluster import shared_dir
+from tessera.functions.stem import stem, stems, stems_sql
 from tessera.functions.taxonomy import stage_rank
 from tessera.operators import filters as flt, lexical, ranking, vectors
 from tessera.operators.columns import computed
+from tessera.operators.fulltext import FullTextIndex, Query
 from tessera.plans.registry import query
 from tessera.sources.tables import GRANTS_SQL, LOCATIONS_SQL, RESOURCES_SQL, TOPICS_SQL, grants, locations, resources, table, topics
 
@@ -33,41 +37,74 @@ def filtered(spark: SparkSession, sf_dir: str, filters: flt.SearchFilters | None
     return flt.apply(resources(spark, sf_dir), f, locations(spark, sf_dir), topics(spark, sf_dir) if f.topics is not None else None, grants(spark, sf_dir))
 
 
+def completeness(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rows with ``miss``: how many of an image, an organisation and a long summary an item lacks."""
+    rows = flt.existence_flag(rows, table(spark, sf_dir, "pages").select(F.col("page_id").alias("id")), "id", "image")
+    rows = flt.existence_flag(rows, table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("org_key")), "org_key", "org")
+    return rows.withColumn("miss", (~F.col("image")).cast("int") + (~F.col("org")).cast("int") + (F.length(F.trim("summary")) < 120).cast("int"))
+
+
 def browse_order(filters: flt.SearchFilters, sort: str | None) -> list[Column]:
     if sort == "maturity":
         return [stage_rank(F.col("maturity")), F.desc("id")]
+    if filters.quality == "relaxed":
+        return [F.col("miss"), *flt.quality_order()]
     return flt.quality_order() if filters.quality else [F.desc("id")]
 
 
 def browse(spark: SparkSession, sf_dir: str, filters: flt.SearchFilters | None = None, limit: int = 10, offset: int = 0, diverse: bool = False, sort: str | None = None) -> DataFrame:
     """(rank, id, score, lists, why, title, source): a search without words; with ``diverse`` one item of each source."""
     f = filters or flt.SearchFilters()
-    top = ranking.pool(filtered(spark, sf_dir, f).select("id", "title", "summary", "source", "maturity"), browse_order(f, sort), browse_pool(limit))
+    rows = filtered(spark, sf_dir, f)
+    rows = completeness(spark, sf_dir, rows) if f.quality == "relaxed" else rows.withColumn("miss", F.lit(0))
+    top = ranking.pool(rows.select("id", "title", "summary", "source", "maturity", "miss"), browse_order(f, sort), browse_pool(limit))
     top = top.withColumn("score", 1.0 / F.col("rank")).withColumn("lists", F.array(F.lit("browse"))).withColumn("why", F.lit("browse"))
     kept = ranking.cap_per_key(top, "source", 1, [F.col("rank")]) if diverse else top
     page = ranking.pool(kept.drop("rank"), [F.desc("score")], offset + limit).where(F.col("rank") > offset)
     return page.select("rank", "id", "score", "lists", "why", "title", "source")
 
 
-def lexical_hits(rows: DataFrame, text: str, english: bool = True) -> DataFrame:
-    """(id, strict, n, density) of the rows that hold any of the query's words: one pass over the texts.
+_INDEXES: dict[tuple, FullTextIndex] = {}
+
+
+def data_version(spark: SparkSession, *paths: str) -> tuple:
+    """Names, sizes and times of the files below some paths, by whatever file system holds them."""
+    jvm, found = spark._jvm, []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
-    With ``english`` stop words are left out and a word stands for its plain inflections.
-    """
-    words = lexical.or_words(text)
-    kept = lexical.content_words(words) if english else words
-    groups = [lexical.inflections(t) if english else [t] for t in lexical.query_terms(" ".join(kept))]
-    fields = [(F.col(f"_{c}"), w) for c, w in zip(("title", "summary", "body"), WEIGHTS)]
-    tokens = rows.select("id", *[lexical.terms(F.col(c)).alias(f"_{c}") for c in ("title", "summary", "body")])
-    found = computed(tokens, spots=lexical.spots(fields, groups), all=F.concat(*[t for t, _ in fields]) if _needs_grammar(text) else F.lit(None))
-    n = F.size(F.array_distinct(F.transform("spots", lambda x: x["k"])))
-    strict = lexical.matches(F.col("all"), lexical.parse_query(text)) if _needs_grammar(text) else n == len(groups)
-    return found.where(F.size("spots") > 0).select("id", strict.alias("strict"), n.alias("n"), F.round(lexical.density(F.col("spots"), max(1, len(groups))), 9).alias("density"))
 
+def text_index(spark: SparkSession, sf_dir: str) -> FullTextIndex:
+    """The index of the catalogue's texts; built once for each state of the tables that it is made of."""
+    key = (spark.sparkContext.applicationId, data_version(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"))
+    if key not in _INDEXES:
+        index = FullTextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}", dict(zip(("title", "summary", "body"), WEIGHTS)))
+        _INDEXES[key] = index.add(resources(spark, sf_dir))
+    return _INDEXES[key]
 
-def _needs_grammar(text: str) -> bool:
-    """Phrases, exclusions or alternatives are asked for."""
-    return '"' in text or any(w == "or" or w.startswith("-") for w in text.lower().split())
+
+def indexed_rows(spark: SparkSession, sf_dir: str, index: FullTextIndex, f: flt.SearchFilters) -> DataFrame:
+    """What the filters let through, from the index's own rows; the texts are read for a quality browse alone."""
+    plain = replace(f, quality=None)
+    rows = flt.apply(index.rows, plain, locations(spark, sf_dir), topics(spark, sf_dir) if f.topics is not None else None, grants(spark, sf_dir))
+    return rows.join(filtered(spark, sf_dir, f).select("id"), "id", "left_semi") if f.quality else rows
+
+
+def capped(hits: DataFrame, order: list[Column], limit: int, sources: list[str] | None, diversity: str | None, semantic: bool) -> DataFrame:
+    """Hits under the cap that a search asks for: of a technology alone with ``mechanism``, one of a source with ``source``,
+    and else a share of a source where there was no vector.  A choice of sources lifts every cap."""
+    if sources:
+        return hits
+    if diversity == "mechanism":
+        return ranking.cap_per_key(hits, "tech_key", ranking.bucket_cap(limit), order)
+    if diversity == "source":
+        return ranking.cap_per_key(hits, "source", 1, order)
+    return hits if semantic else ranking.cap_per_key(hits, "source", ranking.source_cap(limit), order)
 
 
 def search(
@@ -79,45 +116,72 @@ def search(
     limit: int = 10,
     offset: int = 0,
     max_distance: float = 0.42,
-    cap_sources: bool = False,
-    diverse: bool = False,
+    diversity: str | None = None,
     sort: str | None = None,
+    index: FullTextIndex | None = None,
+    near: Callable[[Sequence[float], float, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(rank, id, score, lists, why, title, source): a page of the fused legs; without words a browse.
 
-    Texts are read once: what any word hits is written as (id, strict, n, density), and pools, weights and fusion work on
-    that.  Titles join at the end.  With ``diverse`` at most two items of a source, and of a topic a fifth of a page; then
-    sources are capped alone with ``cap_sources``.  ``sort`` orders the page by newest or maturity.
+    The lexical legs read the stored index (the catalogue's own unless one is given) and no text.  ``diversity`` is
+    ``source`` or ``mechanism``; ``sort`` orders the page by newest or maturity.  ``near(vector, bound, rows)`` may stand in
+    for the exact search of the vectors, as (id, distance).
     """
-    if not text.strip():
-        return browse(spark, sf_dir, filters, limit, offset, diverse, sort)
     f = filters or flt.SearchFilters()
-    rows, size = filtered(spark, sf_dir, f), lexical_pool(limit, len(f.sources or []), diverse)
-    hits = checkpointed(lexical_hits(rows, text))
-    relaxed = hits.where("strict").limit(1).count() == 0
-    least = 2 if relaxed and len(lexical.or_words(text)) >= 4 else 1
-    legs = {
-        "full_text": ranking.pool(hits.where("strict"), [F.desc("density"), F.col("id")], size),
-        "or_lexical": ranking.pool(hits.where(F.col("n") >= least), [F.desc("n"), F.col("id")], size),
-    }
+    if not text.strip():
+        return browse(spark, sf_dir, f, limit, offset, bool(diversity), sort)
+    index = index or text_index(spark, sf_dir)
+    rows, size = indexed_rows(spark, sf_dir, index, f), lexical_pool(limit, len(f.sources or []), bool(diversity))
+    hits = index.top(Query.parse(text), size, rows)
+    relaxed = hits.where("strict").isEmpty()
+    legs = lexical_legs(hits, size, least_terms(text, relaxed))
     if embedding:
-        near = vectors.nearest(table(spark, sf_dir, "embeddings"), embedding, SEMANTIC_POOL, max_distance, "vec_id").join(rows.select("id"), "id", "left_semi")
-        legs["semantic"] = ranking.pool(near, [F.col("distance"), F.col("id")], SEMANTIC_POOL)
+        found = near(embedding, max_distance, rows) if near else vectors.nearest(table(spark, sf_dir, "embeddings"), embedding, SEMANTIC_POOL, max_distance, "vec_id", rows)
+        legs["semantic"] = ranking.pool(found, [F.col("distance"), F.col("id")], SEMANTIC_POOL)
     fused = ranking.fuse(legs, RELAXED if relaxed else STRICT)
     shown = fused.join(rows.select("id", "title", "source", "org_key", "maturity", "tech_key"), "id")
     order = [F.desc("score"), F.col("id")]
     kept = ranking.dedupe_first_seen(shown, F.col("title"), F.col("org_key").cast("string"), order)
-    if diverse:
-        kept = ranking.cap_per_key(ranking.cap_per_key(kept, "source", 2, order), "tech_key", ranking.bucket_cap(limit), order)
-    elif cap_sources:
-        kept = ranking.cap_per_key(kept, "source", ranking.source_cap(limit), order)
-    page = ranking.pool(kept, order, offset + limit).where(F.col("rank") > offset)
+    page = ranking.pool(capped(kept, order, limit, f.sources, diversity, bool(embedding)), order, offset + limit).where(F.col("rank") > offset)
     if sort:
         page = page.withColumnRenamed("rank", "_fused")
         page = ranking.pool(page, [F.desc("id")] if sort == "newest" else [stage_rank(F.col("maturity")), F.col("_fused")], limit).withColumn("rank", F.col("rank") + offset)
     return page.select("rank", "id", "score", "lists", ranking.why_matched(F.col("lists")).alias("why"), "title", "source")
 
 
+def least_terms(text: str, relaxed: bool) -> int:
+    """How many words an any-term hit must hold."""
+    return 2 if relaxed and len(lexical.or_words(text)) >= 4 else 1
+
+
+def lexical_legs(hits: DataFrame, size: int, least: int) -> dict[str, DataFrame]:
+    return {
+        "full_text": ranking.pool(hits.where("strict"), [F.desc("density"), F.col("id")], size),
+        "or_lexical": ranking.pool(hits.where(F.col("n") >= least), [F.desc("n"), F.col("id")], size),
+    }
+
+
+def search_total(spark: SparkSession, sf_dir: str, text: str, embedding: Sequence[float] | None = None, filters: flt.SearchFilters | None = None, max_distance: float = 0.42, index: FullTextIndex | None = None) -> dict[str, int]:
+    """How many items a search matches at all: strictly, by enough words, or by distance.  The pass that makes the matches
+    is observed; nothing is read a second time to count."""
+    f, index = filters or flt.SearchFilters(), index or text_index(spark, sf_dir)
+    rows = indexed_rows(spark, sf_dir, index, f)
+    query = Query.parse(text)
+    hits = index.hits(query, rows).select("id", "strict", "n") if query.stems else spark.createDataFrame([], "id long, strict boolean, n int")
+    if embedding:
+        near = vectors.within(table(spark, sf_dir, "embeddings"), embedding, max_distance, "vec_id").join(rows.select("id"), "id", "left_semi").select("id", F.lit(True).alias("near"))
+        hits = hits.join(near, "id", "full")
+    else:
+        hits = hits.withColumn("near", F.lit(False))
+    seen, is_ = Observation(), lambda c: F.coalesce(c, F.lit(False))
+    strict, close = is_(F.col("strict")), is_(F.col("near"))
+    counts = {"strict": F.count_if(strict), "semantic": F.count_if(close), **{f"any_{k}": F.count_if(is_(F.col("n") >= k)) for k in (1, 2)}, **{f"total_{k}": F.count_if(strict | close | is_(F.col("n") >= k)) for k in (1, 2)}}
+    hits.observe(seen, *[c.alias(name) for name, c in counts.items()]).write.format("noop").mode("overwrite").save()
+    got = seen.get
+    least = least_terms(text, not got["strict"])
+    return {"filtered_total": got[f"total_{least}"], "strict": got["strict"], "any_term": got[f"any_{least}"], "semantic": got["semantic"]}
+
+
 def similar(spark: SparkSession, sf_dir: str, key: int, limit: int = 10, country: str | None = None) -> DataFrame:
     """(id, distance, rank, score): nearest other items, of one country if given."""
     origin = vectors.of(table(spark, sf_dir, "embeddings"), key)
@@ -136,34 +200,39 @@ def _terms_sql(text: str) -> str:
 _DIST = "1 - list_dot_product(e.embedding::DOUBLE[], q.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v)))"
 
 
-def _search_sql(words: str, limit: int = 10, offset: int = 0, vector: bool = False, cap: str = "", where: str = "", order: str = "score DESC, id") -> str:
+def _search_sql(words: str, limit: int = 10, offset: int = 0, vector: bool = False, cap: str | None = None, where: str = "", order: str = "score DESC, id", pool: int | None = None, name: str = "page") -> str:
     """DuckDB SQL of a search for one or two words that are no stop words; of more, density is not told apart."""
-    groups = [lexical.inflections(w) for w in words.split()]
-    k = "CASE " + " ".join(f"WHEN x IN ({', '.join(map(repr, g))}) THEN {i}" for i, g in enumerate(groups)) + " END"
-    pool, n = lexical_pool(limit), len(groups)
+    own, pool = words.split(), pool or lexical_pool(limit)
+    n = len(own)
+    cap = cap if cap is not None else "" if vector else _by_source(ranking.source_cap(limit))
     semantic = f"UNION ALL SELECT id, CASE WHEN relaxed THEN 3.5 ELSE 1.25 END / (60 + rank), 'semantic' FROM c, rel" if vector else ""
     density = "list_sum(list_transform(range(1, len(s)), lambda i: CASE WHEN s[i].k <> s[i + 1].k THEN 2 / (1 / s[i].w + 1 / s[i + 1].w) / (s[i + 1].p - s[i].p + 1) ELSE 0.0 END))" if n == 2 else "list_sum(list_transform(s, lambda v: v.w))"
     return f"""
 WITH {RESOURCES_SQL}, {LOCATIONS_SQL}, {GRANTS_SQL}, {TOPICS_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7),
 act AS (SELECT * FROM res WHERE active AND id NOT IN (SELECT id FROM grants) {where}),
 tok AS (SELECT id, {_terms_sql('title')} AS t, {_terms_sql('summary')} AS u, {_terms_sql('body')} AS b FROM act),
-spot AS (SELECT id, list_filter(list_transform(range(1, len(t || u || b) + 1), lambda i: struct_pack(x := (t || u || b)[i], p := i, w := CASE WHEN i <= len(t) THEN 1.0 WHEN i <= len(t) + len(u) THEN 0.4 ELSE 0.2 END::DOUBLE)), lambda y: y.x IN ({', '.join(repr(f) for g in groups for f in g)})) AS s FROM tok),
-spotk AS (SELECT id, list_transform(s, lambda y: struct_pack(k := {k.replace('x IN', 'y.x IN')}, p := y.p, w := y.w)) AS s FROM spot WHERE len(s) > 0),
+pos AS (SELECT id, unnest(t || u || b) AS x, unnest(range(1, len(t || u || b) + 1)) AS p, len(t) AS n1, len(u) AS n2 FROM tok),
+words AS (SELECT unnest([{', '.join(map(repr, own))}]) AS x, unnest(range({n})) AS k),
+voc AS (SELECT x FROM pos UNION SELECT x FROM words),
+{stems_sql('voc')},
+forms AS (SELECT a.x, k FROM stemmed a JOIN (SELECT s, min(k) AS k FROM stemmed JOIN words USING (x) GROUP BY s) b ON a.s = b.s),
+spotk AS (SELECT id, list(struct_pack(k := k, p := p, w := CASE WHEN p <= n1 THEN 1.0 WHEN p <= n1 + n2 THEN 0.4 ELSE 0.2 END::DOUBLE) ORDER BY p) AS s FROM pos JOIN forms USING (x) GROUP BY id),
 hit AS (SELECT id, len(list_distinct(list_transform(s, lambda y: y.k))) AS n, round(coalesce({density}, 0.0), 9) AS density FROM spotk),
 rel AS (SELECT NOT coalesce(bool_or(n = {n}), false) AS relaxed FROM hit),
-a AS (SELECT id, row_number() OVER (ORDER BY density DESC, id) AS rank FROM hit WHERE n = {n} QUALIFY rank <= {pool}),
-b AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM hit, rel WHERE n >= CASE WHEN relaxed AND {len(words.split())} >= 4 THEN 2 ELSE 1 END QUALIFY rank <= {pool}),
-near AS (SELECT vec_id AS id, {_DIST} AS d FROM embeddings e, q WHERE {_DIST} <= 0.9 ORDER BY d, id LIMIT 500),
-c AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM near WHERE id IN (SELECT id FROM act)),
+a AS (SELECT id, row_number() OVER (ORDER BY density DESC, id) AS rank, density FROM hit WHERE n = {n} QUALIFY rank <= {pool}),
+b AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank, n FROM hit, rel WHERE n >= CASE WHEN relaxed AND {n} >= 4 THEN 2 ELSE 1 END QUALIFY rank <= {pool}),
+near AS (SELECT e.vec_id AS id, {_DIST} AS d FROM embeddings e, q WHERE {_DIST} <= 0.9 AND e.vec_id IN (SELECT id FROM act) ORDER BY d, id LIMIT 500),
+c AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM near),
 fused AS (SELECT id, round(sum(w), 12) AS score, list_sort(list(DISTINCT leg)) AS lists FROM (
   SELECT id, 1.0 / (60 + rank) AS w, 'full_text' AS leg FROM a UNION ALL SELECT id, CASE WHEN relaxed THEN 0.2 ELSE 0.65 END / (60 + rank), 'or_lexical' FROM b, rel {semantic}) GROUP BY id),
 shown AS (SELECT f.*, title, source, org_key, maturity, tech_key, concat_ws('|', trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), CAST(org_key AS VARCHAR)) AS k FROM fused f JOIN act USING (id)),
 uniq AS (SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, id) = 1),
 capped AS (SELECT * FROM uniq {cap}),
-page AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM capped QUALIFY rank > {offset} AND rank <= {offset + limit})
-SELECT row_number() OVER (ORDER BY {order}) + {offset} AS rank, id, score, array_to_string(lists, ',') AS lists,
-  CASE WHEN list_contains(lists, 'semantic') AND (list_contains(lists, 'full_text') OR list_contains(lists, 'or_lexical')) THEN 'full_text+semantic' WHEN list_contains(lists, 'semantic') THEN 'semantic' ELSE 'full_text' END AS why, title, source
-FROM page"""
+page AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM capped QUALIFY rank > {offset} AND rank <= {offset + limit}),
+legs AS (SELECT 'full_text' AS leg, rank, id, density AS score FROM a UNION ALL SELECT 'or_lexical', rank, id, n FROM b),
+page_out AS (SELECT row_number() OVER (ORDER BY {order}) + {offset} AS rank, id, score, array_to_string(lists, ',') AS lists,
+  CASE WHEN list_contains(lists, 'semantic') AND (list_contains(lists, 'full_text') OR list_contains(lists, 'or_lexical')) THEN 'full_text+semantic' WHEN list_contains(lists, 'semantic') THEN 'semantic' ELSE 'full_text' END AS why, title, source FROM page)
+SELECT * FROM {'page_out' if name == 'page' else name}"""
 
 
 def _by_source(most: int) -> str:
@@ -174,11 +243,11 @@ def _flat(found: DataFrame) -> DataFrame:
     return found.withColumn("lists", F.array_join("lists", ","))
 
 
-@query(_search_sql("thin thing", vector=True, cap=_by_source(3)))
+@query(_search_sql("thin thing", vector=True))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: words and a vector together, at most three hits of a source."""
+    """The flagship: words and a vector together."""
     v = vectors.of(table(spark, sf_dir, "embeddings"), 7)
-    return _flat(search(spark, sf_dir, "thin thing", v, max_distance=0.9, cap_sources=True))
+    return _flat(search(spark, sf_dir, "thin thing", v, max_distance=0.9))
 
 
 @query(_search_sql("thin thing zyzzyva quokka", vector=True))
@@ -199,10 +268,23 @@ def search_newest(spark, sf_dir):
     return _flat(search(spark, sf_dir, "thin thing", sort="newest"))
 
 
-@query(_search_sql("thin thing", cap="WHERE id IN (SELECT id FROM (SELECT * FROM (SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, id) <= 2) QUALIFY row_number() OVER (PARTITION BY tech_key ORDER BY score DESC, id) <= 2))"))
+@query(_search_sql("thin thing", cap=_by_source(1)))
 def search_diverse(spark, sf_dir):
-    """At most two items of a source, then of a topic a fifth of the page."""
-    return _flat(search(spark, sf_dir, "thin thing", diverse=True))
+    """One item of a source."""
+    return _flat(search(spark, sf_dir, "thin thing", diversity="source"))
+
+
+@query(_search_sql("thin thing", limit=20, vector=True, cap="QUALIFY row_number() OVER (PARTITION BY tech_key ORDER BY score DESC, id) <= 4"))
+def search_mechanisms(spark, sf_dir):
+    """Of a technology a fifth of the page at most, sources being free, with a vector too."""
+    v = vectors.of(table(spark, sf_dir, "embeddings"), 7)
+    return _flat(search(spark, sf_dir, "thin thing", v, max_distance=0.9, limit=20, diversity="mechanism"))
+
+
+@query(_search_sql("thin thing", cap="", where="AND source IN ('src1', 'src4')"))
+def search_of_sources(spark, sf_dir):
+    """A choice of sources lifts the caps, the asked diversity too."""
+    return _flat(search(spark, sf_dir, "thin thing", filters=flt.SearchFilters(sources=["src1", "src4"]), diversity="source"))
 
 
 @query(_search_sql("thin thing", where="AND id IN (SELECT id FROM topics WHERE slug IN ('topic-2', 'topic-4')) AND nation_key IN (SELECT nation_key FROM loc WHERE continent IN ('AFRICA', 'ASIA'))"))
@@ -210,6 +292,39 @@ def search_by_topic(spark, sf_dir):
     return _flat(search(spark, sf_dir, "thin thing", filters=flt.SearchFilters(topics=["topic-2", "topic-4"], continent_slugs=["africa", "asia"])))
 
 
+@query(_search_sql("thin thing", name="legs"))
+def index_search(spark, sf_dir):
+    """The lexical legs of a search, from the stored index alone."""
+    f, size = flt.SearchFilters(), lexical_pool(10)
+    index = text_index(spark, sf_dir)
+    legs = lexical_legs(index.top(Query.parse("thin thing"), size, indexed_rows(spark, sf_dir, index, f)), size, 1)
+    return legs["full_text"].select(F.lit("full_text").alias("leg"), "rank", "id", F.col("density").alias("score")).unionByName(legs["or_lexical"].select(F.lit("or_lexical").alias("leg"), "rank", "id", F.col("n").cast("double").alias("score")))
+
+
+_FORMS = ["ending", "ended", "ends", "Things", "generation", "generously"]
+
+
+@query(f"""WITH {RESOURCES_SQL}, tok AS (SELECT id, {_terms_sql('body')} AS t FROM res), pos AS (SELECT id, unnest(t) AS x FROM tok), words AS (SELECT lower(w) AS x, w FROM (SELECT unnest([{', '.join(f"'{w}'" for w in _FORMS)}]) AS w)), voc AS (SELECT x FROM pos UNION SELECT x FROM words), {stems_sql('voc')}
+SELECT w AS word, b.s AS stem, count(*) AS n, count(DISTINCT pos.id) AS docs FROM words JOIN stemmed b ON b.x = words.x JOIN stemmed a ON a.s = b.s JOIN pos ON pos.x = a.x GROUP BY ALL""")
+def stemmed_search(spark, sf_dir):
+    """How often forms of a word occur in bodies: both sides are stemmed."""
+    words = spark.createDataFrame([(w,) for w in _FORMS], "word string").withColumn("stem", stems(F.lower("word")))
+    found = text_index(spark, sf_dir).postings([stem(w.lower()) for w in _FORMS]).select("stem", F.explode("docs").alias("d"))
+    body = found.select("stem", "d.id", F.size(F.filter("d.spots", lambda x: x["weight"] == WEIGHTS[2])).alias("n")).where("n > 0")
+    return body.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).join(F.broadcast(words), "stem").select("word", "stem", "n", "docs")
+
+
+@query(f"""WITH {RESOURCES_SQL}, {GRANTS_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7), act AS (SELECT * FROM res WHERE active AND id NOT IN (SELECT id FROM grants)),
+tok AS (SELECT id, {_terms_sql("concat_ws(' ', title, summary, body)")} AS t FROM act), pos AS (SELECT id, unnest(t) AS x FROM tok), words AS (SELECT unnest(['thin', 'thing']) AS x), voc AS (SELECT x FROM pos UNION SELECT x FROM words), {stems_sql('voc')},
+hit AS (SELECT id, count(DISTINCT a.s) AS n FROM pos JOIN stemmed a ON a.x = pos.x WHERE a.s IN (SELECT s FROM stemmed JOIN words USING (x)) GROUP BY id),
+near AS (SELECT vec_id AS id FROM embeddings e, q WHERE {_DIST} <= 0.8 AND vec_id IN (SELECT id FROM act))
+SELECT (SELECT count(*) FROM (SELECT id FROM hit UNION SELECT id FROM near)) AS filtered_total, (SELECT count(*) FROM hit WHERE n = 2) AS strict, (SELECT count(*) FROM hit) AS any_term, (SELECT count(*) FROM near) AS semantic""")
+def search_totals(spark, sf_dir):
+    """What a search matches in all, counted in the pass that makes its matches."""
+    got = search_total(spark, sf_dir, "thin thing", vectors.of(table(spark, sf_dir, "embeddings"), 7), max_distance=0.8)
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
+
+
 def _browse_sql(order: str, pool: int, limit: int, offset: int, cap: str, where: str = "") -> str:
     return f"""WITH {RESOURCES_SQL}, {GRANTS_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY {order}) AS r FROM res WHERE active AND id NOT IN (SELECT id FROM grants) {where} QUALIFY r <= {pool}),
 k AS (SELECT * FROM p {cap}) SELECT row_number() OVER (ORDER BY r) AS rank, id, round(1.0 / r, 9) AS score, title, source FROM k QUALIFY rank > {offset} AND rank <= {offset + limit}"""
@@ -305,12 +420,14 @@ def semantic_duplicates(spark, sf_dir):
     return vectors.near_pairs(e, 0.2).select("a", "b", F.round("distance", 9).alias("distance"))
 
 
-@query(f"""WITH {RESOURCES_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), o AS (SELECT nation_key AS nk, tech_key AS tk FROM res WHERE id = 3)
-SELECT row_number() OVER (ORDER BY d, id) AS rank, id, round(d, 9) AS distance FROM (SELECT e.vec_id AS id, {_DIST} AS d FROM embeddings e JOIN res ON res.id = e.vec_id, q, o WHERE e.vec_id <> 3 AND active AND tech_key <> tk AND nation_key <> nk) QUALIFY rank <= 5""")
+def approaches(spark: SparkSession, sf_dir: str, key: int, text: str, limit: int, embedding: Sequence[float] | None = None, max_distance: float = 0.42) -> DataFrame:
+    """(rank, id, score, title): other items that a search for an item's text finds, few of one technology."""
+    found = search(spark, sf_dir, text, embedding, limit=limit + 2, max_distance=max_distance, diversity="mechanism")
+    return ranking.pool(found.where(F.col("id") != key).withColumnRenamed("rank", "_rank"), [F.col("_rank")], limit).select("rank", "id", "score", "title")
+
+
+@query(_search_sql("thin thing", limit=8, cap="QUALIFY row_number() OVER (PARTITION BY tech_key ORDER BY score DESC, id) <= 2").replace("SELECT * FROM page_out", "SELECT n AS rank, id, score, title FROM (SELECT *, row_number() OVER (ORDER BY rank) AS n FROM page_out WHERE id <> (SELECT min(id) FROM page_out)) WHERE n <= 6"))
 def different_approaches(spark, sf_dir):
-    """Near items that go about it with another technology, and elsewhere."""
-    origin = resources(spark, sf_dir).where("id = 3").select(F.col("nation_key").alias("nk"), F.col("tech_key").alias("tk")).first()
-    other = resources(spark, sf_dir).where("active and id <> 3").where((F.col("tech_key") != (origin["tk"] if origin else -1)) & (F.col("nation_key") != (origin["nk"] if origin else -1))).select(F.col("id").alias("vec_id"))
-    e = table(spark, sf_dir, "embeddings")
-    top = ranking.pool(vectors.nearest(e.join(other, "vec_id", "left_semi"), vectors.of(e, 3), 5, None, "vec_id"), [F.col("distance"), F.col("id")], 5)
-    return top.select("rank", "id", F.round("distance", 9).alias("distance"))
+    """Other approaches to what an item is about; here the item is one that its own search finds."""
+    own = search(spark, sf_dir, "thin thing", limit=8, diversity="mechanism").agg(F.min("id")).first()[0]
+    return approaches(spark, sf_dir, -1 if own is None else own, "thin thing", 6)

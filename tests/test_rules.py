@@ -167,11 +167,6 @@ def test_pages_of_a_search_follow_each_other(spark, sf):
     assert len({r.source for r in browse(spark, sf, limit=10, diverse=True).collect()}) == browse(spark, sf, limit=10, diverse=True).count()
 
 
-def test_inflections():
-    assert {"farm", "farms", "farmed", "farming"} <= set(lexical.inflections("farms")) and "city" in lexical.inflections("cities")
-    assert "glas" not in lexical.inflections("glass") and lexical.inflections("is")
-
-
 def test_registry_and_reports(spark, tmp_path):
     good = [{"id": "a", "name": "A", "url": "https://a.org"}]
     assert pages.load_registry(spark, good).count() == 1
