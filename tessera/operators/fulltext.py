@@ -38,8 +38,7 @@ class Query:
 
     @classmethod
     def parse(cls, text: str) -> Query:
-        stop = lexical.stop_words()
-        kept = lambda t: t not in stop
+        kept = lambda t: t not in lexical.STOP_WORDS
         own = list(dict.fromkeys(stem(t) for t in lexical.query_terms(" ".join(lexical.or_words(text))) if kept(t)))
         if not ('"' in text or any(w == "or" or w.startswith("-") for w in text.lower().split())):
             return cls(own, None)
@@ -61,7 +60,7 @@ def occurrences(rows: DataFrame, fields: dict[str, float], id_col: str = "id") -
     for i in reversed(range(len(fields) - 1)):
         weight = F.when(F.col("place") < sum(sizes[1 : i + 1], sizes[0]), F.lit(list(fields.values())[i])).otherwise(weight)
     placed = tokens.where(ends > 0).select("*", F.posexplode(F.concat(*[F.col(f"_{i}") for i in range(len(fields))])).alias("place", "term"))
-    placed = placed.where(~F.col("term").isin(sorted(lexical.stop_words()))).select("id", "place", weight.cast("double").alias("weight"), "term")
+    placed = placed.where(~F.col("term").isin(sorted(lexical.STOP_WORDS))).select("id", "place", weight.cast("double").alias("weight"), "term")
     return placed.select("id", stems(F.col("term")).alias("stem"), "place", "weight")
 
 

@@ -8,6 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Common English words that a search leaves out.
+STOP_WORDS = set(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just "
+    "don should now cannot could ought would".split()
+)
+
+
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
@@ -82,13 +91,6 @@ def occurrences(tokens: Column, words: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(words)))
 
 
-def stop_words() -> set[str]:
-    """English words that a search leaves out."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return set(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def spots(fields: list[tuple[Column, float]], groups: list[list[str]]) -> Column:
     """(k, place, weight) of the tokens of each group of words, by place; fields are token arrays with weights, placed one
     after another."""

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import geography as G, repair as R, taxonomy as X, text as T
-from tessera.operators import filters as flt, lexical
+from tessera.functions.stem import stem, stems_sql
+from tessera.operators import filters as flt, fulltext, lexical
 from tessera.operators.columns import computed
 from tessera.operators.merge import merge_names
+from tessera.operators.ranking import pool
 from tessera.plans.browse import _BROWSE
 from tessera.plans.registry import query
-from tessera.plans.search import _search_sql, browse, filtered, search
+from tessera.plans.search import _search_sql, _terms_sql, browse, filtered, search
 from tessera.plans.writes import _cases, _expected
 from tessera.sources.tables import GRANTS_SQL, LOCATIONS_SQL, RESOURCES_SQL, TOPICS_SQL, locations, resources, table, topics
 
@@ -219,13 +221,36 @@ def explore_problem(spark, sf_dir):
     return explore(spark, sf_dir, "thin", country="nation_4", limit=40).withColumn("lists", F.array_join("lists", ","))
 
 
-@query("SELECT c_custkey AS id, 4.0 * CAST(regexp_matches(lower(c_mktsegment), 'machinery') AS INT) + 1.0 * CAST(c_custkey % 7 = 0 AS INT) AS score FROM customer WHERE regexp_matches(lower(c_mktsegment), 'machinery') OR c_custkey % 7 = 0")
+#: Weights of words in a person's name, summary and role.
+PERSON = {"name": 1.0, "summary": 0.4, "role": 0.2}
+_PERSON_SQL = f"""person AS (SELECT c_custkey AS id, c_name AS name, d.text AS summary, c_mktsegment AS role FROM customer LEFT JOIN documents d ON d.doc_id = c_custkey),
+ptok AS (SELECT id, {_terms_sql('name')} AS a, {_terms_sql('summary')} AS b, {_terms_sql('role')} AS c FROM person),
+pos AS (SELECT id, unnest(a || b || c) AS x, unnest(range(0, len(a || b || c))) AS p, len(a) AS n1, len(b) AS n2 FROM ptok)"""
+
+
+def people(spark, sf_dir) -> DataFrame:
+    """(id, name, summary, role): here a person's summary is the document of the same number."""
+    c, d = table(spark, sf_dir, "customer"), table(spark, sf_dir, "documents")
+    return c.join(d, F.col("doc_id") == F.col("c_custkey"), "left").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("text").alias("summary"), F.col("c_mktsegment").alias("role"))
+
+
+@query(f"""WITH {_PERSON_SQL}, {stems_sql('pos')}, stop AS (SELECT unnest({repr(sorted(lexical.STOP_WORDS))}) AS x)
+SELECT s AS stem, count(DISTINCT id) AS people, count(*) AS n, round(sum(CASE WHEN p < n1 THEN 1.0 WHEN p < n1 + n2 THEN 0.4 ELSE 0.2 END), 6) AS mass, CAST(min(p) AS INT) AS first FROM pos JOIN stemmed USING (x) WHERE x NOT IN (SELECT x FROM stop) GROUP BY s""")
+def people_vectors(spark, sf_dir):
+    """Vectors of people, summed up by stem: who holds it, how often, with what weight, and its first place."""
+    v = fulltext.vectors(people(spark, sf_dir), PERSON).select("stem", F.size("spots").alias("n"), F.aggregate("spots", F.lit(0.0), lambda s, x: s + x["weight"]).alias("mass"), F.array_min("spots.place").alias("first"))
+    return v.groupBy("stem").agg(F.count("*").alias("people"), F.sum("n").alias("n"), F.round(F.sum("mass"), 6).alias("mass"), F.min("first").alias("first"))
+
+
+@query(f"""WITH {_PERSON_SQL}, words AS (SELECT unnest(['machineries', 'thing']) AS x), voc AS (SELECT x FROM pos UNION SELECT x FROM words), {stems_sql('voc')},
+hit AS (SELECT id, count(DISTINCT a.s) AS n, sum(CASE WHEN p < n1 THEN 1.0 WHEN p < n1 + n2 THEN 0.4 ELSE 0.2 END) AS mass FROM pos JOIN stemmed a ON a.x = pos.x WHERE a.s IN (SELECT s FROM stemmed JOIN words USING (x)) GROUP BY id)
+SELECT row_number() OVER (ORDER BY n DESC, mass DESC, id) AS rank, id, n, round(mass, 6) AS mass FROM (SELECT id, n, round(mass, 6) AS mass FROM hit) QUALIFY rank <= 20""")
 def people_by_words(spark, sf_dir):
-    """People by words in their fields, a field of more weight first."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "machinery").otherwise("").alias("role"))
-    fields = [(lexical.terms(F.col("c_mktsegment")), 4.0), (lexical.terms(F.col("role")), 1.0)]
-    found = computed(c, spots=lexical.spots(fields, [["machinery"]])).where(F.size("spots") > 0)
-    return found.select("id", F.aggregate("spots", F.lit(0.0), lambda s, x: s + x["weight"]).alias("score"))
+    """People by any form of some words: those of more words first, then of more weight."""
+    wanted = [stem(w) for w in ("machineries", "thing")]
+    found = fulltext.occurrences(people(spark, sf_dir), PERSON).where(F.col("stem").isin(wanted))
+    hits = found.groupBy("id").agg(F.count_distinct("stem").alias("n"), F.round(F.sum("weight"), 6).alias("mass"))
+    return pool(hits, [F.desc("n"), F.desc("mass"), F.col("id")], 20).select("rank", "id", "n", "mass")
 
 
 @query("SELECT n_nationkey, 'https://cards.example/' || 'nation-' || n_nationkey AS url, CASE WHEN r_name = 'AFRICA' THEN 'Africa' WHEN r_name = 'ASIA' THEN 'Asia' WHEN r_name = 'EUROPE' THEN 'Europe' WHEN r_name = 'AMERICA' THEN 'Americas' ELSE 'Middle East and North Africa' END AS continent, 'HEALTH' AS sector FROM nation JOIN region ON r_regionkey = n_regionkey")

@@ -136,7 +136,7 @@ def search(
     relaxed = hits.where("strict").isEmpty()
     legs = lexical_legs(hits, size, least_terms(text, relaxed))
     if embedding:
-        found = near(embedding, max_distance, rows) if near else vectors.nearest(table(spark, sf_dir, "embeddings"), embedding, SEMANTIC_POOL, max_distance, "vec_id", rows)
+        found = near(embedding, max_distance, rows) if near else vectors.nearest(table(spark, sf_dir, "embeddings"), embedding, SEMANTIC_POOL, max_distance, "vec_id", among=rows)
         legs["semantic"] = ranking.pool(found, [F.col("distance"), F.col("id")], SEMANTIC_POOL)
     fused = ranking.fuse(legs, RELAXED if relaxed else STRICT)
     shown = fused.join(rows.select("id", "title", "source", "org_key", "maturity", "tech_key"), "id")

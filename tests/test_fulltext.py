@@ -4,12 +4,10 @@ import random
 import re
 
 import pytest
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import functions as F
-
 from tessera.functions.stem import stem
 from tessera.operators import fulltext
 from tessera.operators.fulltext import FullTextIndex, Query
+from tessera.operators.lexical import STOP_WORDS
 
 FIELDS = {"title": 1.0, "body": 0.2}
 WORDS = ["pump", "pumps", "solar", "water", "filters", "filtering", "the", "of", "farm", "farming", "wind", "cheap", "city", "cities", "x1"]
@@ -24,7 +22,7 @@ def texts(n, start=0, seed=0):
 
 def brute(spark, rows, query):
     """(id, strict, n, density) by walking over every text."""
-    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    stop = STOP_WORDS
     words = list(dict.fromkeys(stem(t) for t in re.findall("[a-z0-9]+", query.lower()) if t not in stop))
     out = {}
     for key, title, body in rows:
@@ -97,7 +95,7 @@ def test_only_allowed_rows_fill_a_pool(spark, monkeypatch, index):
 
 def test_grammar(spark, index):
     rows, i = index
-    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    stop = STOP_WORDS
     terms = {k: [None if t in stop else stem(t) for t in re.findall("[a-z0-9]+", f"{a or ''} {b or ''}".lower())] for k, a, b in rows}
     phrase = lambda t, p: any(all(w is None or x == w for x, w in zip(t[j : j + len(p)], p)) and len(t[j:]) >= len(p) for j in range(len(t)))
     for text, rule in (
@@ -143,4 +141,3 @@ def test_hybrid_search_scans_no_text(spark, sf):
 def test_vectors(spark):
     got = {(r.stem): [(s.place, s.weight) for s in r.spots] for r in fulltext.vectors(spark.createDataFrame([(1, "The Farms", "farming of x")], "id long, title string, body string"), FIELDS).collect()}
     assert got == {"farm": [(1, 1.0), (2, 0.2)], "x": [(4, 0.2)]}
-    assert F is not None
