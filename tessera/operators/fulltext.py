@@ -12,9 +12,13 @@ New documents are a new segment; removed ones are kept in a list that every sear
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.cluster import checkpointed
@@ -69,6 +73,52 @@ def vectors(rows: DataFrame, fields: dict[str, float], id_col: str = "id") -> Da
     return occurrences(rows, fields, id_col).groupBy("id", "stem").agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("spots"))
 
 
+def _postings(fields: dict[str, float]):
+    """The postings of the documents of a block: stems in order, of each its documents, of each document its places."""
+    names, weights, stop = list(fields), np.array(list(fields.values())), lexical.STOP_WORDS
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        terms, field, counts = [], [], []
+        for texts in zip(*[rows[c].to_pylist() for c in names]):
+            before = len(terms)
+            for f, text in enumerate(texts):
+                own = re.findall("[a-z0-9]+", (text or "").lower())
+                terms += own
+                field.append((f, len(own)))
+            counts.append(len(terms) - before)
+        codes, found = pd.factorize(np.array(terms, dtype=object))
+        numbers: dict[str, int] = {}
+        number = np.array([-1 if t in stop else numbers.setdefault(stem(t), len(numbers)) for t in found], np.int64)
+        order = sorted(numbers)
+        rank = np.zeros(len(order) + 1, np.int64)  # the last place is that of stop words
+        rank[[numbers[s] for s in order]] = np.arange(len(order))
+        rank[-1] = -1
+        k = rank[number[codes]] if len(codes) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(k)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
+        weight = weights[np.repeat([f for f, _ in field], [n for _, n in field])] if field else np.zeros(0)
+        at = np.flatnonzero(k >= 0)
+        at = at[np.lexsort((place[at], doc[at], k[at]))]
+        k, doc, place, weight = k[at], doc[at], place[at], weight[at]
+        new_doc = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])][: len(k)])
+        new_stem = np.flatnonzero(np.r_[True, k[new_doc][1:] != k[new_doc][:-1]][: len(new_doc)])
+        spots = pa.ListArray.from_arrays(pa.array(np.r_[new_doc, len(k)], pa.int32()), pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(weight)], ["place", "weight"]))
+        docs = pa.StructArray.from_arrays([rows["id"].combine_chunks().take(pa.array(doc[new_doc])), spots], ["id", "spots"])
+        most = lambda x: np.maximum.reduceat(x, new_stem) if len(x) else x
+        mass = np.add.reduceat(weight, new_doc) if len(k) else weight
+        heaviest = np.maximum.reduceat(weight, new_doc) if len(k) else weight
+        n = len(new_stem)
+        columns = [
+            pa.array([order[i] for i in k[new_doc][new_stem]], pa.string()), pa.array([key[0].as_py()] * n, pa.int64()), pa.array(np.diff(np.r_[new_stem, len(new_doc)]), pa.int32()),
+            pa.array(most(np.diff(np.r_[new_doc, len(k)])), pa.int32()), pa.array(most(mass), pa.float64()), pa.array(most(heaviest), pa.float64()),
+            pa.ListArray.from_arrays(pa.array(np.r_[new_stem, len(new_doc)], pa.int32()), docs),
+        ]
+        return pa.table(columns, names=["stem", "block", "n", "most", "mass", "weight", "docs"])
+
+    return run
+
+
 class FullTextIndex:
     """Postings of documents of one integer id, below a folder that all executors share."""
 
@@ -79,14 +129,9 @@ class FullTextIndex:
     def add(self, rows: DataFrame) -> FullTextIndex:
         """Files documents as a segment; their ids are new.  Columns of texts that are not ``kept`` are not stored."""
         segment = max(self.segments, default=-1) + 1
-        # one row group of a source can hold all its texts: deal them out before they are taken apart
-        dealt = rows.select("id", *self.fields).repartition("id")
-        words = occurrences(dealt, self.fields).withColumn("block", F.floor(F.col("id") / BLOCK)).repartition("stem", "block")
-        docs = words.groupBy("stem", "block", "id").agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("spots"), F.max("weight").alias("weight"), F.sum("weight").alias("mass"))
-        blocks = docs.groupBy("stem", "block").agg(
-            F.count("*").cast("int").alias("n"), F.max(F.size("spots")).alias("most"), F.max("mass").alias("mass"), F.max("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("id", "spots"))).alias("docs")
-        )
-        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("stem"), F.lit(BUCKETS)).cast("int"))
+        texts = rows.select(F.col("id").cast("long").alias("id"), *self.fields).withColumn("block", F.floor(F.col("id") / BLOCK))
+        blocks = texts.groupBy("block").applyInArrow(_postings(self.fields), POSTINGS.partition(", segment")[0])
+        blocks = blocks.withColumn("bucket", (F.crc32(F.col("stem").cast("binary")) % BUCKETS).cast("int"))
         blocks.repartitionByRange("bucket", "stem", "block").sortWithinPartitions("bucket", "stem", "block").write.partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
         shown = rows.drop(*[c for c in self.fields if c not in self.kept]).withColumn("block", F.floor(F.col("id") / BLOCK))
         shown.repartitionByRange("block", "id").sortWithinPartitions("block", "id").write.parquet(f"{self.folder}/rows/segment={segment}")
@@ -113,7 +158,7 @@ class FullTextIndex:
     def postings(self, words: Iterable[str]) -> DataFrame:
         """Postings of stems; only their buckets are read."""
         words = sorted(set(words))
-        buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in words] or [("",)], "stem string").select(F.pmod(F.xxhash64("stem"), F.lit(BUCKETS)).cast("int")).collect()]
+        buckets = sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})
         found = self.spark.read.schema(POSTINGS).option("basePath", f"{self.folder}/postings").parquet(*[f"{self.folder}/postings/segment={s}" for s in self.segments])
         return found.where(F.col("bucket").isin(buckets) & F.col("stem").isin(words))
 
@@ -174,19 +219,23 @@ class FullTextIndex:
         bounds = checkpointed(self.bounds(query))
         first = [r.block for r in bounds.orderBy(F.desc("present"), F.desc_nulls_last("best"), "block").limit(FIRST).collect()]
         found = checkpointed(self.hits(query, allowed, first))
-        last = lambda rows, order: (rows.orderBy(*order).limit(size).select("id", "n", "density").tail(1) if rows.limit(size).count() == size else [None])[0]
+
+        def last(rows: DataFrame, order: list[Column]):  # of a full pool, which holds ``size`` rows at most
+            pool = rows.orderBy(*order).limit(size).select("id", "n", "density").collect()
+            return pool[-1] if len(pool) == size else None
+
         strict, any_ = last(found.where("strict"), [F.desc("density"), F.col("id")]), last(found, [F.desc("n"), F.col("id")])
         wanted = F.col("best").isNotNull() if strict is None else F.col("best") >= strict.density
         if any_ is None:
             wanted = F.lit(True)
         else:
             wanted = wanted | (F.col("present") > any_.n) | ((F.col("present") == any_.n) & (F.col("block") * BLOCK <= any_.id))
-        rest = checkpointed(bounds.where(~F.col("block").isin(first) & F.coalesce(wanted, F.lit(False))).select("block"))
-        n = rest.count()
-        self.visited = (len(first) + n, bounds.count())
-        if not n:
+        rest = bounds.where(~F.col("block").isin(first) & F.coalesce(wanted, F.lit(False))).select("block")
+        named = [r.block for r in rest.limit(NAMED + 1).collect()]
+        self.visited = len(first) + len(named)
+        if not named:
             return found
-        more = self.hits(query, allowed, [r.block for r in rest.collect()] if n <= NAMED else rest)
-        return checkpointed(found.unionByName(more))
+        return checkpointed(found.unionByName(self.hits(query, allowed, named if len(named) <= NAMED else rest)))
 
-    visited: tuple[int, int] = (0, 0)
+    #: Blocks that the last search looked into, at least.
+    visited = 0
