@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from tessera.cluster import shared_dir
 from tessera.functions.stem import stem, stems, stems_sql
@@ -14,6 +14,7 @@ from tessera.functions.taxonomy import stage_rank
 from tessera.operators import filters as flt, lexical, ranking, vectors
 from tessera.operators.columns import computed
 from tessera.operators.fulltext import FullTextIndex, Query
+from tessera.operators.graph import GraphIndex
 from tessera.plans.registry import query
 from tessera.sources.tables import GRANTS_SQL, LOCATIONS_SQL, RESOURCES_SQL, TOPICS_SQL, grants, locations, resources, table, topics
 
@@ -88,6 +89,23 @@ def text_index(spark: SparkSession, sf_dir: str) -> FullTextIndex:
     return _INDEXES[key]
 
 
+_GRAPHS: dict[tuple, GraphIndex] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> GraphIndex:
+    """The graphs of the catalogue's vectors of active items; built once for each state of the tables that they are made of."""
+    key = (spark.sparkContext.applicationId, data_version(spark, f"{sf_dir}/embeddings.parquet", f"{sf_dir}/labels.parquet"))
+    if key not in _GRAPHS:
+        gone = table(spark, sf_dir, "labels").where("toxic <> 0").select(F.col("doc_id").alias("vec_id"))
+        _GRAPHS[key] = GraphIndex.build(table(spark, sf_dir, "embeddings").join(gone, "vec_id", "left_anti"), f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", "vec_id")
+    return _GRAPHS[key]
+
+
+def by_graph(spark: SparkSession, sf_dir: str) -> Callable[[Sequence[float], float, DataFrame], DataFrame]:
+    """A semantic leg that walks the stored graphs, holding twice its pool."""
+    return lambda v, bound, rows: vector_index(spark, sf_dir).nearest(v, SEMANTIC_POOL, bound, 2 * SEMANTIC_POOL, rows)
+
+
 def indexed_rows(spark: SparkSession, sf_dir: str, index: FullTextIndex, f: flt.SearchFilters) -> DataFrame:
     """What the filters let through, from the index's own rows; the texts are read for a quality browse alone."""
     plain = replace(f, quality=None)
@@ -245,9 +263,9 @@ def _flat(found: DataFrame) -> DataFrame:
 
 @query(_search_sql("thin thing", vector=True))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: words and a vector together."""
+    """The flagship: words and a vector together, both from stored indexes."""
     v = vectors.of(table(spark, sf_dir, "embeddings"), 7)
-    return _flat(search(spark, sf_dir, "thin thing", v, max_distance=0.9))
+    return _flat(search(spark, sf_dir, "thin thing", v, max_distance=0.9, near=by_graph(spark, sf_dir)))
 
 
 @query(_search_sql("thin thing zyzzyva quokka", vector=True))
@@ -352,6 +370,17 @@ def similar_with_country(spark, sf_dir):
     return similar(spark, sf_dir, 3, country="nation_4").select("rank", "id", F.round("distance", 9).alias("distance"))
 
 
+@query(f"""WITH {RESOURCES_SQL}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS id, 1 - list_dot_product(q.e, c.e) / (q.n * c.n) AS d FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 AND c.vec_id IN (SELECT id FROM res WHERE active))
+SELECT query_id, id, round(d, 9) AS distance FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 10""")
+def graph_neighbours(spark, sf_dir):
+    """The ten nearest active items of some items' vectors, by a beam that holds a thousand nodes of each graph."""
+    e = table(spark, sf_dir, "embeddings")
+    found = vector_index(spark, sf_dir).search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), 11, 1000, resources(spark, sf_dir).where("active").select("id"))
+    others = found.where("id <> query_id").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    return others.where("n <= 10").select("query_id", "id", F.round("distance", 9).alias("distance"))
+
+
 @query(f"WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3) SELECT vec_id AS id, round({_DIST}, 9) AS distance FROM embeddings e, q WHERE {_DIST} <= 0.8")
 def semantic_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
