@@ -260,10 +260,3 @@ def listing_cards(spark, sf_dir):
     label = F.concat("r_name", F.lit(" • HEALTH"))
     url = F.concat(F.lit("https://cards.example/"), T.slug(F.translate(F.lower("n_name"), "_", "-")))
     return rows.select("n_nationkey", url.alias("url"), X.region_continent(label).alias("continent"), X.region_sector(label).alias("sector"))
-
-
-@query("SELECT 'c' || c AS catalogue, 'https://c' || c || '.example/list?page=' || p AS url FROM (SELECT unnest(range(1, 4)) AS c), (SELECT unnest(range(1, 16)) AS p) WHERE p <= c * 5")
-def catalogue_pages(spark, sf_dir):
-    """The pages of catalogues that a table configures: one row a page, as many as each is known to have."""
-    config = spark.createDataFrame([(f"c{c}", f"https://c{c}.example/list", c * 5) for c in (1, 2, 3)], "catalogue string, listing string, pages int")
-    return config.select("catalogue", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("p"), "listing").select("catalogue", F.concat("listing", F.lit("?page="), F.col("p").cast("string")).alias("url"))
