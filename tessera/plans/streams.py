@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
-from tessera.streaming import runs
+from tessera.streaming import requests, runs
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -32,3 +32,12 @@ def stream_rate_limit(spark, sf_dir):
     """Requests that a per-user token bucket lets through; held against brute force in the tests."""
     out = runs.drain(runs.limited(runs.events(spark, sf_dir), burst=2, per_second=1 / 86400), "append")
     return out.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("n"))
+
+
+@query()
+def request_states(spark, sf_dir):
+    """What became of run requests: one open at a time in a queue, claims and completions, limits and time-outs by timers;
+    held against a replay in the tests."""
+    kind = F.when(F.col("event_type").isin("click", "signup"), "request").when(F.col("event_type") == "view", "claim").otherwise("complete")
+    stream = runs.events(spark, sf_dir).select((F.col("user_id") % 2).cast("int").alias("queue"), F.col("event_id").alias("request_id"), kind.alias("kind"), "ts")
+    return runs.drain(requests.request_states(stream), "append")
