@@ -42,6 +42,8 @@ from tessera.llm.textbatch import pick, shared_dir, text_slices
 MAGIC, FOOTER = b"tessera1", struct.Struct("<QQQQQQIB3x8s")
 #: Bytes of each of the two generations of a worker's memo; a worker keeps it from shard to shard.
 MEMO_BYTES = 96 << 20
+#: Chunks that are encoded as one text.
+RUN = 8192
 BLOCK_BYTES, SHARD_BYTES, MOST_SHARD_BYTES, SHARDS, BITS_A_KEY, PROBES = 1 << 18, 24 << 20, 256 << 20, 4096, 10, 7
 
 
@@ -199,7 +201,25 @@ def _encoder(path: str, width: int, special: bool) -> ChunkMemo:
         flat = np.fromiter((i for own in ids for i in own), f"<u{width}", ends[-1] // width).tobytes()
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    return ChunkMemo(encode, MEMO_BYTES, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
+    # in the byte alphabet a token that begins with a space has this letter first
+    spaced = np.zeros(tokenizer.get_vocab_size(), bool)
+    spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+
+    def together(chunks: list[str]) -> list[bytes]:
+        """Chunks as one text: each begins at a space, and no chunk holds another one."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), RUN):
+            some = chunks[at : at + RUN]
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids)
+            first = np.flatnonzero(spaced[ids])
+            if len(first) == len(some) and not first[0]:
+                flat, ends = ids.astype(f"<u{width}").tobytes(), [*(first * width).tolist(), len(ids) * width]
+                out += [flat[a:b] for a, b in zip(ends, ends[1:])]
+            else:  # an encoder whose pieces are not cut at spaces
+                out += encode([" " + c for c in some])
+        return out
+
+    return ChunkMemo(encode, MEMO_BYTES, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()), together=together)
 
 
 def _width(path: str) -> int:
