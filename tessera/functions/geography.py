@@ -93,7 +93,7 @@ def with_defaults(rows: DataFrame, by_source: DataFrame, by_category: dict[str,
     category; rows with a country or continent stay as they are.  by_source: (source, default_country, default_continent),
     a small table."""
     open_ = F.col("country").isNull() & F.col("continent").isNull()
-    out = rows.join(F.broadcast(by_source), "source", "left").withColumn("_open", open_)
+    out = rows.join(by_source, "source", "left").withColumn("_open", open_)
     has = F.col("default_continent").isNotNull()
     continent = F.when(has, F.col("default_continent")).otherwise(mapped(F.col("category"), by_category))
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
-from tessera.plans.writes import _cases, _expected
+from tessera.plans.writes import _expected
 from tessera.sources import pages as P, records as S
 from tessera.sources.tables import table
 
@@ -87,37 +87,43 @@ def robots_decisions(spark, sf_dir):
     return S.robots_decisions(requests, rules).select("id", "allowed", "delay")
 
 
-_PAGES = [
-    ('<title>T</title><h1>A  <b>heading</b></h1><meta property="og:image" content="https://i.example/a.png">', "A heading", "https://i.example/a.png"),
-    ('<title>T</title><h1>Home</h1><script type="application/ld+json">{"name": "Data name", "image": {"url": "https://i.example/d.png"}}</script>', "Data name", "https://i.example/d.png"),
-    ('<meta content="Og title" name="og:title"><title>About</title><article><p>x</p><img class="c" src="https://i.example/e.png"></article>', "Og title", "https://i.example/e.png"),
-    ('<title>Only &amp; title</title><meta property="og:image" content="https://i.example/logo.png">', "Only & title", None),
-    ("<title>Menu</title>", None, None),
-]
+# pages as they are; some headings say nothing, some pages name a title or an image in their head
+def _text(c: str) -> str:
+    """SQL of the text of a piece of HTML, null where there is none."""
+    for pattern, to in (("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&#0?39;|&apos;", "''"), ("(?i)&quot;", '"'), ("\\s+", " ")):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"nullif(trim({c}), '')"
 
 
-@query(f"SELECT p_partkey AS key, {_expected(_PAGES, {'title': 1, 'image': 2})} FROM part")
-def page_titles(spark, sf_dir):
-    """Titles and images in their order of precedence; the SQL holds what each page has, read by hand."""
-    rows = _cases(spark, sf_dir, _PAGES, ["html"])
-    return rows.select("key", S.page_title(F.col("html")).alias("title"), S.page_image(F.col("html")).alias("image"))
+def _fine(c: str) -> str:
+    return f"CASE WHEN NOT regexp_matches(lower({c}), '{S.BOILERPLATE}') THEN {c} END"
 
 
-_STATES = [
-    ('<script id="__STATE__">{"item": {"id": 7, "short_name": "Pump", "trl": "TRL 8", "company": {"country": "Kenya"}}}</script>', "Pump", "PILOT", "Kenya"),
-    ('<script id="__STATE__">{"item": {"id": 8, "short_name": "Filter", "trl": "TRL 2"}}</script>', "Filter", "IDEA", None),
-    ("<p>none</p>", None, "UNKNOWN", None),
-]
+@query(f"""WITH h AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN replace(html, '<h1>', '<h1> Read <b>more</b></h1><h1>') ELSE html END AS html FROM pages),
+t AS (SELECT page_id, {_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h1, {_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM h)
+SELECT page_id, coalesce({_fine('h1')}, CASE WHEN page_id % 3 = 0 THEN 'Og ' || page_id END, {_fine('title')}) AS title, CASE WHEN page_id % 6 = 3 THEN 'https://i.example/p' || page_id || '.png' END AS image FROM t""")
+def page_titles(spark, sf_dir):
+    """Titles and images of pages in their order of precedence; images that decorate are none."""
+    p, k, n = table(spark, sf_dir, "pages"), F.col("page_id"), F.col("page_id").cast("string")
+    title = F.concat(F.lit('<meta property="og:title" content="Og '), n, F.lit('">'))
+    image = F.concat(F.lit('<meta content="https://i.example/'), F.when(k % 2 == 0, "logo").otherwise("p"), n, F.lit('.png" property="og:image">'))
+    html = F.when(k % 4 == 0, F.replace("html", F.lit("<h1>"), F.lit("<h1> Read <b>more</b></h1><h1>"))).otherwise(F.col("html"))
+    rows = p.select("page_id", F.concat(F.when(k % 3 == 0, F.concat(title, image)).otherwise(""), html).alias("html"))
+    return rows.select("page_id", S.page_title(F.col("html")).alias("title"), S.page_image(F.col("html")).alias("image"))
 
 
-@query(f"SELECT p_partkey AS key, {_expected(_STATES, {'title': 1, 'stage': 2, 'country': 3})} FROM part")
+@query("""SELECT conv_id, turn, left(text, 40) AS title, CASE WHEN turn % 4 = 3 THEN 'UNKNOWN' WHEN turn * 3 <= 3 THEN 'IDEA' WHEN turn * 3 <= 6 THEN 'PROTOTYPE' WHEN turn * 3 <= 8 THEN 'PILOT' ELSE 'DEPLOYED' END AS stage, CASE WHEN role = 'user' THEN role END AS country FROM conversations""")
 def embedded_states(spark, sf_dir):
-    """Items from the JSON state that a page carries in a script."""
+    """Items from the JSON state that a page carries in a script; here the turns of conversations are the items."""
     from tessera.functions.taxonomy import stage_from_trl
 
-    rows = _cases(spark, sf_dir, _STATES, ["html"]).withColumn("state", S.embedded_state(F.col("html"), "__STATE__"))
+    c, turn = table(spark, sf_dir, "conversations"), F.col("turn")
+    level = F.when(turn % 4 != 3, F.concat(F.lit("trl "), (turn * 3).cast("string"), F.lit(" of 9")))
+    item = F.struct(F.left("text", F.lit(40)).alias("short_name"), level.alias("trl"), F.struct(F.when(F.col("role") == "user", F.col("role")).alias("country")).alias("company"))
+    html = F.concat(F.lit("<p>a</p><script type='application/json' id='__STATE__'> "), F.to_json(F.struct(item.alias("item"))), F.lit("</script><p>b</p>"))
+    rows = c.select("conv_id", "turn", S.embedded_state(html, "__STATE__").alias("state"))
     field = lambda p: F.get_json_object("state", p)
-    return rows.select("key", field("$.item.short_name").alias("title"), stage_from_trl(F.coalesce(field("$.item.trl"), F.lit(""))).alias("stage"), field("$.item.company.country").alias("country"))
+    return rows.select("conv_id", "turn", field("$.item.short_name").alias("title"), stage_from_trl(F.coalesce(field("$.item.trl"), F.lit(""))).alias("stage"), field("$.item.company.country").alias("country"))
 
 
 @query("SELECT DISTINCT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"(/[^\"#?]*)', 1)) AS href FROM pages) WHERE href NOT IN ('/the', '/and')")

@@ -23,15 +23,38 @@ def _cycled_sql(texts: list[str | None]) -> str:
     return f"t AS (SELECT p_partkey AS key, {_literal(texts)}[p_partkey % {len(texts)} + 1] AS text FROM part)"
 
 
+def _prose(spark, sf_dir: str, texts: list[str]) -> DataFrame:
+    """(key, text): whole documents; into three of four one of some phrases is put after its two hundredth character."""
+    one = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 4 == 3, F.col("text")).otherwise(F.concat(F.substring("text", 1, 200), F.lit(" \n"), one, F.lit("\n "), F.expr("substring(text, 201)")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text.alias("text"))
+
+
+def _prose_sql(texts: list[str]) -> str:
+    return f"t AS (SELECT doc_id AS key, CASE WHEN doc_id % 4 = 3 THEN text ELSE substr(text, 1, 200) || ' ' || chr(10) || {_literal(texts)}[doc_id % {len(texts)} + 1] || chr(10) || ' ' || substr(text, 201) END AS text FROM documents)"
+
+
+def _labels(spark, sf_dir: str, texts: list[str]) -> DataFrame:
+    """(key, text): the words of each document's first line, and one of some labels."""
+    own = F.split(F.substring_index("text", "\n", 1), " ")
+    one = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.explode(F.array_append(own, one)).alias("text"))
+
+
+def _labels_sql(texts: list[str]) -> str:
+    return f"t AS (SELECT doc_id AS key, unnest(list_append(string_split(string_split(text, chr(10))[1], ' '), {_literal(texts)}[doc_id % {len(texts)} + 1])) AS text FROM documents)"
+
+
 _COUNTRIES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', '{c}', {i})" for i, (n, c) in enumerate(G.COUNTRY_CODES.items())) + ") v(name, code, place))"
 _CONTINENT = "CASE " + " ".join(f"WHEN code IN ({', '.join(map(repr, codes))}) THEN '{name}'" for name, codes in G.CONTINENT_CODES.items()) + " END"
-_NAMES = ["Kenya", " BRAZIL ", "Côte d'Ivoire", "Atlantis", None, "south korea", "UK", "New Zealand", ""]
+_NAMES = ["Kenya", " BRAZIL ", "Côte d'Ivoire", "Atlantis", "south korea", "UK", "New Zealand", ""]
 
 
-@query(f"WITH {_COUNTRIES}, {_cycled_sql(_NAMES)} SELECT key, code, {_CONTINENT} AS continent FROM t LEFT JOIN names ON name = lower(trim(text))")
+@query(f"WITH {_COUNTRIES}, {_labels_sql(_NAMES)} SELECT code, {_CONTINENT} AS continent, count(*) AS n, count(DISTINCT key) AS docs FROM t LEFT JOIN names ON name = lower(trim(text)) GROUP BY ALL")
 def country_codes(spark, sf_dir):
-    rows = _cycled(spark, sf_dir, _NAMES).withColumn("code", G.country_code(F.col("text")))
-    return rows.select("key", "code", G.continent_of(F.col("code")).alias("continent"))
+    """Countries and continents that the words of documents name."""
+    rows = _labels(spark, sf_dir, _NAMES).withColumn("code", G.country_code(F.col("text")))
+    return rows.groupBy("code", G.continent_of(F.col("code")).alias("continent")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
 
 
 _PROSE = [
@@ -40,24 +63,24 @@ _PROSE = [
 ]
 
 
-@query(f"""WITH {_COUNTRIES}, {_cycled_sql(_PROSE)},
+@query(f"""WITH {_COUNTRIES}, {_prose_sql(_PROSE)},
 pairs AS (SELECT key, unnest(regexp_extract_all(text, '{G.CITY_COUNTRY.replace("'", "''")}', 1)) AS city, unnest(regexp_extract_all(text, '{G.CITY_COUNTRY.replace("'", "''")}', 2)) AS c, generate_subscripts(regexp_extract_all(text, '{G.CITY_COUNTRY.replace("'", "''")}', 1), 1) AS i FROM t),
 first AS (SELECT key, trim(city) AS city, name, code FROM pairs JOIN names ON name = lower(regexp_replace(trim(c), '[.,;:]+$', '')) QUALIFY row_number() OVER (PARTITION BY key ORDER BY i) = 1),
 alone AS (SELECT key, name, code FROM t JOIN names ON regexp_matches(lower(text), '(?:^|[^a-z])' || name || '(?:[^a-z]|$)') QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(name) DESC, place) = 1)
 SELECT t.key, coalesce(f.name, a.name) AS country, coalesce(f.code, a.code) AS code, f.city FROM t LEFT JOIN first f ON f.key = t.key LEFT JOIN alone a ON a.key = t.key""")
 def country_infer(spark, sf_dir):
     """Places in prose; the country's name in lower case."""
-    rows = _cycled(spark, sf_dir, _PROSE).withColumn("at", G.country_in_text(F.col("text")))
+    rows = _prose(spark, sf_dir, _PROSE).withColumn("at", G.country_in_text(F.col("text")))
     return rows.select("key", F.lower("at.country").alias("country"), F.col("at.code").alias("code"), F.col("at.city").alias("city"))
 
 
-_PHONES = ["call +27 82 555 0101", "tel:+254-700-000", "phone:+1 202 555", "+2547 00", "27 82 555", "write to +221.33", None]
+_PHONES = ["call +27 82 555 0101", "tel:+254-700-000", "phone:+1 202 555", "+2547 00", "27 82 555", "write to +221.33"]
 _DIAL = "CASE regexp_extract(text, '{}', 1) {} END".format(G.PHONE.replace("\\", "\\"), " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in G.DIAL_CODES.items()))
 
 
-@query(f"WITH {_cycled_sql(_PHONES)} SELECT key, {_DIAL} AS country FROM t")
+@query(f"WITH {_prose_sql(_PHONES)} SELECT key, {_DIAL} AS country FROM t")
 def phone_country(spark, sf_dir):
-    return _cycled(spark, sf_dir, _PHONES).select("key", G.country_of_phone(F.col("text")).alias("country"))
+    return _prose(spark, sf_dir, _PHONES).select("key", G.country_of_phone(F.col("text")).alias("country"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'Kenya' WHEN src = 'src1' THEN 'Ghana' END AS country, CASE WHEN s_suppkey % 5 = 0 THEN 'KE' WHEN src = 'src1' THEN 'GH' END AS code,
@@ -86,22 +109,24 @@ def stage_metadata(spark, sf_dir):
     return _cycled(spark, sf_dir, _METADATA).select("key", X.stage_of_metadata(F.col("text")).alias("stage"))
 
 
-_CLAIMS = ["a pilot in two towns", "our prototype won an award", "deployed, with paying customers", "now in 12+ countries", "an early-stage idea", "Series A round", "nothing", "trials of an MVP", "commercialised and scaled", None]
+_CLAIMS = ["a pilot in two towns", "our prototype won an award", "deployed, with paying customers", "now in 12+ countries", "an early-stage idea", "Series A round", "nothing", "trials of an MVP", "commercialised and scaled"]
 _SIGNALS = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{s}'" for s, p in X.STAGE_SIGNALS) + " END"
 
 
-@query(f"WITH {_cycled_sql(_CLAIMS)} SELECT key, {_SIGNALS} AS stage FROM t")
+@query(f"WITH {_prose_sql(_CLAIMS)} SELECT key, {_SIGNALS} AS stage FROM t")
 def stage_signals(spark, sf_dir):
-    return _cycled(spark, sf_dir, _CLAIMS).select("key", X.first_signal(F.col("text"), X.STAGE_SIGNALS).alias("stage"))
+    return _prose(spark, sf_dir, _CLAIMS).select("key", X.first_signal(F.col("text"), X.STAGE_SIGNALS).alias("stage"))
 
 
-_LABELS = ["pre_seed!", "trial", " Market ", "multiple deployments", "MVP", "other", "", None, "Growth!"]
+_LABELS = ["pre_seed!", "trial", " Market ", "multiple deployments", "MVP", "other", "", "Growth!"]
 _ALIASES = "CASE k " + " ".join(f"WHEN '{n}' THEN '{s}'" for s, names in X.STAGE_ALIASES.items() for n in names) + " END"
 
 
-@query(f"WITH {_cycled_sql(_LABELS)} SELECT key, {_ALIASES} AS stage FROM (SELECT key, regexp_replace(regexp_replace(upper(trim(text)), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM t)")
+@query(f"WITH {_labels_sql(_LABELS)} SELECT stage, count(*) AS n, count(DISTINCT key) AS docs FROM (SELECT key, {_ALIASES} AS stage FROM (SELECT key, regexp_replace(regexp_replace(upper(trim(text)), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM t)) GROUP BY stage")
 def stage_aliases(spark, sf_dir):
-    return _cycled(spark, sf_dir, _LABELS).select("key", X.stage_of_label(F.col("text")).alias("stage"))
+    """Stages that the words of documents name."""
+    rows = _labels(spark, sf_dir, _LABELS).select("key", X.stage_of_label(F.col("text")).alias("stage"))
+    return rows.groupBy("stage").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
 
 
 _TOPICS = ["Water|solar power off-grid", "Energy|solar power off-grid", "Water|clean water and sanitation", "Nonsense|school learning", "Health|nothing here", "|solar"]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import repair as R, text as T
 from tessera.operators import ranking, writes as W
-from tessera.plans.places import _cycled, _cycled_sql
 from tessera.plans.registry import query
 from tessera.sources.tables import RESOURCES_SQL, resources, table
 
@@ -307,39 +306,51 @@ def seed_parents(spark, sf_dir):
     return p.join(parents, "p_brand", "left").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.when(F.col("p_size") > 10, F.col("parent")).alias("parent"))
 
 
-_PAGES = ["/team/a", "/x", "/events/now", "/x", "/x"]
-_TITLES = ["A", "Our team", "E", "Quiet page", "Lorem ipsum"]
-_SUMS = ["s", "betting and more", "s", "home about contact and skip to main content of this site", "lorem ipsum text"]
+_MARKS = ["betting by our team", "home about contact and skip to main content of this site", "Lorem  ipsum text", "RSVP by May", "", "all rights reserved"]
+_JUNK_ROWS = f"""{_RES}, r AS (SELECT id, CASE id % 7 WHEN 0 THEN '/team/' || id WHEN 1 THEN '/x/events' ELSE '/items/' || id END AS path, title, trim(summary) || ' ' || {_MARKS}[id % 6 + 1] AS summary, coalesce(body, '') AS body FROM res)"""
 
 
-@query("SELECT p_partkey AS key, ['catalogue_non_innovation_path,catalogue_author_bio', '', 'catalogue_non_innovation_path,catalogue_event_page', 'catalogue_nav_boilerplate', 'catalogue_placeholder_summary'][p_partkey % 5 + 1] AS reasons FROM part")
-def catalogue_junk(spark, sf_dir):
-    rows = _cases(spark, sf_dir, list(zip(_PAGES, _TITLES, _SUMS)), ["path", "title", "summary"])
-    return rows.select("key", F.array_join(R.catalogue_junk(F.col("path"), F.col("title"), F.col("summary"), F.lit("")), ",").alias("reasons"))
+def _squeeze(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
-_ERRORS = ["GET https://a.example/x?key=1#y failed (https://b.example/?q)", "no address", "at https://c.example/p#q, then", "e" * 300]
+def _nav(c: str) -> str:
+    return f"(length({_squeeze(c)}) >= 40 AND regexp_matches({_squeeze(c)}, '{T.any_of(R.NAV_PATTERNS)}'))"
 
 
-@query(f"WITH {_cycled_sql(_ERRORS)} SELECT key, ['GET https://a.example/x failed (https://b.example/)', 'no address', 'at https://c.example/p then', '{'e' * 237}...'][key % 4 + 1] AS text FROM t")
-def error_texts(spark, sf_dir):
-    return _cycled(spark, sf_dir, _ERRORS).select("key", R.error_text(F.col("text")).alias("text"))
+@query(f"""{_JUNK_ROWS}, f AS (SELECT id, regexp_matches(path, '{R.AUTHOR_PATH}') AS ap, regexp_matches(path, '{R.EVENT_PATH}') AS ep, lower(title || ' ' || body) AS t, lower(title || ' ' || summary) AS u, summary, body FROM r)
+SELECT id, concat_ws(',', CASE WHEN ap OR ep THEN 'catalogue_non_innovation_path' END, CASE WHEN ap OR (regexp_matches(t, '{R.AUTHOR_WORDS}') AND regexp_matches(t, '{R.GAMBLING}')) THEN 'catalogue_author_bio' END, CASE WHEN ep OR regexp_matches(u, '{R.EVENT_WORDS}') THEN 'catalogue_event_page' END,
+  CASE WHEN {_nav('summary')} OR {_nav('left(body, 2000)')} THEN 'catalogue_nav_boilerplate' END, CASE WHEN regexp_matches({_squeeze('summary')}, '{T.any_of(R.PLACEHOLDERS)}') THEN 'catalogue_placeholder_summary' END) AS reasons FROM f""")
+def catalogue_junk(spark, sf_dir):
+    """Why items are no catalogue items, by their path and real texts into which telling words are put."""
+    k = F.col("id")
+    path = F.when(k % 7 == 0, F.concat(F.lit("/team/"), k.cast("string"))).when(k % 7 == 1, "/x/events").otherwise(F.concat(F.lit("/items/"), k.cast("string")))
+    mark = F.element_at(F.array(*map(F.lit, _MARKS)), (k % 6 + 1).cast("int"))
+    rows = resources(spark, sf_dir).select("id", path.alias("path"), "title", F.concat(F.trim("summary"), F.lit(" "), mark).alias("summary"), F.coalesce("body", F.lit("")).alias("body"))
+    return rows.select("id", F.array_join(R.catalogue_junk(F.col("path"), F.col("title"), F.col("summary"), F.col("body")), ",").alias("reasons"))
 
 
-_IMAGES = ["https://a.example/i.png?v=2#x", "data:abc?d", " ", None, "not an address"]
+@query(r"""SELECT page_id, CASE WHEN length(m) <= 240 THEN m ELSE left(m, 237) || '...' END AS text FROM (SELECT page_id, regexp_replace('GET ' || url || ' failed (' || url || '?key=1): ' || html, '(?i)(https?://[^\s)''"?#]+)[?#][^\s)''"]*', '\1', 'g') AS m FROM pages)""")
+def error_texts(spark, sf_dir):
+    """Messages about pages without the query strings of their addresses."""
+    p = table(spark, sf_dir, "pages")
+    message = F.concat(F.lit("GET "), "url", F.lit(" failed ("), "url", F.lit("?key=1): "), "html")
+    return p.select("page_id", R.error_text(message).alias("text"))
 
 
-@query(f"WITH {_cycled_sql(_IMAGES)} SELECT key, ['https://a.example/i.png', 'data:abc?d', NULL, NULL, 'not an address'][key % 5 + 1] AS image FROM t")
+@query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN 'data:' || url ELSE regexp_replace(trim(url || '?v=2#x'), '[?#].*$', '') END AS image FROM pages")
 def image_keys(spark, sf_dir):
-    return _cycled(spark, sf_dir, _IMAGES).select("key", R.image_key(F.col("text")).alias("image"))
-
-
-_COLLECTIONS = ["https://h.example/a/b/c", "https://h.example/list/", "https://h.example/", "https://h.example"]
+    """Addresses of images to compare by; embedded images stay as they are."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    image = F.when(k % 7 == 0, " ").when(k % 5 == 0, F.concat(F.lit("data:"), "url")).otherwise(F.concat(F.lit(" "), "url", F.lit("?v=2#x ")))
+    return p.select("page_id", R.image_key(image).alias("image"))
 
 
-@query(f"WITH {_cycled_sql(_COLLECTIONS)} SELECT key, ['^/a/b/[^/]+/?$', '^/list/[^/]+/?$', '^/[^/]+/[^/]+/?$', '^/[^/]+/[^/]+/?$'][key % 4 + 1] AS pattern FROM t")
+@query(r"""SELECT page_id, CASE WHEN len(p) = 0 THEN '^/[^/]+/[^/]+/?$' ELSE '^/' || array_to_string(CASE WHEN len(p) >= 2 THEN p[1:len(p) - 1] ELSE p END, '/') || '/[^/]+/?$' END AS pattern
+FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages)""")
 def collection_patterns(spark, sf_dir):
-    return _cycled(spark, sf_dir, _COLLECTIONS).select("key", R.collection_pattern(F.col("text")).alias("pattern"))
+    """Path patterns of the items beside each page."""
+    return table(spark, sf_dir, "pages").select("page_id", R.collection_pattern(F.col("url")).alias("pattern"))
 
 
 _SP_BODY = "trim(regexp_replace(left(text, 400), '\\s+', ' ', 'g'))"
@@ -350,29 +361,45 @@ def description_gates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", R.description_gate(F.left("text", F.lit(400))).alias("passes"))
 
 
-_SUMMARIES = [
-    ("A pump for all", "a-pump-for-all-2", "First paragraph of the body that is long enough to stand.\n\nOther", None, "First paragraph of the body that is long enough to stand."),
-    ("Pump", "Pump", "", "A page's own description of a pump", "A page's own description of a pump"),
-    ("Pump", "short", "A single sentence of a body that runs on for a while. And another.", None, "A single sentence of a body that runs on for a while. And another."),
-    ("Pump", "A summary that is quite fine as it is", "b", None, "A summary that is quite fine as it is"),
-    ("Pump", "", "tiny", "pump", ""),
-]
+# summaries as they go wrong: the title again, its slug, a cut one; into every third body paragraphs are put
+_POOR = f"""{_RES}, r AS (SELECT id, title, CASE id % 5 WHEN 0 THEN upper(title) WHEN 1 THEN 'an-item-' || id WHEN 2 THEN left(summary, 12) ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN left(body, 30) || chr(10) || ' ' || chr(10) || substr(body, 31) ELSE body END AS body, CASE WHEN id % 10 = 0 THEN title WHEN id % 10 = 1 THEN 'What a page says of itself, ' || id END AS meta FROM res)"""
 
 
-@query(f"SELECT p_partkey AS key, {_expected(_SUMMARIES, {'summary': 4})} FROM part")
-def summary_repair(spark, sf_dir):
-    rows = _cases(spark, sf_dir, _SUMMARIES, ["title", "summary", "body", "meta"])
-    return rows.select("key", R.repaired_summary(F.col("title"), F.col("summary"), F.col("body"), F.col("meta")).alias("summary"))
+def _slugged(c: str) -> str:
+    return f"(length({c}) >= 8 AND regexp_matches({c}, '(?i)^[a-z0-9]+(-[a-z0-9]+)+$'))"
 
 
-_COLONS = [
-    ("River works:", "Filters that towns build. They last for years", "River works: Filters that towns build.", "They last for years"),
-    ("River works", "Filters. Rest", "River works", "Filters. Rest"),
-    ("River works:", "", "River works:", ""),
-]
+def _poor(c: str) -> str:
+    low = lambda x: f"lower({_squeeze(x)})"
+    return f"(({low('t')} <> '' AND {low('t')} = {low(c)}) OR {_slugged(f'trim({c})')})"
 
 
-@query(f"SELECT p_partkey AS key, {_expected(_COLONS, {'title': 2, 'summary': 3})} FROM part")
+def _lead(c: str) -> str:
+    """SQL of a text's first sentence."""
+    return f"trim(CASE WHEN regexp_matches({c}, '(?s)[.!?]\\s') THEN regexp_extract({c}, '(?s)^(.*?[.!?])\\s', 1) ELSE {c} END)"
+
+
+@query(f"""{_POOR}, a AS (SELECT id, coalesce(trim(title), '') AS t, coalesce(trim(summary), '') AS s, coalesce(trim(meta), '') AS m, coalesce(trim(body), '') AS b FROM r),
+p AS (SELECT *, {_squeeze('b')} AS flat, list_filter(list_transform(regexp_split_to_array(b, '\\n\\s*\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 40 AND NOT (length(x) >= 8 AND regexp_matches(x, '(?i)^[a-z0-9]+(-[a-z0-9]+)+$'))) AS ps FROM a),
+f AS (SELECT *, CASE WHEN len(ps) > 0 THEN ps[1] WHEN length(flat) >= 40 THEN {_lead('flat')} ELSE '' END AS para FROM p),
+k AS (SELECT id, t, CASE WHEN {_poor('s')} OR length(s) < 20 THEN CASE WHEN m = '' OR {_poor('m')} THEN para ELSE m END ELSE s END AS taken FROM f),
+c AS (SELECT id, t, taken, {_squeeze('taken')} AS c FROM k), d AS (SELECT *, CASE WHEN instr(substr(c, 1, 499), ' ') > 0 THEN 500 - instr(reverse(substr(c, 1, 499)), ' ') ELSE 0 END AS place FROM c)
+SELECT id, CASE WHEN {_poor('taken')} THEN '' WHEN length(c) <= 500 THEN c WHEN place > 250 THEN rtrim(substr(c, 1, place - 1)) || '…' ELSE rtrim(substr(c, 1, 499)) || '…' END AS summary FROM d""")
+def summary_repair(spark, sf_dir):
+    """Summaries that say nothing, repaired from a page's description or the item's own text."""
+    k, r = F.col("id"), resources(spark, sf_dir)
+    summary = F.when(k % 5 == 0, F.upper("title")).when(k % 5 == 1, F.concat(F.lit("an-item-"), k.cast("string"))).when(k % 5 == 2, F.left("summary", F.lit(12))).otherwise(F.col("summary"))
+    body = F.when(k % 3 == 0, F.concat(F.left("body", F.lit(30)), F.lit("\n \n"), F.expr("substring(body, 31)"))).otherwise(F.col("body"))
+    meta = F.when(k % 10 == 0, F.col("title")).when(k % 10 == 1, F.concat(F.lit("What a page says of itself, "), k.cast("string")))
+    rows = r.select("id", "title", summary.alias("summary"), body.alias("body"), meta.alias("meta"))
+    return rows.select("id", R.repaired_summary(F.col("title"), F.col("summary"), F.col("body"), F.col("meta")).alias("summary"))
+
+
+@query(f"""{_RES}, a AS (SELECT id, coalesce(trim(CASE WHEN id % 2 = 0 THEN title || ': ' ELSE title END), '') AS t, coalesce(trim(left(body, 240)), '') AS s FROM res), f AS (SELECT *, {_lead('s')} AS first FROM a),
+w AS (SELECT *, regexp_matches(t, ':\\s*$') AND s <> '' AND first <> '' AND len(string_split({_squeeze('first')}, ' ')) BETWEEN 1 AND 12 AS fits, regexp_replace(trim(substr(s, length(first) + 1)), '^[.!?]\\s*', '') AS rest FROM f)
+SELECT id, CASE WHEN fits THEN {_squeeze("t || ' ' || first")} ELSE t END AS title, CASE WHEN fits AND rest <> '' THEN rest ELSE s END AS summary FROM w""")
 def colon_merge(spark, sf_dir):
-    rows = _cases(spark, sf_dir, _COLONS, ["title", "summary"])
-    return rows.select("key", R.merged_title(F.col("title"), F.col("summary")).alias("m")).select("key", "m.title", "m.summary")
+    """Titles cut at a colon take the short first sentence of their texts back."""
+    title = F.when(F.col("id") % 2 == 0, F.concat("title", F.lit(": "))).otherwise(F.col("title"))
+    rows = resources(spark, sf_dir).select("id", title.alias("title"), F.left("body", F.lit(240)).alias("summary"))
+    return rows.select("id", R.merged_title(F.col("title"), F.col("summary")).alias("m")).select("id", "m.title", "m.summary")
