@@ -78,32 +78,74 @@ def quality_browse_full(spark, sf_dir):
     return rows.where(flt.quality_browse(relaxed=False)).join(names.where(T.legal_form(F.col("name"))), "org_key", "left_anti").select("id")
 
 
-_GATES = [
-    ("HOME PAGE", "x", "x", "J", "b-corp", False, "short_description,all_caps_title,suspicious_person_name,legal_form_org_name"),
-    ("Contact", "Contact", "", "A. Name", "They sell pumps to farms.", True, "short_description,blocklist_title,invalid_org_name,listing_only_thin,cohort_title_equals_summary,cohort_boilerplate_title"),
-    ("A whole title of a thing", "s" * 90, "", None, None, False, ""),
-    ("A cut on", "s" * 90, "", "x y z", None, True, "truncated_title,suspicious_person_name"),
-]
+_ORGS = ["b-corp", "They sell pumps to farms.", "Water works", "", "A name of an organisation that goes on for nine words"]
+_PEOPLE = ["J", "x y z", "A. Name", "", "Jane Roe"]
+# real items, some of them with a title, a summary or a body as it goes wrong, and with people and organisations of all kinds
+_GATED = f"""{_RES}, g AS (SELECT id, review_status, CASE id % 9 WHEN 0 THEN 'Contact' WHEN 1 THEN left(title, 14) WHEN 2 THEN 'HOME PAGE OF ' || id WHEN 3 THEN trim(left(body, 60)) ELSE title END AS title, CASE id % 5 WHEN 0 THEN left(summary, 30) WHEN 3 THEN trim(left(body, 60)) ELSE summary END AS summary, CASE WHEN id % 4 = 0 THEN '' ELSE body END AS body,
+  {_PEOPLE}[id % 5 + 1] AS person, {_ORGS}[(id // 5) % 5 + 1] AS org, id % 3 = 0 AS cohort FROM res)"""
+
+
+def _squeezed(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+def _gate_sql(person: bool) -> str:
+    """The gate's codes as a list, said in SQL over title, summary, body, person, org and cohort."""
+    last = f"string_split({_squeezed('trim(title)')}, ' ')[-1]"
+    blocked = ", ".join(repr(t) for t in T.BLOCKED_TITLES)
+    words = f"len(string_split({_squeezed('trim(org)')}, ' '))"
+    rules = [
+        ("thin", "short_description"),
+        ("blocked", "blocklist_title"),
+        ("length(regexp_replace(title, '[^A-Z]', '', 'g')) > 0.75 * length(regexp_replace(title, '[^A-Za-z]', '', 'g')) AND length(trim(title)) > 6", "all_caps_title"),
+        (f"length(trim(title)) < 4 OR (length({last}) <= 3 AND NOT regexp_matches(trim(title), '[.!?]$') AND length(trim(title)) < 25) OR regexp_matches(trim(title), '(?i)websit$')", "truncated_title"),
+    ]
+    if person:
+        rules += [
+            ("trim(person) <> '' AND (length(trim(person)) < 3 OR regexp_matches(trim(person), '(?i)^[a-z](\\s+[a-z]){0,2}$'))", "suspicious_person_name"),
+            (f"regexp_matches(org, '{T.any_of(T.GATE_LEGAL_FORMS)}')", "legal_form_org_name"),
+            (f"trim(org) <> '' AND (length(trim(org)) < 2 OR (regexp_matches(trim(org), '[.!?]$') AND {words} >= 4) OR {words} > 8 OR (regexp_matches(trim(org), '(?i){T.SENTENCE_START}') AND {words} >= 3) OR (regexp_matches(trim(org), '(?i){T.AUXILIARY}') AND {words} >= 5))", "invalid_org_name"),
+            ("cohort AND thin", "listing_only_thin"),
+            ("cohort AND trim(title) <> '' AND trim(title) = trim(summary)", "cohort_title_equals_summary"),
+            (f"cohort AND (blocked OR length({_squeezed('title')}) < 3 OR regexp_matches({_squeezed('title')}, '(?i){T.BOILERPLATE_TITLE}'))", "cohort_boilerplate_title"),
+        ]
+    listed = ", ".join(f"CASE WHEN {rule} THEN '{code}' END" for rule, code in rules)
+    return f"""judged AS (SELECT *, (CASE WHEN trim(body) <> '' AND trim(body) <> trim(summary) THEN greatest(length(trim(summary)), length(trim(body))) ELSE length(trim(summary)) END) < 80 AS thin,
+  lower(trim(title)) IN ({blocked}) OR trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')) IN ({blocked}) AS blocked FROM g),
+gate AS (SELECT *, list_filter([{listed}], lambda x: x IS NOT NULL) AS reasons FROM judged)"""
+
+
+def _gated(spark, sf_dir) -> DataFrame:
+    k, lead = F.col("id"), F.trim(F.left("body", F.lit(60)))
+    title = F.when(k % 9 == 0, "Contact").when(k % 9 == 1, F.left("title", F.lit(14))).when(k % 9 == 2, F.concat(F.lit("HOME PAGE OF "), k.cast("string"))).when(k % 9 == 3, lead).otherwise(F.col("title"))
+    summary = F.when(k % 5 == 0, F.left("summary", F.lit(30))).when(k % 5 == 3, lead).otherwise(F.col("summary"))
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % 5 + 1).cast("int"))
+    return resources(spark, sf_dir).select(
+        "id", "review_status", title.alias("title"), summary.alias("summary"), F.when(k % 4 == 0, "").otherwise(F.col("body")).alias("body"),
+        pick(_PEOPLE, k).alias("person"), pick(_ORGS, F.floor(k / 5)).alias("org"), (k % 3 == 0).alias("cohort"),
+    )
 
 
-@query(f"SELECT p_partkey AS key, {_expected(_GATES, {'reasons': 6})} FROM part")
+@query(f"{_GATED}, {_gate_sql(True)} SELECT id, array_to_string(reasons, ',') AS reasons FROM gate")
 def gate_all_codes(spark, sf_dir):
-    """All ten reason codes in their order; the SQL holds those of each case, worked out by hand."""
-    rows = _cases(spark, sf_dir, _GATES, ["title", "summary", "body", "person", "org", "cohort"])
+    """All ten reason codes in their order, of whole items."""
     c = F.col
-    return rows.select("key", F.array_join(T.quality_reasons(c("title"), c("summary"), c("body"), c("person"), c("org"), c("cohort")), ",").alias("reasons"))
+    reasons = T.quality_reasons(c("title"), c("summary"), c("body"), c("person"), c("org"), c("cohort"))
+    return _gated(spark, sf_dir).select("id", F.array_join(reasons, ",").alias("reasons"))
 
 
 _THIN = "length(trim(summary)) < 80 AND NOT (trim(body) <> '' AND trim(body) <> trim(summary) AND length(trim(body)) >= 80)"
 
 
-@query(f"""{_RES}, a AS (SELECT id, source, {_THIN} AS thin FROM res WHERE active AND review_status NOT IN ('REVIEWED') AND id % 30 >= 5)
+@query(f"""{_RES}, a AS (SELECT id, source, {_THIN} AS thin FROM res LEFT JOIN events ON event_id = id WHERE active AND review_status NOT IN ('REVIEWED') AND (ts IS NULL OR ts < TIMESTAMP '2024-01-30' - INTERVAL 28 DAY))
 SELECT 'item' AS kind, CASE WHEN thin THEN 'thin' ELSE 'fine' END AS state, count(*) AS n FROM a GROUP BY 2
 UNION ALL SELECT 'person', CASE WHEN c_custkey % 9 = 0 THEN 'junk' ELSE 'fine' END, count(*) FROM customer GROUP BY 2 UNION ALL SELECT 'organisation', CASE WHEN s_suppkey % 4 = 0 THEN 'legal_form' ELSE 'fine' END, count(*) FROM supplier GROUP BY 2""")
 def audit_all(spark, sf_dir):
-    """An audit of items (reviewed ones and those verified in the last thirty days are left), people and organisations."""
-    days = F.col("id") % 30 * 10  # since it was verified
-    items = resources(spark, sf_dir).where("active and review_status <> 'REVIEWED'").where(days >= 50)
+    """An audit of items (reviewed ones and those verified in the last weeks are left), people and organisations."""
+    # an item was last verified when the event of its number happened
+    verified = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("verified_at"))
+    items = resources(spark, sf_dir).where("active and review_status <> 'REVIEWED'").join(verified, "id", "left")
+    items = items.where(F.expr("verified_at is null or verified_at < timestamp_ntz'2024-01-30' - interval 28 days"))
     thin = T.body_length(F.col("summary"), F.col("body")) < 80
     person = F.when(F.col("c_custkey") % 9 == 0, "j k").otherwise(F.col("c_name"))
     org = F.when(F.col("s_suppkey") % 4 == 0, "N/A").otherwise(F.col("s_name"))
@@ -113,13 +155,13 @@ def audit_all(spark, sf_dir):
     return every.groupBy("kind", "state").agg(F.count("*").alias("n"))
 
 
-@query(f"{_RES} SELECT id, CASE WHEN id % 3 = 0 THEN 'stored' WHEN {_THIN} THEN 'short_description' ELSE '' END AS reason FROM res WHERE review_status = 'NEEDS_REVIEW'")
+@query(f"{_GATED}, {_gate_sql(False)} SELECT id, CASE WHEN id % 3 = 0 THEN 'stored' ELSE array_to_string(reasons, ',') END AS reason FROM gate WHERE review_status = 'NEEDS_REVIEW'")
 def reason_backfill(spark, sf_dir):
     """Items in review without reasons get those that the gate gives; stored ones stay."""
-    rows = resources(spark, sf_dir).where("review_status = 'NEEDS_REVIEW'")
+    rows = _gated(spark, sf_dir).where("review_status = 'NEEDS_REVIEW'")
     stored = F.when(F.col("id") % 3 == 0, F.array(F.lit("stored"))).otherwise(F.array().cast("array<string>"))
-    short = F.filter(T.quality_reasons(F.lit("A title that is whole"), F.col("summary"), F.col("body")), lambda r: r == "short_description")
-    return rows.select("id", F.array_join(F.when(F.size(stored) > 0, stored).otherwise(short), ",").alias("reason"))
+    found = T.quality_reasons(F.col("title"), F.col("summary"), F.col("body"))
+    return rows.select("id", F.array_join(F.when(F.size(stored) > 0, stored).otherwise(found), ",").alias("reason"))
 
 
 _REPAIRS = [

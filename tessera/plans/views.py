@@ -120,13 +120,19 @@ def gate_drops(spark, sf_dir):
     return resources(spark, sf_dir).select("id", flt.dropped_at_gate(F.col("source"), reasons, {"src2": ["short_description"]}, ["src1"]).alias("dropped"))
 
 
-_KINDS = ["an innovative product", "the grant agreement of an innovative startup", "a plain text", " ", "work programme and project management", "market entry"]
+_KINDS = ["an innovative product", "the grant agreement of an innovative startup", "a plain text", "", "work programme and project management", "market entry"]
+_VETO = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN 'admin_pattern:{p}' END" for p in flt.ADMIN_WORDS)
 
 
-@query(f"""SELECT p_partkey AS key, ['', 'admin_pattern:\\bgrant agreement\\b', 'no_innovation_signal', 'empty_text', 'admin_pattern:\\bwork programme\\b|admin_pattern:\\bproject management\\b', ''][p_partkey % 6 + 1] AS faults FROM part""")
+@query(f"""{R}, k AS (SELECT id, CASE WHEN id % 13 = 0 THEN ' ' ELSE left(body, 500) || ' ' || {_KINDS}[id % 6 + 1] || ' ' || substr(body, 501) END AS t FROM res),
+v AS (SELECT *, list_filter([{_VETO}], lambda x: x IS NOT NULL) AS admin FROM k)
+SELECT id, CASE WHEN trim(t) = '' THEN 'empty_text' WHEN len(admin) > 0 THEN array_to_string(admin, '|') WHEN regexp_matches(t, '{T.any_of(flt.INNOVATION_WORDS)}') THEN '' ELSE 'no_innovation_signal' END AS faults FROM v""")
 def innovation_relevance(spark, sf_dir):
-    text = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.array_join(flt.innovation_faults(text), "|").alias("faults"))
+    """Why whole texts, into which telling words are put, are no innovations."""
+    mark = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("id") % 6 + 1).cast("int"))
+    text = F.when(F.col("id") % 13 == 0, " ").otherwise(F.concat(F.left("body", F.lit(500)), F.lit(" "), mark, F.lit(" "), F.expr("substring(body, 501)")))
+    rows = resources(spark, sf_dir).select("id", text.alias("t"))
+    return rows.select("id", F.array_join(flt.innovation_faults(F.col("t")), "|").alias("faults"))
 
 
 @query(f"{R} SELECT source, count(*) AS n, CASE WHEN count(*) > 60 THEN 'large' ELSE 'small' END AS size FROM res WHERE active GROUP BY source ORDER BY (count(*) > 60) DESC, source LIMIT 12")
@@ -136,6 +142,43 @@ def sources_by_status(spark, sf_dir):
     return n.withColumn("size", F.when(F.col("n") > 60, "large").otherwise("small")).orderBy(F.desc(F.col("n") > 60), "source").limit(12)
 
 
+#: Scopes in the order of a whole run; a source of none of them runs with the grants.
+RUN_ORDER, SCOPES = ["global", "africa", "asia", "grants"], ["africa", "asia", "global", "grants", "unmapped"]
+
+
+@query(f"""{R} SELECT row_number() OVER (ORDER BY list_position({RUN_ORDER}, CASE scope WHEN 'unmapped' THEN 'grants' ELSE scope END), source) AS place, source
+FROM (SELECT source, {SCOPES}[CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 5 + 1] AS scope FROM (SELECT DISTINCT source FROM res WHERE active AND source IS NOT NULL))""")
+def scope_order(spark, sf_dir):
+    """Sources in the order of their scopes, then by name."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    sources = resources(spark, sf_dir).where("active and source is not null").select("source").distinct()
+    scope = F.element_at(F.array(*map(F.lit, SCOPES)), number % 5 + 1)
+    rank = F.array_position(F.array(*map(F.lit, RUN_ORDER)), F.when(scope == "unmapped", "grants").otherwise(scope))
+    # a registry's sources are few, so one task numbers them
+    return sources.select(F.row_number().over(Window.orderBy(rank, "source")).alias("place"), "source")
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, n_name AS country, coalesce(k, 0) AS items, coalesce(j, '[]') AS latest FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (
+  SELECT l_suppkey, count(DISTINCT l_partkey) AS k, to_json(list_sort(list(DISTINCT p_name) FILTER (WHERE p_size > 25))[1:5])::VARCHAR AS j FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) ON l_suppkey = s_suppkey""")
+def organisation_detail(spark, sf_dir):
+    """Organisations with what they make: how many items, and the first titles of those that are shown."""
+    links = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct()
+    rows = links.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    titles = rows.where("p_size > 25").select("l_suppkey", "p_name").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("p_name"))).where("n <= 5")
+    nested = titles.groupBy("l_suppkey").agg(F.to_json(F.sort_array(F.collect_list("p_name"))).alias("latest"))
+    counts = rows.groupBy("l_suppkey").agg(F.count("*").alias("items")).join(nested, "l_suppkey", "left")
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    out = s.join(counts, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return out.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("country"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("latest", F.lit("[]")).alias("latest"))
+
+
+@query(f"WITH {RUNS_SQL} SELECT source_id, run_id FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN kind <> 'error' AND run_id % 3 > 0 THEN started_at END DESC NULLS LAST, run_id) = 1")
+def latest_nulls_last(spark, sf_dir):
+    """The latest row of each source by a time that some rows lack."""
+    rows = runs(spark, sf_dir).withColumn("seen", F.when((F.col("kind") != "error") & (F.col("run_id") % 3 > 0), F.col("started_at")))
+    return ranking.first_per_key(rows, ["source_id"], [F.desc_nulls_last("seen"), F.col("run_id")]).select("source_id", "run_id")
+
+
 @query(f"{R} SELECT id FROM res WHERE active AND id NOT IN (1, 2, 3) ORDER BY md5('7:' || id), id LIMIT 1")
 def random_item(spark, sf_dir):
     return ranking.random_pick(resources(spark, sf_dir).where("active"), "id", 7, [1, 2, 3]).select("id")

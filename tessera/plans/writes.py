@@ -362,7 +362,7 @@ def description_gates(spark, sf_dir):
 
 
 # summaries as they go wrong: the title again, its slug, a cut one; into every third body paragraphs are put
-_POOR = f"""{_RES}, r AS (SELECT id, title, CASE id % 5 WHEN 0 THEN upper(title) WHEN 1 THEN 'an-item-' || id WHEN 2 THEN left(summary, 12) ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN left(body, 30) || chr(10) || ' ' || chr(10) || substr(body, 31) ELSE body END AS body, CASE WHEN id % 10 = 0 THEN title WHEN id % 10 = 1 THEN 'What a page says of itself, ' || id END AS meta FROM res)"""
+_POOR = f"""{_RES}, r AS (SELECT id, title, CASE id % 5 WHEN 0 THEN replace(lower(title), ' ', '  ') WHEN 1 THEN 'an-item-' || id WHEN 2 THEN left(summary, 12) ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN left(body, 30) || chr(10) || ' ' || chr(10) || substr(body, 31) ELSE body END AS body, CASE WHEN id % 10 = 0 THEN title WHEN id % 10 = 1 THEN 'What a page says of itself, ' || id END AS meta FROM res)"""
 
 
 def _slugged(c: str) -> str:
@@ -388,7 +388,7 @@ SELECT id, CASE WHEN {_poor('taken')} THEN '' WHEN length(c) <= 500 THEN c WHEN
 def summary_repair(spark, sf_dir):
     """Summaries that say nothing, repaired from a page's description or the item's own text."""
     k, r = F.col("id"), resources(spark, sf_dir)
-    summary = F.when(k % 5 == 0, F.upper("title")).when(k % 5 == 1, F.concat(F.lit("an-item-"), k.cast("string"))).when(k % 5 == 2, F.left("summary", F.lit(12))).otherwise(F.col("summary"))
+    summary = F.when(k % 5 == 0, F.replace(F.lower("title"), F.lit(" "), F.lit("  "))).when(k % 5 == 1, F.concat(F.lit("an-item-"), k.cast("string"))).when(k % 5 == 2, F.left("summary", F.lit(12))).otherwise(F.col("summary"))
     body = F.when(k % 3 == 0, F.concat(F.left("body", F.lit(30)), F.lit("\n \n"), F.expr("substring(body, 31)"))).otherwise(F.col("body"))
     meta = F.when(k % 10 == 0, F.col("title")).when(k % 10 == 1, F.concat(F.lit("What a page says of itself, "), k.cast("string")))
     rows = r.select("id", "title", summary.alias("summary"), body.alias("body"), meta.alias("meta"))

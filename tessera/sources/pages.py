@@ -130,6 +130,37 @@ def load_registry(spark: SparkSession, records: list[dict]) -> DataFrame:
     return spark.createDataFrame([(r["id"], r["name"], r["url"], bool(r.get("enabled", True))) for r in records], "id string, name string, url string, enabled boolean")
 
 
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(id, homepage, adapter, collection_url, enabled, record) of a registry file, YAML or JSON with a list ``sources``: each
+    entry has an id of its own, a homepage and an adapter, and addresses are of the web.  A registry is small and is read on
+    the driver, through Spark's own file systems."""
+    raw = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("reading a YAML registry needs the yaml package; a JSON file needs none") from e
+        document = yaml.safe_load(raw)
+    else:
+        document = json.loads(raw)
+    sources = document.get("sources") if isinstance(document, dict) else None
+    if not isinstance(sources, list):
+        raise ValueError(f"source registry {path} has no list of sources")
+    ids: set[str] = set()
+    for s in sources:
+        if not all(s.get(f) for f in ("id", "homepage", "adapter")):
+            raise ValueError(f"registry entry without id, homepage or adapter: {json.dumps(s, default=str)[:200]}")
+        if s["id"] in ids:
+            raise ValueError(f"source id {s['id']} occurs twice")
+        ids.add(s["id"])
+        if s.get("collection_url") is not None and urlsplit(s["collection_url"]).scheme not in ("http", "https"):
+            raise ValueError(f"collection address of {s['id']} is not http(s)")
+        if not (urlsplit(s["homepage"]).scheme and urlsplit(s["homepage"]).netloc):
+            raise ValueError(f"homepage of {s['id']} is no address")
+    rows = [(s["id"], s["homepage"], s["adapter"], s.get("collection_url"), bool(s.get("enabled", True)), json.dumps(s, default=str, sort_keys=True)) for s in sources]
+    return spark.createDataFrame(rows, "id string, homepage string, adapter string, collection_url string, enabled boolean, record string")
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A report as csv (with header), json or parquet; arrays joined by bars in csv."""
     if kind == "csv":
