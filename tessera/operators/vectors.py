@@ -9,8 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Rows of a block of a near-pair search, and pivots at most.
-BLOCK_ROWS, PIVOTS = 2048, 256
+#: Rows of a block of a near-pair search, visitors that a block meets at once, and pivots at most.
+BLOCK_ROWS, GUEST_ROWS, PIVOTS = 2048, 16_384, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -78,11 +78,14 @@ def near_pairs(vectors: DataFrame, bound: float, id_col: str = "id", vector_col:
     filed = v.mapInPandas(file, "id long, cell int, home boolean, theta double, blob binary")
     width = max(angle, 1e-3)
     filed = filed.withColumn("ring", F.floor(F.col("theta") / width).cast("int"))
-    # every home row meets the rows of its ring and the next ones; rings with many rows are dealt on
-    homes = filed.where("home").select("cell", F.col("ring").alias("r"), "id", "blob", F.pmod(F.xxhash64("id"), F.lit(max(1, n // (k * BLOCK_ROWS)))).cast("int").alias("part"))
-    parts = max(1, n // (k * BLOCK_ROWS))
-    others = filed.withColumn("r", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    others = others.select("cell", "r", "id", "blob", "part")
+    # every home row meets the rows of its ring and the next ones; both sides are dealt to parts, and each part of the one
+    # meets each part of the other
+    parts, guests = max(1, n // (k * BLOCK_ROWS)), max(1, n // GUEST_ROWS)
+    dealt = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    homes = filed.where("home").select("cell", F.col("ring").alias("r"), "id", "blob", dealt(1, parts).alias("part")).withColumn("guest", every(guests))
+    others = filed.withColumn("r", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))).withColumn("part", every(parts)).withColumn("guest", dealt(2, guests))
+    others = others.select("cell", "r", "id", "blob", "part", "guest")
     dims = int(most["d"])
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +103,7 @@ def near_pairs(vectors: DataFrame, bound: float, id_col: str = "id", vector_col:
         joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
         return pd.DataFrame({"a": joined(a, np.int64), "b": joined(b, np.int64), "distance": joined(s, float)})
 
-    keys = ["cell", "r", "part"]
+    keys = ["cell", "r", "part", "guest"]
     others = others.toDF(*others.columns)
     met = homes.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(meet, schema)
     return met.groupBy("a", "b").agg(F.min("distance").alias("distance"))

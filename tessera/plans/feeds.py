@@ -41,13 +41,14 @@ def listing_merge(spark, sf_dir):
     return S.merged_listing(feed, cards, "key")
 
 
-@query("SELECT item_id, ['First, and', 'Second'][i] AS title, ['https://a.example/1', 'https://a.example/2'][i] AS link FROM benchmark, (SELECT unnest([1, 2]) AS i) WHERE i = 1 OR item_id % 2 = 0")
+@query("SELECT CAST(floor(doc_id / 20) AS BIGINT) AS feed, trim(split_part(text, '.', 1)) AS title, 'https://f.example/' || doc_id AS link FROM documents")
 def feed_entries(spark, sf_dir):
-    xml = F.concat(
-        F.lit("<rss><item><title><![CDATA[First, and]]></title><link>https://a.example/1</link></item>"),
-        F.when(F.col("item_id") % 2 == 0, "<item><title>Second</title><link> https://a.example/2 </link></item>").otherwise(""), F.lit("</rss>"),
-    )
-    return table(spark, sf_dir, "benchmark").select("item_id", F.inline(P.feed_items(xml)))
+    """Entries of feeds, here of twenty documents each; titles stand plain or in a section of their own."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    title = F.substring_index("text", ".", 1)
+    item = F.concat(F.lit("<item>\n<title>"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<![CDATA["), title, F.lit("]]>"))).otherwise(title), F.lit("</title><link> https://f.example/"), k, F.lit("</link></item>"))
+    feeds = d.groupBy(F.floor(F.col("doc_id") / 20).alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.sort_array(F.collect_list(item)), "\n"), F.lit("</rss>")).alias("xml"))
+    return feeds.select("feed", F.inline(P.feed_items(F.col("xml"))))
 
 
 @query("""SELECT DISTINCT n_regionkey AS listing, n_nationkey AS id, n_name AS title FROM (SELECT *, CAST(ceil(r / 2.0) AS INTEGER) AS page FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)) WHERE page <= 2 AND n_nationkey % 7 <> 0""")

@@ -326,12 +326,13 @@ def enrichment_accounting(spark, sf_dir):
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.when(over, 0).otherwise(F.col("k"))).alias("cost"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'https://base.example/x/' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'https://base.example/x/' || s_suppkey ELSE 'https://ok.example/' || s_suppkey END AS url FROM supplier")
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 OR NOT regexp_matches(u, '^https?://') THEN 'https://base.example/x/' || page_id ELSE u END AS url FROM (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN replace(url, 'http', 'ftp') WHEN page_id % 5 = 0 THEN ': ' || url ELSE url END AS u FROM pages)")
 def url_rewrite(spark, sf_dir):
     """Addresses of one source that are none are made from the external id."""
-    k = F.col("s_suppkey")
-    url = F.when(k % 3 == 0, ": broken").when(k % 3 == 1, "ftp://x").otherwise(F.concat(F.lit("https://ok.example/"), k.cast("string")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit("https://base.example/x/"), k.cast("string"))).alias("url"))
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    url = F.when(k % 3 == 1, F.replace("url", F.lit("http"), F.lit("ftp"))).when(k % 5 == 0, F.concat(F.lit(": "), "url")).otherwise(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", url.alias("u"))
+    return rows.select("page_id", F.when(F.col("u").rlike("^https?://"), F.col("u")).otherwise(F.concat(F.lit("https://base.example/x/"), n)).alias("url"))
 
 
 @query("SELECT p.page_id, coalesce(c.url, CASE WHEN p.page_id % 2 = 0 THEN p.url END) AS image FROM (SELECT * FROM pages ORDER BY page_id DESC LIMIT 40) p LEFT JOIN (SELECT page_id, 'https://cards.example/' || page_id AS url FROM pages WHERE page_id % 3 = 0) c ON c.page_id = p.page_id")

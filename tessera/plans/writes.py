@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import repair as R, text as T
 from tessera.operators import ranking, writes as W
-from tessera.plans.registry import query
+from tessera.plans import rules  # noqa: F401  its SQL is part of some here
+from tessera.plans.registry import ORACLE_SQL, query
 from tessera.sources.tables import RESOURCES_SQL, resources, table
 
 _RES = f"WITH {RESOURCES_SQL}"
@@ -211,13 +212,13 @@ def ensure_entities(spark, sf_dir):
     return W.ensure(stored, wanted, ["name"], ["country"])
 
 
-@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN 'https://base.example/items/' || p_partkey WHEN p_partkey % 3 = 1 THEN 'https://a.example/x' ELSE 'https://c.example/' || p_partkey END AS url FROM part")
+@query(f"WITH c AS ({ORACLE_SQL['url_canonical']}) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://base.example/items/' || page_id ELSE canonical END AS url FROM c")
 def malformed_urls(spark, sf_dir):
     """Addresses that are none are rebuilt: a stray colon goes, else the external id stands under a base."""
-    k = F.col("p_partkey")
-    raw = F.when(k % 3 == 0, F.concat(F.lit(":"), k.cast("string"))).when(k % 3 == 1, " : https://a.example/x/ ").otherwise(F.concat(F.lit("https://c.example/"), k.cast("string")))
-    fixed = F.coalesce(T.public_url(raw, F.lit(None).cast("string")), F.concat(F.lit("https://base.example/items/"), k.cast("string")))
-    return table(spark, sf_dir, "part").select(k.alias("key"), fixed.alias("url"))
+    k, n = F.col("page_id") % 3, F.col("page_id").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit(":"), n)).when(k == 1, F.concat(F.lit(" : "), "url", F.lit(" "))).otherwise(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"))
+    return rows.select("page_id", F.coalesce(T.public_url(F.col("raw"), F.lit(None).cast("string")), F.concat(F.lit("https://base.example/items/"), n)).alias("url"))
 
 
 @query(f"""{_RES}, r AS (SELECT * FROM res WHERE active AND resource_type <> 'ARTICLE' AND review_status <> 'NEEDS_REVIEW'), g AS (SELECT id, CASE WHEN nation_key % 5 = 0 THEN NULL WHEN nation_key % 5 = 1 THEN ' ' ELSE 'x' END AS country, maturity, id IN (SELECT vec_id FROM embeddings) AS org FROM r)
