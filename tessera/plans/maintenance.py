@@ -265,7 +265,7 @@ def explore_problem(spark, sf_dir):
 
 #: Weights of words in a person's name, summary and role.
 PERSON = {"name": 1.0, "summary": 0.4, "role": 0.2}
-_PERSON_SQL = f"""person AS (SELECT c_custkey AS id, c_name AS name, d.text AS summary, c_mktsegment AS role FROM customer LEFT JOIN documents d ON d.doc_id = c_custkey),
+_PERSON_SQL = f"""person AS (SELECT c_custkey AS id, c_name AS name, coalesce(d.text, '') AS summary, c_mktsegment AS role FROM customer LEFT JOIN documents d ON d.doc_id = c_custkey),
 ptok AS (SELECT id, {_terms_sql('name')} AS a, {_terms_sql('summary')} AS b, {_terms_sql('role')} AS c FROM person),
 pos AS (SELECT id, unnest(a || b || c) AS x, unnest(range(0, len(a || b || c))) AS p, len(a) AS n1, len(b) AS n2 FROM ptok)"""
 
