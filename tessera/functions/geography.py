@@ -41,6 +41,7 @@ DIAL_CODES = {
     "254": "Kenya", "255": "Tanzania", "256": "Uganda", "234": "Nigeria", "233": "Ghana", "27": "South Africa", "20": "Egypt", "212": "Morocco", "251": "Ethiopia",
     "250": "Rwanda", "221": "Senegal", "225": "Côte d'Ivoire",
 }
+# Fixed values too: how a city with its country, and an international number, are found in a text.
 CITY_COUNTRY = r"([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ\s.'-]{1,40}),\s*([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ\s.'()-]{2,60})"
 PHONE = r"(?:tel:|phone:|call\s)?\+(\d{1,3})[\s.-]?\d"
 

@@ -73,17 +73,16 @@ def tags(text: Column, rules: dict[str, list[str]], most: int = 3) -> Column:
     return F.slice(F.array_compact(F.array(*hits)), 1, most)
 
 
+# The continent of a region label, by the whole label, else by the first words that it holds.
+REGION_LABELS = {"GLOBAL": "Global", "MENA": "Middle East and North Africa"}
+REGION_WORDS = [("MIDDLE EAST", "Middle East and North Africa"), ("AFRICA", "Africa"), ("ASIA", "Asia"), ("PACIFIC", "Asia"), ("EUROPE", "Europe"), ("LATIN", "Americas"), ("AMERICA", "Americas"), ("CARIBBEAN", "Americas")]
+
+
 def region_continent(label: Column) -> Column:
     """The continent that a label such as ``AFRICA • HEALTH`` names."""
     u = F.upper(F.trim(F.split_part(label, F.lit("•"), F.lit(1))))
-    return (
-        F.when(u == "GLOBAL", "Global")
-        .when(u.contains("MIDDLE EAST") | (u == "MENA"), "Middle East and North Africa")
-        .when(u.contains("AFRICA"), "Africa")
-        .when(u.contains("ASIA") | u.contains("PACIFIC"), "Asia")
-        .when(u.contains("EUROPE"), "Europe")
-        .when(u.contains("LATIN") | u.contains("AMERICA") | u.contains("CARIBBEAN"), "Americas")
-    )
+    whole = [F.when(u == name, F.lit(continent)) for name, continent in REGION_LABELS.items()]
+    return F.coalesce(*whole, *[F.when(u.contains(word), F.lit(continent)) for word, continent in REGION_WORDS])
 
 
 def region_sector(label: Column) -> Column:

@@ -71,7 +71,7 @@ _VETOES = "|".join(flt.ADMIN_WORDS)
 
 @query(f"""WITH {_ITEM}, ok AS (SELECT *, doc_id - doc_id % 3 AS project FROM item WHERE doc_id % 3 = 1 AND page % 13 <> 0 AND title IS NOT NULL AND status <> 500)
 SELECT CAST(doc_id AS VARCHAR) AS external_id, min(page) AS page FROM ok WHERE regexp_matches(lower(title || ' ' || summary), '{_SIGNS}') AND NOT regexp_matches(lower(title || ' ' || summary), '{_VETOES}') GROUP BY doc_id""")
-def open_data_projects(spark, sf_dir):
+def grant_projects(spark, sf_dir):
     """An open-data catalogue by offsets: relevant projects, each once, from the first page that has it."""
     rows = records(spark, sf_dir, "grants").where("error is null")
     relevant = rows.where(F.size(flt.innovation_faults(F.concat_ws(" ", "title", "summary"))) == 0)

@@ -147,11 +147,16 @@ def due_sources(spark, sf_dir):
     return rows.select(F.col("s_suppkey").alias("source_id"), (F.col("t").isNull() | (F.col("t").cast("timestamp_ntz") < now - F.make_dt_interval(days))).alias("due"))
 
 
-@query(f"{N}, c AS (SELECT source_id, count(*) AS n FROM runs GROUP BY 1) SELECT s_suppkey AS source_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'zero' WHEN n < 500 THEN 'thin' ELSE 'covered' END AS bucket FROM supplier LEFT JOIN c ON source_id = s_suppkey")
+#: A source of fewer items than this is covered thinly.
+THIN = 15
+
+
+@query(f"{N}, c AS (SELECT source_id, count(*) AS n FROM runs WHERE status = 'FAILED' AND k < 12 GROUP BY 1) SELECT s_suppkey AS source_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'zero' WHEN n < {THIN} THEN 'thin' ELSE 'covered' END AS bucket FROM supplier LEFT JOIN c ON source_id = s_suppkey")
 def registry_coverage(spark, sf_dir):
-    n = runs(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"))
+    """How well sources are covered, by their items of one kind."""
+    n = runs(spark, sf_dir).where("status = 'FAILED' and k < 12").groupBy("source_id").agg(F.count("*").alias("n"))
     rows = table(spark, sf_dir, "supplier").join(n, F.col("source_id") == F.col("s_suppkey"), "left")
-    bucket = F.when(F.col("n").isNull(), "zero").when(F.col("n") < 500, "thin").otherwise("covered")
+    bucket = F.when(F.col("n").isNull(), "zero").when(F.col("n") < THIN, "thin").otherwise("covered")
     return rows.select(F.col("s_suppkey").alias("source_id"), F.coalesce("n", F.lit(0)).alias("n"), bucket.alias("bucket"))
 
 
