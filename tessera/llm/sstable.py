@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import json
 import math
 import os
 import struct
@@ -36,14 +37,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.chunks import ChunkMemo
+from tessera.llm.chunks import ArrowMemo
 from tessera.llm.textbatch import pick, shared_dir, text_slices
 
 MAGIC, FOOTER = b"tessera1", struct.Struct("<QQQQQQIB3x8s")
 #: Bytes of each of the two generations of a worker's memo; a worker keeps it from shard to shard.
 MEMO_BYTES = 96 << 20
-#: Chunks that are encoded as one text.
-RUN = 8192
+#: Chunks that are encoded as one text; bytes of text whose different chunks are looked up at once.
+RUN, SLICE_BYTES = 8192, 4 << 20
 BLOCK_BYTES, SHARD_BYTES, MOST_SHARD_BYTES, SHARDS, BITS_A_KEY, PROBES = 1 << 18, 24 << 20, 256 << 20, 4096, 10, 7
 
 
@@ -187,7 +188,7 @@ def open_reader(uri: str) -> Reader:
 
 
 @functools.lru_cache(2)
-def _encoder(path: str, width: int, special: bool) -> ChunkMemo:
+def _encoder(path: str, width: int, special: bool) -> ArrowMemo:
     """The tokenizers library behind a memo of chunks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -201,25 +202,27 @@ def _encoder(path: str, width: int, special: bool) -> ChunkMemo:
         flat = np.fromiter((i for own in ids for i in own), f"<u{width}", ends[-1] // width).tobytes()
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    # in the byte alphabet a token that begins with a space has this letter first
-    spaced = np.zeros(tokenizer.get_vocab_size(), bool)
-    spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def together(chunks: list[str]) -> list[bytes]:
-        """Chunks as one text: each begins at a space, and no chunk holds another one."""
+        """Chunks as the lines of one text: a line feed between visible characters is a piece, and no chunk holds one."""
         out: list[bytes] = []
         for at in range(0, len(chunks), RUN):
             some = chunks[at : at + RUN]
-            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids)
-            first = np.flatnonzero(spaced[ids])
-            if len(first) == len(some) and not first[0]:
-                flat, ends = ids.astype(f"<u{width}").tobytes(), [*(first * width).tolist(), len(ids) * width]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids)
+            cut = np.flatnonzero(ids == line[0]) if len(line) == 1 else []
+            if len(cut) == len(some) - 1:
+                ids, cut = np.delete(ids, cut), cut - np.arange(len(cut))
+                flat, ends = ids.astype(f"<u{width}").tobytes(), [0, *(cut * width).tolist(), len(ids) * width]
                 out += [flat[a:b] for a, b in zip(ends, ends[1:])]
-            else:  # an encoder whose pieces are not cut at spaces
-                out += encode([" " + c for c in some])
+            else:
+                out += encode(some)
         return out
 
-    return ChunkMemo(encode, MEMO_BYTES, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()), together=together)
+    made = json.loads(tokenizer.to_str())
+    split, model = made["pre_tokenizer"] or {}, made["model"]
+    usual = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and model["type"] == "BPE" and not model.get("dropout")
+    return ArrowMemo(encode, together, MEMO_BYTES, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()), usual)
 
 
 def _width(path: str) -> int:
@@ -259,7 +262,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
         fs.create_dir(path, recursive=True)
         memo, writer, own = _encoder(tokenizer_path, width, special), None, None
         for batch in batches:
-            for i, j, *_ in text_slices(batch["text"]):
+            for i, j, data, offs in text_slices(batch["text"], SLICE_BYTES):
                 part = batch.slice(i, j - i)
                 if writer is None:
                     own = part["shard"][0].as_py()
@@ -267,8 +270,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
                     beside = f"{place}.{TaskContext.get().taskAttemptId()}"
                     out = fs.open_output_stream(beside)
                     writer = Writer(out, width)
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), memo.encode(part["text"].to_pylist())):
-                    writer.add(key_of(doc_id), ids + end)
+                ids, ends = memo.encode_slice(data, offs)
+                for doc_id, a, b in zip(part["doc_id"].to_pylist(), ends, ends[1:]):
+                    writer.add(key_of(doc_id), bytes(ids[a:b]) + end)
         if writer:
             writer.close()
             out.close()

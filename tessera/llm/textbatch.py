@@ -68,8 +68,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def text_slices(column: pa.Array | pa.ChunkedArray):
-    """(first row, last row + 1, bytes, offsets) of each slice; null texts are empty."""
+def text_slices(column: pa.Array | pa.ChunkedArray, size: int | None = None):
+    """(first row, last row + 1, bytes, offsets) of each slice, of ``size`` bytes if given; null texts are empty."""
+    size = size or SLICE_BYTES
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("") if column.null_count else column
@@ -81,7 +82,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray):
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     i = 0
     while i < n:
-        j = min(n, i + SLICE_DOCS, max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right")) - 1))
+        j = min(n, i + SLICE_DOCS, max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1))
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 

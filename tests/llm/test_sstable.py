@@ -1,12 +1,17 @@
+import itertools
+import json
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import sstable
+from tessera.llm.textbatch import text_slices
 from tests.llm.fixtures import SCHEMA, documents
 
 PATH = P.path("byte_bpe_50k.json")
@@ -64,3 +69,46 @@ def test_query_digests(spark, sf):
 def test_empty_table(spark):
     assert sstable.write(spark.createDataFrame([], SCHEMA), PATH) == []
     assert sstable.read(spark, []).agg(F.count("*")).first()[0] == 0
+
+
+def by_slices(memo, texts, size=1 << 14):
+    """The ids of each text by the memo."""
+    out = []
+    for _, _, data, offs in text_slices(pa.array(texts, pa.string()), size):
+        flat, ends = memo.encode_slice(data, offs)
+        out += [np.frombuffer(flat[a:b], "<u2").tolist() for a, b in zip(ends, ends[1:])]
+    return out
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_cuts_at_any_white_space_and_sign_equal_the_library(special):
+    rng = random.Random(5)
+    white = [chr(i) for i in range(0x3001) if chr(i).isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    letters = [*"abXY09.,;:!?'-|%<éàßñ×÷ÿłЖ中😀\u0301ªº²", "'s", "'ll", "d'", "The", "<|endoftext|>", "<|"]
+    pools = [letters + [" "] * 20 + ["\n"] * 9 + ["  ", "\n\n", "\r\n", "\t"], letters + white, white + [" ", "a", "é", "."], [*"ab. \n"]]
+    texts = ["".join(rng.choices(rng.choice(pools), k=rng.randrange(25))) for _ in range(20_000)] + [None, "", "\n", " ", "x" * 50_000]
+    rng.shuffle(texts)
+    assert by_slices(sstable._encoder(PATH, 2, special), texts) == [ids[:-1] for ids in library(texts, special)]
+    assert by_slices(sstable._encoder(PATH, 2, special), [None, ""]) == [[], []]
+
+
+def test_known_words_with_new_signs_are_not_encoded_again(monkeypatch):
+    words, signs = [f"{a}{b}" for a, b in itertools.product(("stone", "wåter", "café", "Tree"), ("mill", "fäll", "é", "s"))], [",", ".", ";", "!", ".\n", ",\n", ":\n", "\n"]
+    texts = [f"{a}{x}{b} {c}{y}" for a, b, c in itertools.product(words, words, words[:4]) for x, y in zip(signs, signs[::-1])]
+    memo, handed = sstable._encoder(PATH, 2, True), []
+    memo.forget()
+    for name in ("encode_many", "together"):
+        monkeypatch.setattr(memo, name, lambda chunks, f=getattr(memo, name): handed.extend(chunks) or f(chunks))
+    assert by_slices(memo, texts) == [ids[:-1] for ids in library(texts)]
+    assert sum(map(len, handed)) < 1000 < sum(map(len, texts)) / 100
+
+
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}])
+def test_tokenizer_without_the_usual_pattern_gets_whole_texts(change, tmp_path):
+    made = json.load(open(PATH))
+    made["pre_tokenizer"] |= change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    texts = ["a,b c.\nd", "the stone, the  mill", "", "x"]
+    t = Tokenizer.from_file(str(path))
+    assert by_slices(sstable._encoder(str(path), 2, True), texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
