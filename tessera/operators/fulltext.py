@@ -13,22 +13,24 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.cluster import checkpointed
-from tessera.functions.stem import stem, stems
+from tessera.functions.stem import stem
 from tessera.operators import lexical
 
 #: Neighbouring ids of a block, buckets of stems, and blocks that a search looks into before it knows a bound.
 BLOCK, BUCKETS, FIRST = 256, 16, 16
 #: Blocks that are named in a predicate, for the scan to skip the others; more of them are joined.
 NAMED = 1000
+#: Characters of text that are taken apart at once for vectors, and rows that become Python objects at once.
+SLICE_CHARS, SLICE_ROWS = 4 << 20, 64
 SPOT = "struct<place:int,weight:double>"
 POSTINGS = f"stem string, block long, n int, most int, mass double, weight double, docs array<struct<id:long,spots:array<{SPOT}>>>, segment int, bucket int"
 
@@ -56,21 +58,77 @@ class Query:
         return cls(list(found), alternatives)
 
 
-def occurrences(rows: DataFrame, fields: dict[str, float], id_col: str = "id") -> DataFrame:
-    """(id, stem, place, weight) of every word but stop words; fields follow one another."""
-    tokens = rows.select(F.col(id_col).alias("id"), *[lexical.terms(F.col(c)).alias(f"_{i}") for i, c in enumerate(fields)])
-    sizes = [F.size(f"_{i}") for i in range(len(fields))]
-    ends, weight = sum(sizes[1:], sizes[0]), F.lit(list(fields.values())[-1])
-    for i in reversed(range(len(fields) - 1)):
-        weight = F.when(F.col("place") < sum(sizes[1 : i + 1], sizes[0]), F.lit(list(fields.values())[i])).otherwise(weight)
-    placed = tokens.where(ends > 0).select("*", F.posexplode(F.concat(*[F.col(f"_{i}") for i in range(len(fields))])).alias("place", "term"))
-    placed = placed.where(~F.col("term").isin(sorted(lexical.STOP_WORDS))).select("id", "place", weight.cast("double").alias("weight"), "term")
-    return placed.select("id", stems(F.col("term")).alias("stem"), "place", "weight")
+def _spots(fields: int, weights: Iterable[float], wanted: Iterable[str] | None):
+    """(id, stem, spots) of rows (id, n, a text for each field) that come sorted by id, where an n of 1 begins an id.  Texts
+    are taken apart in slices of bounded size, each distinct word of which is stemmed once."""
+    weights, stop, wanted = np.array(list(weights), float), lexical.STOP_WORDS, None if wanted is None else set(wanted)
+    firsts = {w[:1] for w in wanted or ()}  # a stem begins as its words do
+
+    def made(ids: list, rows: list[tuple[int, tuple[str | None, ...]]], kind: pa.DataType) -> pa.RecordBatch:
+        terms, lengths = [], []
+        for _, texts in rows:
+            for text in texts:
+                before = len(terms)
+                terms += re.findall("[a-z0-9]+", (text or "").lower())
+                lengths.append(len(terms) - before)
+        size = np.array(lengths, np.int64).reshape(-1, fields)
+        each = size.sum(axis=1)
+        codes, found = pd.factorize(np.array(terms, dtype=object))
+        numbers: dict[str, int] = {}
+        number = np.full(len(found) + 1, -1, np.int64)
+        for i, t in enumerate(found):
+            if t in stop or (wanted is not None and t[0] not in firsts):
+                continue
+            own = stem(t)
+            if wanted is None or own in wanted:
+                number[i] = numbers.setdefault(own, len(numbers))
+        k = number[codes]
+        at = np.flatnonzero(k >= 0)
+        key = np.repeat(np.array([i for i, _ in rows], np.int64), each)[at] * (len(numbers) + 1) + k[at]
+        place = (np.arange(len(k)) - np.repeat(np.cumsum(each) - each, each))[at]
+        weight = np.repeat(np.tile(weights, len(rows)), size.ravel())[at]
+        # places rise in a row, so only an id of several rows needs them sorted
+        order = np.argsort(key, kind="stable") if len(rows) == len(ids) else np.lexsort((weight, place, key))
+        key, place, weight = key[order], place[order], weight[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        spots = pa.ListArray.from_arrays(pa.array(np.r_[new, len(key)], pa.int32()), pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(weight)], ["place", "weight"]))
+        stems_ = pa.array(list(numbers), pa.string()).take(pa.array(key[new] % (len(numbers) + 1)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(key[new] // (len(numbers) + 1))), stems_, spots], names=["id", "stem", "spots"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, held, kind = [], [], 0, None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                for key, n, *texts in zip(*[c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]):
+                    if n == 1:
+                        if held >= SLICE_CHARS:
+                            yield made(ids, rows, kind)
+                            ids, rows, held = [], [], 0
+                        ids.append(key)
+                    rows.append((len(ids) - 1, tuple(texts)))
+                    held += sum(len(t) for t in texts if t)
+        if rows:
+            yield made(ids, rows, kind)
+
+    return run
+
+
+def vectors(rows: DataFrame, fields: dict[str, float], id_col: str = "id", wanted: Iterable[str] | None = None) -> DataFrame:
+    """(id, stem, spots): document vectors, a stem's places and weights in each document, of ``wanted`` stems or all.
+
+    Fields follow one another, and stop words have places alone.  Rows of an id are brought together once, as whole texts,
+    so that words are never shuffled; rows that already lie by id stay where they are.
+    """
+    own = rows.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(fields)])
+    n = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    run = _spots(len(fields), fields.values(), wanted)
+    return own.select("id", n.alias("n"), *own.columns[1:]).mapInArrow(run, f"id {own.dtypes[0][1]}, stem string, spots array<{SPOT}>")
 
 
-def vectors(rows: DataFrame, fields: dict[str, float], id_col: str = "id") -> DataFrame:
-    """(id, stem, spots): document vectors, a stem's places and weights in each document."""
-    return occurrences(rows, fields, id_col).groupBy("id", "stem").agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("spots"))
+def occurrences(rows: DataFrame, fields: dict[str, float], id_col: str = "id", wanted: Iterable[str] | None = None) -> DataFrame:
+    """(id, stem, place, weight) of every word but stop words, of ``wanted`` stems or all."""
+    return vectors(rows, fields, id_col, wanted).select("id", "stem", F.inline("spots"))
 
 
 def _postings(fields: dict[str, float]):

@@ -290,7 +290,7 @@ SELECT row_number() OVER (ORDER BY n DESC, mass DESC, id) AS rank, id, n, round(
 def people_by_words(spark, sf_dir):
     """People by any form of some words: those of more words first, then of more weight."""
     wanted = [stem(w) for w in ("machineries", "thing")]
-    found = fulltext.occurrences(people(spark, sf_dir), PERSON).where(F.col("stem").isin(wanted))
+    found = fulltext.occurrences(people(spark, sf_dir), PERSON, wanted=wanted)
     hits = found.groupBy("id").agg(F.count_distinct("stem").alias("n"), F.round(F.sum("weight"), 6).alias("mass"))
     return pool(hits, [F.desc("n"), F.desc("mass"), F.col("id")], 20).select("rank", "id", "n", "mass")
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from tessera.functions.stem import stem
 from tessera.operators import fulltext
@@ -140,3 +141,13 @@ def test_hybrid_search_scans_no_text(spark, sf):
 def test_vectors(spark):
     got = {(r.stem): [(s.place, s.weight) for s in r.spots] for r in fulltext.vectors(spark.createDataFrame([(1, "The Farms", "farming of x")], "id long, title string, body string"), FIELDS).collect()}
     assert got == {"farm": [(1, 1.0), (2, 0.2)], "x": [(4, 0.2)]}
+
+
+def test_vectors_of_wanted_stems_shuffle_whole_texts_once(spark):
+    rows = [(1, "The Farms", "farming of x"), (2, None, "pumps, Pumping!"), (1, "pump", "solar farm"), (3, "", None)]
+    df = spark.createDataFrame(rows, "id long, title string, body string")
+    got = sorted((r.id, r.stem, [(s.place, s.weight) for s in r.spots]) for r in fulltext.vectors(df, FIELDS, wanted=["farm", "pump"]).collect())
+    assert got == [(1, "farm", [(1, 1.0), (2, 0.2), (2, 0.2)]), (1, "pump", [(0, 1.0)]), (2, "pump", [(0, 0.2), (1, 0.2)])]
+    assert sorted(tuple(r) for r in fulltext.occurrences(df, FIELDS, wanted=["solar"]).collect()) == [(1, "solar", 1, 0.2)]
+    plan = fulltext.vectors(df, FIELDS).groupBy("stem").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
