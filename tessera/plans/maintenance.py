@@ -281,7 +281,7 @@ SELECT s AS stem, count(DISTINCT id) AS people, count(*) AS n, round(sum(CASE WH
 def people_vectors(spark, sf_dir):
     """Vectors of people, summed up by stem: who holds it, how often, with what weight, and its first place."""
     v = fulltext.vectors(people(spark, sf_dir), PERSON).select("stem", F.size("spots").alias("n"), F.aggregate("spots", F.lit(0.0), lambda s, x: s + x["weight"]).alias("mass"), F.array_min("spots.place").alias("first"))
-    return v.groupBy("stem").agg(F.count("*").alias("people"), F.sum("n").alias("n"), F.round(F.sum("mass"), 6).alias("mass"), F.min("first").alias("first"))
+    return v.groupBy("stem").agg(F.count("id").alias("people"), F.sum("n").alias("n"), F.round(F.sum("mass"), 6).alias("mass"), F.min("first").alias("first"))
 
 
 @query(f"""WITH {_PERSON_SQL}, words AS (SELECT unnest(['machineries', 'thing']) AS x), voc AS (SELECT x FROM pos UNION SELECT x FROM words), {stems_sql('voc')},

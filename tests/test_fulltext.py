@@ -151,3 +151,15 @@ def test_vectors_of_wanted_stems_shuffle_whole_texts_once(spark):
     assert sorted(tuple(r) for r in fulltext.occurrences(df, FIELDS, wanted=["solar"]).collect()) == [(1, "solar", 1, 0.2)]
     plan = fulltext.vectors(df, FIELDS).groupBy("stem").count()._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+def test_vectors_are_made_slice_by_slice(spark, monkeypatch):
+    rows = texts(300)
+    df = spark.createDataFrame(rows, "id long, title string, body string")
+    key = lambda r: (r.id, r.stem, tuple(map(tuple, r.spots)))
+    whole = sorted(map(key, fulltext.vectors(df, FIELDS).collect()))
+    run = fulltext._spots(2, FIELDS.values(), None)
+    monkeypatch.setattr(fulltext, "SLICE_CHARS", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([1] * len(rows)), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]], names=["id", "n", "_0", "_1"])
+    made = list(run(iter([batch])))
+    assert len(made) > 20 and sorted((r["id"], r["stem"], tuple((s["place"], s["weight"]) for s in r["spots"])) for b in made for r in b.to_pylist()) == whole
