@@ -170,6 +170,24 @@ def test_near_pairs_are_all_pairs_below_the_bound(spark):
     assert vectors.near_pairs(df.limit(0), 0.1).count() == 0
 
 
+def test_near_pairs_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(vectors, "EXACT_PAIRS", 7)
+    rng = np.random.default_rng(1)
+    v = (rng.normal(size=(4, 5))[rng.integers(0, 4, 330)] + rng.normal(size=(330, 5)) * 0.2).astype(np.float32)
+    v[100:140] = v[0]
+    rows = [(i % 320, x.tolist()) for i, x in enumerate(v)] + [(900, [float("nan")] * 5), (901, [1.0, None, 0.0, 0.0, 0.0]), (902, [float("inf")] * 5)]
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    want = sorted((min(i % 320, j % 320), max(i % 320, j % 320)) for i in range(330) for j in range(i + 1, 330) if i % 320 != j % 320 and d[i, j] < 0.05)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"id int, embedding array<{kind}>").repartition(3)
+        got = vectors.near_pairs(df, 0.05, pivots=9)
+        assert sorted((r.a, r.b) for r in got.collect()) == want
+        # a row is stored once, whatever cells it may have to visit
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pages_of_a_search_follow_each_other(spark, sf):
     from tessera.plans.search import browse, search
 
