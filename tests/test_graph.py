@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.operators import graph
 from tessera.operators.graph import GraphIndex, links_of, walk
 
 DIMS = 64
@@ -70,3 +71,18 @@ def test_every_node_can_be_reached(n):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     links = links_of(x, 8, 16)
     assert len(walk(x, links, x[0], n)) == n and (links < n).all()
+
+
+def test_many_queries_scan_small_graphs_and_are_exact(spark, tmp_path):
+    x = made(700, 8)
+    x[300:340] = x[11]  # more equal vectors than are asked for: ties go to smaller ids
+    index = GraphIndex.build(frame(spark, x), str(tmp_path / "g"), part_rows=200)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 700, 9)] + [(11, x[11].tolist())], "query_id long, v array<double>")
+    even = spark.createDataFrame([(i,) for i in range(0, 700, 2)], "id long")
+    for allowed, mask in ((None, None), (even, np.arange(700) % 2 == 0)):
+        found = {}
+        for r in index.search(asked, 10, 20, allowed).collect():
+            found.setdefault(r.query_id, []).append((round(r.distance, 12), r.id))
+        assert all([i for _, i in sorted(found[k])] == exact(x, x[k], 10, mask).tolist() for k in {*range(0, 700, 9), 11})
+    row = {"n": 700, "ids": np.arange(700).tobytes(), "vectors": (x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes(), "allowed": [3, 5]}
+    assert [i.tolist() for _, i, _ in graph._scanned(row, x[5:6], 10)] == [[5, 3]] and not list(graph._scanned(row | {"allowed": []}, x[5:6], 10))
