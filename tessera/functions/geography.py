@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.functions.text import let
+
 # Country names and their ISO 3166-1 codes, dial codes, continents by code and by slug.
 COUNTRY_CODES = {
     "algeria": "DZ", "angola": "AO", "benin": "BJ", "botswana": "BW", "burkina faso": "BF", "burundi": "BI", "cabo verde": "CV", "cape verde": "CV", "cameroon": "CM",
@@ -68,20 +70,48 @@ def continent_names(slugs: list[str]) -> list[str]:
     return [CONTINENT_SLUGS[s.strip().lower()] for s in slugs if s.strip().lower() in CONTINENT_SLUGS]
 
 
+def _trie(names: list[str]) -> str:
+    """A pattern of one of some names, the longest first of those that begin alike; each letter is looked at once."""
+    ends = "" in names
+    heads: dict[str, list[str]] = {}
+    for n in names:
+        if n:
+            heads.setdefault(n[0], []).append(n[1:])
+    parts = [re.escape(c) + _trie(rest) for c, rest in heads.items()]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)}){'?' if ends else ''}" if ends or len(parts) > 1 else parts[0]
+
+
+# The names that begin alike stand in one branch, and a city never gives back what it took: no comma can follow there.
+_NAME = _trie(list(COUNTRY_CODES))
+_CITY_FIRST = CITY_COUNTRY.replace("{1,40}", "{1,40}+")
+
+
 def country_in_text(text: Column) -> Column:
     """(country, code, city): the first ``City, Country`` whose country is known, else the longest country name that
-    stands alone; of names of one length, the first of the table."""
-    cities, countries = F.regexp_extract_all(text, F.lit(CITY_COUNTRY), F.lit(1)), F.regexp_extract_all(text, F.lit(CITY_COUNTRY), F.lit(2))
-    pairs = F.zip_with(cities, countries, lambda a, b: F.struct(F.trim(a).alias("city"), F.regexp_replace(F.trim(b), "[.,;:]+$", "").alias("country")))
-    known = F.try_element_at(F.filter(pairs, lambda p: country_code(p["country"]).isNotNull()), F.lit(1))
-    names = sorted(COUNTRY_CODES, key=len, reverse=True)
-    found = F.regexp_extract_all(F.lower(text), F.lit("(?:^|[^a-z])(" + "|".join(map(re.escape, names)) + ")(?=[^a-z]|$)"), F.lit(1))
-    place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    alone = F.element_at(F.array(*map(F.lit, names)), F.array_min(F.transform(found, lambda n: place[n])) + 1)
-    return F.when(
-        known.isNotNull(),
-        F.struct(F.initcap(F.lower(known["country"])).alias("country"), country_code(known["country"]).alias("code"), known["city"].alias("city")),
-    ).when(F.size(found) > 0, F.struct(F.initcap(alone).alias("country"), country_code(alone).alias("code"), F.lit(None).cast("string").alias("city")))
+    stands alone; of names of one length, the first of the table.
+
+    Cities are looked for only in texts that have a country's name after a comma, and lone names only where none is found.
+    """
+
+    def within(t: Column) -> Column:
+        pairs = F.when(F.lower(t).rlike(rf",\s*{_NAME}"), F.regexp_extract_all(t, F.lit(_CITY_FIRST), F.lit(0)))
+        country = lambda m: F.regexp_replace(F.trim(F.regexp_replace(m, r"^[^,]*,\s*", "")), "[.,;:]+$", "")
+        split = F.transform(pairs, lambda m: F.struct(F.trim(F.substring_index(m, ",", 1)).alias("city"), F.lower(country(m)).alias("country")))
+        known = F.get(F.filter(split, lambda p: mapped(p["country"], COUNTRY_CODES).isNotNull()), F.lit(0))
+        return F.coalesce(let(known, lambda k: F.when(k.isNotNull(), place(k["country"], k["city"]))), let(alone(t), lambda n: F.when(n.isNotNull(), place(n, F.lit(None).cast("string")))))
+
+    def place(name: Column, city: Column) -> Column:
+        return F.struct(F.initcap(name).alias("country"), mapped(name, COUNTRY_CODES).alias("code"), city.alias("city"))
+
+    def alone(t: Column) -> Column:
+        names = sorted(COUNTRY_CODES, key=len, reverse=True)
+        rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+        found = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![a-z]){_NAME}(?![a-z])"), F.lit(0))
+        return F.get(F.array(*map(F.lit, names)), F.array_min(F.transform(found, lambda n: rank[n])))
+
+    return let(text, within)
 
 
 def country_of_phone(text: Column) -> Column:

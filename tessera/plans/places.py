@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import geography as G, taxonomy as X, text as T
+from tessera.operators.columns import computed
 from tessera.operators.ranking import first_per_key
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -70,7 +71,7 @@ alone AS (SELECT key, name, code FROM t JOIN names ON regexp_matches(lower(text)
 SELECT t.key, coalesce(f.name, a.name) AS country, coalesce(f.code, a.code) AS code, f.city FROM t LEFT JOIN first f ON f.key = t.key LEFT JOIN alone a ON a.key = t.key""")
 def country_infer(spark, sf_dir):
     """Places in prose; the country's name in lower case."""
-    rows = _prose(spark, sf_dir, _PROSE).withColumn("at", G.country_in_text(F.col("text")))
+    rows = computed(_prose(spark, sf_dir, _PROSE), at=G.country_in_text(F.col("text")))
     return rows.select("key", F.lower("at.country").alias("country"), F.col("at.code").alias("code"), F.col("at.city").alias("city"))
 
 
