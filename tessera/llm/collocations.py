@@ -34,6 +34,8 @@ from tessera.llm.textbatch import _LOWER, U, checkpointed, mix, pick, shared_dir
 LONGEST, MIN_COUNT, COVER, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 #: Bytes of text of a unit, words of a bucket's share, and occurrences beyond which a pivot is dealt over several buckets.
 UNIT_BYTES, BUCKET_WORDS, HOT_WORDS, LEAST_BUCKETS = 8 << 20, 1 << 20, 1 << 18, 64
+#: Fragments of a bucket that are mined at once; more only if they have one pivot.
+MINED_ROWS = 1 << 18
 #: Candidates of a language are ranked in so many parts before their best are ranked together.
 RANK_PARTS = 64
 _KIND = np.zeros(256, np.uint8)  # 0 in words, 1 between words, 2 between pieces
@@ -186,15 +188,23 @@ def _fragments(buckets: int, kind: str):
     return run
 
 
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """Each row's numbers as big-endian bytes, made at once: an object for each would take several times their size."""
+    big = np.ascontiguousarray(rows, rows.dtype.newbyteorder(">"))
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(big)])
+
+
 def _mine(least: int, kind: str):
-    """(gram, a, partial): the phrases of a bucket's fragments that hold their pivot, words as big-endian numbers."""
+    """(gram, a, partial): the phrases of a bucket's fragments that hold their pivot, words as big-endian numbers.  Pivots are
+    taken some at a time, as a phrase belongs to one of them."""
     width = np.dtype(kind).itemsize
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grams, total, flags = [], [], []
+        grams, total, flags = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for partial in (False, True):
             own = table.filter(pc.equal(table["partial"], partial))
-            found: list[list] = [[[], []] for _ in SHAPES]
+            found: list[list] = [[[np.zeros((0, a + b + 1), kind)], [np.zeros(0, "<u4")]] for a, b in SHAPES]
             for sizes, rows, counts in zip(own["sizes"], own["rows"], own["counts"]):
                 rows, counts, at, first = rows.as_buffer(), np.frombuffer(counts.as_buffer(), "<u4"), 0, 0
                 for (a, b), (some, n), size in zip(SHAPES, found, np.frombuffer(sizes.as_buffer(), "<u4").tolist()):
@@ -203,20 +213,25 @@ def _mine(least: int, kind: str):
                         some.append(np.frombuffer(rows, kind, cells, at * width).reshape(size, -1))
                         n.append(counts[first : first + size])
                         at, first = at + cells, first + size
-            for k in range(2, LONGEST + 1):
-                runs, n = [np.zeros((0, k), kind)], [np.zeros(0, np.int64)]
-                for (a, b), (some, counts) in zip(SHAPES, found):
-                    if some and a + b + 1 >= k:
-                        rows, count = np.concatenate(some), np.concatenate(counts).astype(np.int64)
-                        for s in range(max(0, a - k + 1), min(a, a + b + 1 - k) + 1):
-                            runs.append(rows[:, s : s + k])
-                            n.append(count)
-                runs, n = np.concatenate(runs), np.concatenate(n)
-                rows, n = exactly(runs, n) if partial else frequent(runs, n, least)
-                grams += [x.tobytes() for x in rows.astype(rows.dtype.newbyteorder(">"))]
-                total.append(n)
-                flags += [partial] * len(n)
-        return pa.table([pa.array(grams, pa.binary()), pa.array(np.concatenate(total), pa.int64()), pa.array(flags, pa.bool_())], names=["gram", "a", "partial"])
+            whole = [(a, b, np.concatenate(some), np.concatenate(n)) for (a, b), (some, n) in zip(SHAPES, found)]
+            found.clear()
+            groups = max(1, -(-sum(len(rows) for _, _, rows, _ in whole) // MINED_ROWS))
+            group = [mix(rows[:, a].astype(U) + U(0x9E3779B97F4A7C15)) % U(groups) if groups > 1 else np.zeros(len(rows), np.uint8) for a, _, rows, _ in whole]
+            for g in range(groups):
+                picked = [(a, b, rows[at == g], n[at == g]) for (a, b, rows, n), at in zip(whole, group)]
+                for k in range(2, LONGEST + 1):
+                    runs, n = [np.zeros((0, k), kind)], [np.zeros(0, np.int64)]
+                    for a, b, rows, count in picked:
+                        if a + b + 1 >= k:
+                            for s in range(max(0, a - k + 1), min(a, a + b + 1 - k) + 1):
+                                runs.append(rows[:, s : s + k])
+                                n.append(count)
+                    runs, n = np.concatenate(runs), np.concatenate(n).astype(np.int64)
+                    rows, n = exactly(runs, n) if partial else frequent(runs, n, least)
+                    grams.append(_blobs(rows))
+                    total.append(n)
+                    flags.append(np.full(len(n), partial))
+        return pa.table([pa.chunked_array(grams, pa.binary()), pa.array(np.concatenate(total), pa.int64()), pa.array(np.concatenate(flags), pa.bool_())], names=["gram", "a", "partial"])
 
     return run
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import collocations, queries
@@ -97,3 +98,23 @@ def test_score_is_exact_beyond_64_bits(spark):
 
 def test_oracle(spark, sf):
     assert differences(queries.QUERIES["op13_collocations"](spark, sf), connect(sf), queries.ORACLE_SQL["op13_collocations"]) == []
+
+
+def test_a_bucket_is_mined_some_pivots_at_a_time(monkeypatch):
+    rng = np.random.default_rng(0)
+    tokens = rng.zipf(1.3, 4000).clip(0, 40) % 40
+    ids, parts = np.arange(39, 0, -1), np.arange(39) % 5 // 4 + 1
+    row = [[7], [tokens.astype("<u4").tobytes()], [39], [list(range(39))], [ids.tolist()], [parts.tolist()]]
+    batch = pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.binary()), pa.array(row[2]), *[pa.array(x, pa.list_(pa.int64())) for x in row[3:]]], names=["unit", "tokens", "n", "at", "ids", "parts"])
+    table = pa.Table.from_batches(collocations._fragments(1, "<u4")([batch]))
+    mined = lambda: sorted((r["partial"], r["gram"], r["a"]) for r in collocations._mine(3, "<u4")((pa.scalar(0),), table).to_pylist())
+    whole, sizes = mined(), []
+    inner = {k: getattr(collocations, k) for k in ("exactly", "frequent")}
+    for k, f in inner.items():
+        monkeypatch.setattr(collocations, k, lambda rows, *more, f=f: (sizes.append(len(rows)), f(rows, *more))[1])
+    mined()
+    most = max(sizes)
+    monkeypatch.setattr(collocations, "MINED_ROWS", 50)
+    sizes.clear()
+    assert mined() == whole and len({p for p, _, _ in whole}) == 2 and len(whole) > 100
+    assert max(sizes) < most / 2
