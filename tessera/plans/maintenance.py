@@ -280,7 +280,7 @@ def people(spark, sf_dir) -> DataFrame:
 SELECT s AS stem, count(DISTINCT id) AS people, count(*) AS n, round(sum(CASE WHEN p < n1 THEN 1.0 WHEN p < n1 + n2 THEN 0.4 ELSE 0.2 END), 6) AS mass, CAST(min(p) AS INT) AS first FROM pos JOIN stemmed USING (x) WHERE x NOT IN (SELECT x FROM stop) GROUP BY s""")
 def people_vectors(spark, sf_dir):
     """Vectors of people, summed up by stem: who holds it, how often, with what weight, and its first place."""
-    v = fulltext.vectors(people(spark, sf_dir), PERSON).select("stem", F.size("spots").alias("n"), F.aggregate("spots", F.lit(0.0), lambda s, x: s + x["weight"]).alias("mass"), F.array_min("spots.place").alias("first"))
+    v = fulltext.vectors(people(spark, sf_dir), PERSON).select("id", "stem", F.size("spots").alias("n"), F.aggregate("spots", F.lit(0.0), lambda s, x: s + x["weight"]).alias("mass"), F.array_min("spots.place").alias("first"))
     return v.groupBy("stem").agg(F.count("id").alias("people"), F.sum("n").alias("n"), F.round(F.sum("mass"), 6).alias("mass"), F.min("first").alias("first"))
 
 
